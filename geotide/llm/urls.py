@@ -76,8 +76,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], *, damping:
         F.max((F.col("_best.verdict") == "allow")).alias("allowed"), F.max((F.col("_best.verdict") == "block")).alias("blocked"), F.max((F.col("_best.verdict") == "block") & from_root).alias("root")
     )
     stand = table(spark, stand, "stand")
-    target = F.translate(F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)), UPPER, LOWER)
-    links = pages.select(host.alias("src"), target.alias("dst")).filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    target = F.explode(F.regexp_extract_all("html", F.lit(LINK), 1))
+    links = pages.select(host.alias("src"), target.alias("_to")).select("src", F.translate("_to", UPPER, LOWER).alias("dst")).filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     links = table(spark, links, "links")
     trusted, blocked = stand.filter("allowed and not blocked").select("host"), stand.filter("root and not allowed").select("host")
     if links.isEmpty():  # nothing to walk along: only the seeds have scores

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, urls
+from . import decontam, langid, mixing, neardup, resample, spans, toxicity, urls
+from .runtime import remainder
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -15,6 +16,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(spark, docs.filter(remainder("doc_id", 5) != 0), _read(spark, sf_dir, "labels"))
+    out = toxicity.score(spark, docs, model, ["doc_id"])
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, _read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -27,10 +35,37 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark, _read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "epochs", "part", "taken")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.remove_repeats(spark, docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.select(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(spark, docs, _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_max("matches.similarity").alias("similarity"), F.col("matches.item_id").alias("item_ids"), "matches")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    filters = langid.fit(spark, docs.filter(remainder("doc_id", 3) != 1))
+    out = langid.predict(spark, docs, filters, ["doc_id"])
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_minhash": op3_minhash,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
+    "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
+    "op10_language": op10_language,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

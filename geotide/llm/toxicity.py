@@ -8,7 +8,7 @@ A sentence's score is that of its worst unit, a document's that of its worst sen
 
 Training is by multiple instances: all sentences of documents labelled 0 are negative; a document labelled 1 has some
 positive sentence, witnessed by the units that occur in such documents alone far beyond chance, counted over distinct
-sketches so that copies of one document count once. Witnesses and variants of them with inserted and doubled letters are
+sketches so that copies of one document count once, and earn a document's credit against the others in it. Witnesses and variants of them with inserted and doubled letters are
 the positives; the negatives are the commonest units of the other documents and, in three rounds, those that score
 highest. Landmarks come from both; the Nystroem map makes the machine linear in at most ``landmarks`` dimensions, where
 it is solved by Newton steps on the squared hinge. As the kernel's features are the 26**3 letter triples, the landmark
@@ -44,6 +44,7 @@ class Settings:
     variants: int = 12
     cost: float = 10.0
     ridge: float = 1.0
+    least_credit: float = 0.04
 
 
 #: Signs read as letters when they stand inside a word.
@@ -309,16 +310,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     both = np.maximum(bad + good, 1)
     surprise = bad * np.log(np.maximum(bad, 1e-9) / (r * both)) + good * np.log(np.maximum(good, 1e-9) / ((1 - r) * both))
     sure = (bad / both > (1 + r) / 2) & (surprise > 12) & (bad >= max(4, 0.01 * n[1]))
-    picked = sorted(np.flatnonzero(sure).tolist(), key=lambda k: -surprise[k])[: cfg.landmarks // 2]
-    model = Model(cfg, base, witnesses=[word[k] for k in picked])
-    if not picked:
+    picked = sorted(np.flatnonzero(sure).tolist(), key=lambda k: -surprise[k])[:1000]
+    model = Model(cfg, base, witnesses=_credited(units, [word[k] for k in picked], cfg.least_credit * n[1])[: cfg.landmarks // 2])
+    if not model.witnesses:
         return model
     positive = [*model.witnesses]
     for k, w in enumerate(model.witnesses):
         positive += variants(w, cfg.variants, np.random.RandomState(100 + k))
     clean = [w for w, x in zip(word, good) if x > 0]
     negative = clean[:1500]
-    model.landmarks = [*model.witnesses, *[w for w in clean if w not in set(model.witnesses)][: cfg.landmarks - len(picked)]]
+    model.landmarks = [*model.witnesses, *[w for w in clean if w not in set(model.witnesses)][: cfg.landmarks - len(model.witnesses)]]
     phi = landmark_features(model.landmarks, cfg.decay)
     value, vector = np.linalg.eigh(phi.T @ phi)
     use = value > 1e-8 * value.max()
@@ -337,6 +338,27 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     return model
 
 
+def _credited(units: DataFrame, candidates: list[str], least: float) -> list[str]:
+    """Candidates that explain documents of label 1: each document's credit is split among its candidates, so that words
+    that only occur together, as in many variants of one document, earn little."""
+    if not candidates:
+        return []
+    known = F.array(*[F.lit(w) for w in candidates])
+    rows = units.filter("label = 1").select("sketch", F.explode(F.array_intersect("units", known)).alias("unit")).distinct().toArrow()
+    by_doc: dict[int, list[str]] = {}
+    for d, w in zip(rows.column("sketch").to_pylist(), rows.column("unit").to_pylist()):
+        by_doc.setdefault(d, []).append(w)
+    alive = set(candidates)
+    for _ in range(3):
+        credit = dict.fromkeys(alive, 0.0)
+        for ws in by_doc.values():
+            own = [w for w in ws if w in alive]
+            for w in own:
+                credit[w] += 1 / len(own)
+        alive = {w for w, x in credit.items() if x >= max(2.0, least)}
+    return [w for w in candidates if w in alive]
+
+
 def _margins(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,8 +7,8 @@ corrected for chance collisions (2**-bits), estimates their similarity and drops
 the full sets.
 
 Groups are never expanded into all pairs. First every member of a bucket is compared with the bucket's smallest class
-only, and the confirmed links give components. What a bucket still holds in different components is then compared
-across components, less the pairs whose similarities to the common leader rule a link out (1 - similarity is a
+only, then with the smallest of a hashed part of the bucket, and the confirmed links give components. What a bucket
+still holds in different components is then compared across components, less the pairs whose similarities to the common leader rule a link out (1 - similarity is a
 metric). So each link between candidates is found or implied by links found, at the cost of a star for groups of
 copies.
 
@@ -42,6 +42,7 @@ class Settings:
     rows: int = 4
     bits: int = 2
     floor: float = 0.5
+    part: int = 16
 
     @property
     def longs(self) -> int:
@@ -141,6 +142,17 @@ def _needed(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Dat
     return table(spark, texts.mapInArrow(_sets(cfg.words), "class long, set array<long>"), "sets")
 
 
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (band, class, leader) of the buckets with several components, with component and the bucket's size n."""
+    named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = named.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi and n > 2").select("band", "n")
+    return named.join(open_, "band")
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach), kept, for each row of ``docs`` (doc_id, text)."""
     ready(spark)
@@ -161,21 +173,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     links = tested.filter(linked).select("a", "b")
     labels = table(spark, components(spark, links), "labels")
 
-    # What still shares a bucket across components.
+    # Buckets that still hold several components: members meet the leaders of small parts of the bucket, chosen anew
+    # by hash in each band, so that a large group with many links falls into one component for the most part.
+    rest = table(spark, _unresolved(members, labels), "rest")
+    part = F.pmod(F.xxhash64("class", "band"), F.ceil(F.col("n") / cfg.part))
+    small = rest.withColumn("part", part)
+    heads = small.groupBy("band", "part").agg(F.min_by(F.struct("class", "component"), "class").alias("head"))
+    met = small.join(heads, ["band", "part"]).filter("head.component <> component").select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
+    met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    met = table(spark, met.join(y, "b").join(x, "a").filter(estimate(F.col("_x"), F.col("_y"), cfg) >= cfg.floor).select("a", "b"), "met")
+    if not met.isEmpty():
+        more = table(spark, _confirm(met, _needed(spark, docs, classes, met, cfg), cfg), "tested")
+        tested = tested.unionByName(more)
+        labels = table(spark, components(spark, _stars(labels).unionByName(more.filter(linked).select("a", "b"))), "labels")
+
+    # What is left is compared pair by pair across components, unless distances to a common leader rule it out.
+    rest = _unresolved(members, labels).filter("class <> leader")
     far = tested.select(F.col("a").alias("leader"), F.col("b").alias("class"), (1 - F.col("common") / F.col("either")).alias("far"))
-    named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = named.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo <> _hi and _n > 2").select("band")
-    rest = named.join(open_, "band").filter("class <> leader").join(far, ["leader", "class"], "left").join(sigs, "class")
-    rest = table(spark, rest.select("band", "class", "component", "sig", "far"), "rest")
+    rest = table(spark, rest.join(far, ["leader", "class"], "left").join(sigs, "class").select("band", "class", "component", "sig", "far"), "rest")
     p, q = rest.alias("p"), rest.alias("q")
     span = (100 - cfg.percent) / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("p.far") - F.col("q.far")) <= span, F.lit(True))
     cross = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & near & (estimate(F.col("p.sig"), F.col("q.sig"), cfg) >= cfg.floor))
-    cross = table(spark, cross.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct(), "cross")
+    cross = cross.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
+    cross = table(spark, cross.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         more = _confirm(cross, _needed(spark, docs, classes, cross, cfg), cfg).filter(linked).select("a", "b")
-        star = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = table(spark, components(spark, star.unionByName(more)), "labels")
+        labels = table(spark, components(spark, _stars(labels).unionByName(more)), "labels")
     of_class = classes.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
     names = table(spark, of_class.join(least, "component").select("class", "component_id"), "names")

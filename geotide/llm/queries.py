@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, mixing, neardup, resample, spans, toxicity, urls
+from . import decontam, forest, langid, mixing, neardup, resample, spans, toxicity, urls
 from .runtime import remainder
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -40,6 +40,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(spark, docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(spark, _read(spark, sf_dir, "embeddings"), every=50)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.select(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
+    "op7_neighbours": op7_neighbours,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,

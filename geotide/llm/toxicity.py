@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .runtime import ready, table, uniform
-from .words import blocks
+from .words import blocks, shingles
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class Settings:
     variants: int = 12
     cost: float = 10.0
     ridge: float = 1.0
-    least_credit: float = 0.04
+    least_credit: float = 0.02
 
 
 #: Signs read as letters when they stand inside a word.
@@ -260,7 +260,7 @@ def _units_of(longest: int):
             sketch, units = [], []
             for text in batch.column(1).to_pylist():
                 block = next(blocks([text]))
-                sketch.append(int(block.hashes.min().astype(np.int64)) if len(block.hashes) else 0)
+                sketch.append(int(shingles(block.hashes, 2).min().astype(np.int64)) if len(block.hashes) else 0)
                 tokens = set((text or b"").decode("utf-8", "replace").split())
                 units.append(sorted({p for t in tokens for p in pieces(unit(t), longest)}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.int64()), pa.array(units, pa.list_(pa.string()))], ["label", "sketch", "units"])
@@ -348,15 +348,11 @@ def _credited(units: DataFrame, candidates: list[str], least: float) -> list[str
     by_doc: dict[int, list[str]] = {}
     for d, w in zip(rows.column("sketch").to_pylist(), rows.column("unit").to_pylist()):
         by_doc.setdefault(d, []).append(w)
-    alive = set(candidates)
-    for _ in range(3):
-        credit = dict.fromkeys(alive, 0.0)
-        for ws in by_doc.values():
-            own = [w for w in ws if w in alive]
-            for w in own:
-                credit[w] += 1 / len(own)
-        alive = {w for w, x in credit.items() if x >= max(2.0, least)}
-    return [w for w in candidates if w in alive]
+    credit = dict.fromkeys(candidates, 0.0)
+    for ws in by_doc.values():
+        for w in ws:
+            credit[w] += 1 / len(ws)
+    return [w for w in candidates if credit[w] >= max(2.0, least)]
 
 
 def _margins(model: Model):

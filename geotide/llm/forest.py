@@ -3,7 +3,8 @@
 Trees are fitted on a hashed sample of at most ``sample`` vectors: a node splits its part at the middle of two random
 members, along their difference, until a leaf would hold about ``leaf_rows`` of all rows. Every row is then put in its
 leaf of each tree. A query walks all trees at once: one queue holds the open branches of every tree by the worst margin
-on the way to them, and leaves are opened until they hold ``search`` rows together and every tree was entered. The
+on the way to them, and leaves are opened until they hold ``search`` rows together, or ``search_share`` of all rows if that is
+more, and every tree was entered. Vectors without structure need a large share: it is what recall costs there. The
 candidates are the rows of the opened leaves; they are ranked by exact cosine in double precision.
 
 A leaf's rows are dealt to blocks of about ``block`` rows, each of which meets the leaf's queries in a task of its own,
@@ -33,8 +34,9 @@ class Settings:
     k: int = 5
     trees: int = 12
     sample: int = 50_000
-    leaf_rows: int = 128
+    leaf_rows: int = 256
     search: int = 6000
+    search_share: float = 0.5
     block: int = 2048
     seed: int = 31
 
@@ -90,13 +92,6 @@ class Tree:
         return -1 - at
 
 
-def usable(v: list | np.ndarray | None, dim: int) -> bool:
-    if v is None or len(v) != dim:
-        return False
-    x = np.asarray(v, np.float64)
-    return bool(np.isfinite(x).all() and (x != 0).any())
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -192,7 +187,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int, cfg: Settings =
     sizes = [np.zeros(t.leaves, np.int64) for t in trees]
     for r in counts.collect():  # as many as the sample's leaves
         sizes[r["key"] >> 32][r["key"] & 0xFFFFFFFF] = r["n"]
-    queries = placed.filter(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(_probe(trees, sizes, max(cfg.search, (cfg.k + 1) * cfg.trees)), "vec_id long, v array<double>, keys array<long>")
+    queries = placed.filter(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(_probe(trees, sizes, max(cfg.search, int(cfg.search_share * n), (cfg.k + 1) * cfg.trees)), "vec_id long, v array<double>, keys array<long>")
     parts = counts.select("key", F.ceil(F.col("n") / cfg.block).alias("_parts"))
     blocked = keyed.join(parts, "key").withColumn("part", F.floor(uniform(cfg.seed + 7, F.col("vec_id"), F.col("tree")) * F.col("_parts"))).select("key", "part", "vec_id", "v")
     asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.explode("keys").alias("key")).join(parts, "key")

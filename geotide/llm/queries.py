@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, forest, langid, mixing, neardup, resample, spans, toxicity, urls
+from . import decontam, forest, langid, lm, mixing, neardup, resample, spans, toxicity, urls
 from .runtime import remainder
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -31,6 +31,13 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = lm.fit(spark, docs.filter(remainder("doc_id", 7) != 2))
+    out = lm.score(spark, docs, model)
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark, _read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "epochs", "part", "taken")
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_minhash": op3_minhash,
+    "op4_language_model": op4_language_model,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
     "op7_neighbours": op7_neighbours,

@@ -173,7 +173,7 @@ def _scan(items: Items):
                 for i in range(len(block)):
                     new = [dict(zip(("item_id", "similarity", "first_word", "end_word"), m)) for m in items.matches(block.words(i))]
                     out.append((before[block.first + i] or []) + new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KIND), *batch.columns[2:]], ["_b", "_m", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KIND), *batch.columns[2:]], ["_gt_b", "_gt_m", *batch.schema.names[2:]])
 
     return run
 
@@ -189,9 +189,9 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     if parts > 1:
         items = table(spark, items, "items")
     rest = list(docs.columns)
-    held = docs.select(F.col("text").cast("binary").alias("_b"), F.lit(None).cast(MATCHES).alias("_m"), *[c for c in rest if c != "text"])
-    schema = ", ".join(["_b binary", f"_m {MATCHES}", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest if c != "text"]])
+    held = docs.select(F.col("text").cast("binary").alias("_gt_b"), F.lit(None).cast(MATCHES).alias("_gt_m"), *[c for c in rest if c != "text"])
+    schema = ", ".join(["_gt_b binary", f"_gt_m {MATCHES}", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest if c != "text"]])
     for part in range(parts):
         rows = items.filter(F.col("_part") == part).select("item_id", F.col("text").cast("binary").alias("b")).orderBy("item_id").collect()
         held = held.mapInArrow(_scan(Items([r["item_id"] for r in rows], [bytes(r["b"]) for r in rows], cfg)), schema)
-    return held.select(*[F.col("_b").cast("string").alias("text") if c == "text" else F.col(c) for c in rest], F.col("_m").alias("matches"))
+    return held.select(*[F.col("_gt_b").cast("string").alias("text") if c == "text" else F.col(c) for c in rest], F.col("_gt_m").alias("matches"))

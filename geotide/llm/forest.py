@@ -65,7 +65,7 @@ class Tree:
                 self.child[parent][side] = me
             else:
                 self.root = me
-        self.planes = np.array(self.normal).reshape(len(self.normal), -1)
+        self.planes = np.array(self.normal).reshape(len(self.normal), x.shape[1])
         self.offsets, self.children = np.array(self.offset), np.array(self.child, np.int64).reshape(-1, 2)
 
     @staticmethod

@@ -137,8 +137,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> DataFrame:
 def _needed(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
     """Full sets of the classes in ``pairs``, from the texts that carry a class's smallest id."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = classes.join(nodes, "class").select(F.col("id").alias("_id")).distinct().hint("shuffle_hash")
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("text").cast("binary").alias("text"))
+    ids = classes.join(nodes, "class").select(F.col("id").alias("_gt_id")).distinct().hint("shuffle_hash")
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gt_id")), "left_semi").select(F.col("text").cast("binary").alias("text"))
     return table(spark, texts.mapInArrow(_sets(cfg.words), "class long, set array<long>"), "sets")
 
 
@@ -215,10 +215,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()
     Rows without id go when their group has an id, else they stay.
     """
     judged = table(spark, near_duplicates(spark, docs, cfg), "judged")
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = judged.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("_gt_id")).distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gt_id")), "left_anti")
+    again = judged.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_gt_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_gt_id")
     if again.isEmpty():
         return left
-    once = left.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    once = left.join(again, F.col("doc_id") == F.col("_gt_id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, F.col("doc_id") == F.col("_gt_id"), "left_anti").unionByName(once)

@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(spark, docs.filter(remainder("doc_id", 5) != 0), _read(spark, sf_dir, "labels"))
     out = toxicity.score(spark, docs, model, ["doc_id"])
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("_gt_score").alias("score"), (F.col("_gt_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

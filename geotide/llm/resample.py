@@ -79,7 +79,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     n = good.count()
     ids = good.filter(uniform(cfg.seed, F.col("doc_id")) < min(1.0, cfg.most_targets / max(1, n))).select(F.col("doc_id").alias("_id"))
-    marked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("_id").isNotNull().alias("good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left").select(F.col("text").cast("binary").alias("text"), F.col("_id").isNotNull().alias("good"))
     rows = marked.mapInArrow(_count(cfg.buckets), "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, cfg.buckets), np.float64)
     counts[rows.column("kind").to_numpy(), rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()

@@ -91,7 +91,7 @@ def _find(cfg: Settings):
             found = []
             for block in blocks(batch.column(2).to_pylist()):
                 found += [spans(block.words(i), sentence_ends(block, i, cfg), cfg)[0].view(np.int64) for i in range(len(block))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_t", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_gt_t", "spans"])
 
     return run
 
@@ -115,7 +115,7 @@ def _cut(cfg: Settings):
                     if off.any():
                         text = _without(text, block, i, cut, off)
                     out.append(text), count.append(len(cut)), gone.append(int(off.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.binary()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*batch.schema.names[2:], "_text", "_n", "_gone"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.binary()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*batch.schema.names[2:], "_gt_text", "_gt_n", "_gt_gone"])
 
     return run
 
@@ -135,17 +135,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, cfg: Settings = Setting
     """``docs`` with ``text`` less repeated sentences, and with n_sentences and n_removed."""
     ready(spark)
     docs = docs.drop("n_sentences", "n_removed")
-    key = [F.col("doc_id"), F.xxhash64("text").alias("_t")]
+    key = [F.col("doc_id"), F.xxhash64("text").alias("_gt_t")]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(_find(cfg), f"doc_id {kind}, _t long, spans array<long>")
+    found = docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(_find(cfg), f"doc_id {kind}, _gt_t long, spans array<long>")
     found = table(spark, found, "spans")
-    each = found.select("doc_id", "_t", F.posexplode("spans").alias("place", "span"))
+    each = found.select("doc_id", "_gt_t", F.posexplode("spans").alias("place", "span"))
     first = each.groupBy("span").agg(F.min(F.struct("doc_id", "place")).alias("_first"), F.max(F.struct("doc_id", "place")).alias("_last")).filter("not (_first <=> _last)").select("span", "_first")
     again = each.join(first, "span").filter("not (struct(doc_id, place) <=> _first)")
-    marks = again.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_k"), "place").groupBy("_id", "_k").agg(F.collect_set("place").alias("_places"))
+    marks = again.select(F.col("doc_id").alias("_gt_id"), F.col("_gt_t").alias("_gt_k"), "place").groupBy("_gt_id", "_gt_k").agg(F.collect_set("place").alias("_gt_places"))
     marks = table(spark, marks, "marks")
-    held = docs.select(*docs.columns, F.xxhash64("text").alias("_t")).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_k")), "left")
+    held = docs.select(*docs.columns, F.xxhash64("text").alias("_gt_t")).join(marks, F.col("doc_id").eqNullSafe(F.col("_gt_id")) & (F.col("_gt_t") == F.col("_gt_k")), "left")
     rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "_text binary", "_n long", "_gone long"])
-    done = held.select(F.col("text").cast("binary").alias("text"), "_places", *rest).mapInArrow(_cut(cfg), schema)
-    return done.select(*[F.col("_text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_n").alias("n_sentences"), F.col("_gone").alias("n_removed"))
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "_gt_text binary", "_gt_n long", "_gt_gone long"])
+    done = held.select(F.col("text").cast("binary").alias("text"), "_gt_places", *rest).mapInArrow(_cut(cfg), schema)
+    return done.select(*[F.col("_gt_text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_gt_n").alias("n_sentences"), F.col("_gt_gone").alias("n_removed"))

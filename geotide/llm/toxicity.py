@@ -294,7 +294,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
         return Model(cfg, base)
     share = {k: min(1.0, cfg.per_label / n) for k, n in sizes.items()}
     chosen = known.filter(uniform(29, F.col("doc_id")) < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "label")
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("binary").alias("text"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("binary").alias("text"))
     sample = table(spark, sample, "sample")
     units = sample.mapInArrow(_units_of(cfg.longest), "label int, sketch long, units array<string>")
     docs_of = units.groupBy("label").agg(F.countDistinct("sketch").alias("n")).collect()
@@ -386,13 +386,13 @@ def _judge(model: Model):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             margins = document_margins(texts, model) if model.weights is not None else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([model.score(m) for m in margins], pa.float64()), *batch.columns[1:]], ["_score", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array([model.score(m) for m in margins], pa.float64()), *batch.columns[1:]], ["_gt_score", *batch.schema.names[1:]])
 
     return run
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the score of its text as ``_score``."""
+    """The columns ``keep`` of ``docs`` with the score of its text as ``_gt_score``."""
     ready(spark)
-    schema = ", ".join(["_score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return docs.select(F.col("text").cast("binary").alias("_b"), *keep).mapInArrow(_judge(model), schema)
+    schema = ", ".join(["_gt_score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
+    return docs.select(F.col("text").cast("binary").alias("_gt_b"), *keep).mapInArrow(_judge(model), schema)

@@ -94,12 +94,16 @@ class EliasFano:
         inner = high > 0
         begin[inner] = self._select(high[inner] - 1, False) - (high[inner] - 1)
         end = self._select(high.copy(), False) - high
-        at, equal = begin, np.zeros(len(x), bool)
-        todo = np.flatnonzero(at < end)
+        # Where values crowd, as successors of a frequent context do, many share a high part: search it by halves.
+        at, stop = begin, end.copy()
+        todo = np.flatnonzero(at < stop)
         while len(todo):
-            own = self._low(at[todo])
-            equal[todo[own == low[todo]]] = True
-            todo = todo[own < low[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
+            middle = (at[todo] + stop[todo]) >> 1
+            under = self._low(middle) < low[todo]
+            at[todo[under]] = middle[under] + 1
+            stop[todo[~under]] = middle[~under]
+            todo = todo[at[todo] < stop[todo]]
+        equal = np.zeros(len(x), bool)
+        some = np.flatnonzero(at < end)
+        equal[some] = self._low(at[some]) == low[some]
         return at, equal

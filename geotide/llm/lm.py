@@ -41,7 +41,7 @@ from .words import Block, blocks
 
 #: The hash of the end token; no word is empty, so this stands for no word.
 END = np.int64(0x1D8E4E27C47D124F)
-_SIZE = 1 << 22
+_SIZE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def _count_pairs(model: Model):
                 u, v = _pairs(block, ids, end)
                 parts.append((u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64))
                 size += len(u)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield _packed(model, parts)
                     parts, size = [], 0
             if parts:

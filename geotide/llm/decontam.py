@@ -149,14 +149,28 @@ class Items:
                 continue
             ks, index = self.groups[n]
             row, item = index.find(fingerprints(sums, starts - lo, np.minimum(starts + n, len(words)) - lo))
-            for r, i in zip(row.tolist(), item.tolist()):
-                k = ks[i]
-                if found.get(k, (0.0,))[0] >= 0.999:
-                    continue
-                for at in range(max(0, int(starts[r]) - stride), min(top, int(starts[r]) + stride) + 1):
-                    window = sh[at : at + n - self.cfg.words + 1]
-                    if (x := self.similarity(k, window)) * 100 >= self.cfg.percent - 1e-9 and x > found.get(k, (0.0,))[0]:
-                        found[k] = (x, at, min(at + n, len(words)))
+            for i in np.unique(item).tolist():
+                offsets = np.unique(np.clip(starts[row[item == i]][:, None] + np.arange(-stride, stride + 1)[None, :], 0, top))
+                self._verify(ks[i], n, sh, offsets, found)
+
+    def _verify(self, k: int, n: int, sh: np.ndarray, offsets: np.ndarray, found: dict) -> None:
+        """Exact similarity at the offsets whose known shingles could suffice, the best bound first."""
+        s, c = self.counts[k]
+        own = np.array([self.weight[x] for x in s.tolist()])
+        need = (own * c).sum() * self.cfg.percent / 100 - 1e-9
+        lo, hi = int(offsets[0]), min(int(offsets[-1]) + n - self.cfg.words + 1, len(sh))
+        at = np.minimum(np.searchsorted(s, sh[lo:hi]), len(s) - 1)
+        sums = np.concatenate(([0.0], np.cumsum(np.where(s[at] == sh[lo:hi], own[at], 0.0))))
+        bound = sums[np.minimum(offsets + n - self.cfg.words + 1, hi) - lo] - sums[offsets - lo]
+        total = (own * c).sum()
+        for o in np.argsort(-bound, kind="stable").tolist():
+            best = found.get(k, (0.0,))[0]
+            if bound[o] < need or best >= 0.999 or bound[o] / total <= best:
+                break
+            start = int(offsets[o])
+            x = self.similarity(k, sh[start : start + n - self.cfg.words + 1])
+            if x * 100 >= self.cfg.percent - 1e-9 and x > best:
+                found[k] = (x, start, min(start + n, len(sh) + self.cfg.words - 1))
 
 
 MATCHES = "array<struct<item_id:bigint,similarity:double,first_word:bigint,end_word:bigint>>"

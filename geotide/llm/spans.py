@@ -9,7 +9,7 @@ Counts and first places are pre-aggregated by hash before the shuffle, and only
 occurrences again in a join that can be split where a passage is very frequent.
 
 Null and empty texts have no sentences and stay as they are; texts without a repeated span stay byte by byte; a text
-whose sentences all go becomes empty. Rows that repeat an id with the same text are one document; null ids sort first.
+whose sentences all go becomes empty. Rows that repeat an id are one document; rows without id sort first, by text.
 Other columns are passed through, but for columns named as the two counts, which are replaced.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .runtime import ready, table
+from .runtime import drop, ready, table
 from .words import Block, blocks, mix
 
 
@@ -30,8 +30,8 @@ from .words import Block, blocks, mix
 class Settings:
     sentences: int = 2
     words: int = 20
-    longest: int = 12
-    cut: int = 4
+    longest: int = 16
+    cut: int = 6
 
 
 _END = np.zeros(256, bool)
@@ -89,9 +89,9 @@ def _find(cfg: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for block in blocks(batch.column(2).to_pylist()):
+            for block in blocks(batch.column(1).to_pylist()):
                 found += [spans(block.words(i), sentence_ends(block, i, cfg), cfg)[0].view(np.int64) for i in range(len(block))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_gt_t", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc", "spans"])
 
     return run
 
@@ -105,13 +105,14 @@ def _cut(cfg: Settings):
                 for i in range(len(block)):
                     text, marks = texts[block.first + i], repeated[block.first + i]
                     cut = sentence_ends(block, i, cfg)
-                    drop = np.zeros(len(cut) + 1, np.int64)
+                    steps = np.zeros(len(cut) + 1, np.int64)
                     if marks:
                         _, last = spans(block.words(i), cut, cfg)
                         at = np.asarray(marks, np.int64)
-                        np.add.at(drop, at, 1)
-                        np.add.at(drop, last[at] + 1, -1)
-                    off = np.cumsum(drop[:-1]) > 0
+                        at = at[at < len(last)]
+                        np.add.at(steps, at, 1)
+                        np.add.at(steps, last[at] + 1, -1)
+                    off = np.cumsum(steps[:-1]) > 0
                     if off.any():
                         text = _without(text, block, i, cut, off)
                     out.append(text), count.append(len(cut)), gone.append(int(off.sum()))
@@ -135,16 +136,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, cfg: Settings = Setting
     """``docs`` with ``text`` less repeated sentences, and with n_sentences and n_removed."""
     ready(spark)
     docs = docs.drop("n_sentences", "n_removed")
-    key = [F.col("doc_id"), F.xxhash64("text").alias("_gt_t")]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select(*key, F.col("text").cast("binary").alias("text")).mapInArrow(_find(cfg), f"doc_id {kind}, _gt_t long, spans array<long>")
+    # The document's number, by which places are ordered; without an id, a number of the text below all ids.
+    number = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - (1 << 62))
+    found = docs.select(number.alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(_find(cfg), "doc long, spans array<long>")
     found = table(spark, found, "spans")
-    each = found.select("doc_id", "_gt_t", F.posexplode("spans").alias("place", "span"))
-    first = each.groupBy("span").agg(F.min(F.struct("doc_id", "place")).alias("_first"), F.max(F.struct("doc_id", "place")).alias("_last")).filter("not (_first <=> _last)").select("span", "_first")
-    again = each.join(first, "span").filter("not (struct(doc_id, place) <=> _first)")
-    marks = again.select(F.col("doc_id").alias("_gt_id"), F.col("_gt_t").alias("_gt_k"), "place").groupBy("_gt_id", "_gt_k").agg(F.collect_set("place").alias("_gt_places"))
+    each = found.select("doc", F.posexplode("spans").alias("place", "span"))
+    first = each.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("span", "first")
+    again = table(spark, each.join(first, "span"), "again")
+    drop(spark, found)
+    inside = again.filter("doc = first")
+    least = inside.groupBy("span").agg(F.min("place").alias("least"))
+    late = inside.join(least, "span").filter("place > least").select("doc", "place")
+    marks = again.filter("doc > first").select("doc", "place").unionByName(late).groupBy(F.col("doc").alias("_gt_id")).agg(F.collect_set("place").alias("_gt_places"))
     marks = table(spark, marks, "marks")
-    held = docs.select(*docs.columns, F.xxhash64("text").alias("_gt_t")).join(marks, F.col("doc_id").eqNullSafe(F.col("_gt_id")) & (F.col("_gt_t") == F.col("_gt_k")), "left")
+    held = docs.withColumn("_gt_doc", number).join(marks, F.col("_gt_doc") == F.col("_gt_id"), "left")
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "_gt_text binary", "_gt_n long", "_gt_gone long"])
     done = held.select(F.col("text").cast("binary").alias("text"), "_gt_places", *rest).mapInArrow(_cut(cfg), schema)

@@ -125,7 +125,7 @@ class Items:
         if len(words) >= self.cfg.words and len(self.known):
             sh = shingles(words, self.cfg.words)
             hits = np.flatnonzero(self.maybe[(sh >> self.shift).astype(np.int64)])
-            hits = hits[np.isin(sh[hits], self.known)]
+            hits = hits[self.known[np.minimum(np.searchsorted(self.known, sh[hits]), len(self.known) - 1)] == sh[hits]]
             for part in np.split(hits, np.flatnonzero(np.diff(hits // self.cfg.region)) + 1) if len(hits) else ():
                 self._region(words, sh, part, found)
         return [(self.ids[k], *found[k]) for k in sorted(found, key=lambda k: (self.ids[k], k))]

@@ -1,7 +1,7 @@
 """Elias-Fano sequences over numpy arrays that may be memory-mapped.
 
 A monotone sequence of n values below u keeps the low log2(u / n) bits of each value packed, and the high parts as
-gaps in a bit vector with a one for each value. Counts of ones before every 512 bits make the k-th one or zero, and
+gaps in a bit vector with a one for each value. Counts of ones before every 128 bits make the k-th one or zero, and
 with them access and successor search, a matter of a few vectorised steps.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 8  # words of 64 bits
+_BLOCK = 2  # words of 64 bits
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:

@@ -48,7 +48,7 @@ _SIZE = 1 << 21
 class Settings:
     kappa: float = 8.0
     shard_words: int = 2_000_000
-    shard_tokens: int = 6_000_000
+    shard_tokens: int = 2_500_000
 
 
 @dataclass
@@ -217,29 +217,37 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(raw, np.uint32, n, n * 8)
 
 
+def _unigram(model: Model, ids: np.ndarray) -> np.ndarray:
+    """Smoothed probability by word id."""
+    distinct, back = np.unique(ids, return_inverse=True)
+    return ((counts_at(model, distinct) + 1) / (model.tokens + model.words + 1))[back]
+
+
 def _build_pairs(model: Model):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        keys, counts = (np.concatenate(x) for x in zip(*[_unpacked(d) for d in rows["data"]]))
+        keys, counts = (np.concatenate(x) for x in zip(*[_unpacked(d) for d in rows.pop("data")]))
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, counts = keys[order], counts[order]
+        del order
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        n = np.add.reduceat(counts[order].astype(np.int64), first)
-        keys = keys[first]
+        n, keys = np.add.reduceat(counts.astype(np.int64), first), keys[first]
+        del counts, first
         u, v = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del keys
         lo, hi = int(u[0]), int(u[-1])
         starts = np.searchsorted(u, np.arange(lo, hi + 2))
         contexts, back = np.unique(u, return_inverse=True)
-        cu, (word, wback) = counts_at(model, contexts)[back], np.unique(v, return_inverse=True)
-        pv = (counts_at(model, word)[wback] + 1) / (model.tokens + model.words + 1)
-        p = np.log10((n + model.cfg.kappa * pv) / (cu + model.cfg.kappa))
+        p = n + model.cfg.kappa * _unigram(model, v)
+        p = np.log10(p / (counts_at(model, contexts)[back] + model.cfg.kappa))
+        del n, contexts, back
         low, high = float(p.min()), float(p.max())
         step = max((high - low) / 255, 1e-12)
         arrays = {"code": np.rint((p - low) / step).astype(np.uint8), "scale": np.array([low, step]), "range": np.array([lo, hi])}
-        arrays |= {f"start_{k}": x for k, x in EliasFano.build(starts, len(keys) + 1).items()}
+        arrays |= {f"start_{k}": x for k, x in EliasFano.build(starts, len(u) + 1).items()}
         arrays |= {f"next_{k}": x for k, x in EliasFano.build((u - lo) * model.words + v, (hi - lo + 1) * model.words).items()}
         save(model.path, f"pairs-{shard}", arrays)
-        return pd.DataFrame({"shard": [shard], "n": [len(keys)]})
+        return pd.DataFrame({"shard": [shard], "n": [len(u)]})
 
     return run
 

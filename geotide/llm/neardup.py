@@ -8,8 +8,9 @@ the full sets.
 
 Groups are never expanded into all pairs. First every member of a bucket is compared with the bucket's smallest class
 only, then with the smallest of a hashed part of the bucket, and the confirmed links give components. What a bucket
-still holds in different components is then compared across components, less the pairs whose similarities to the common leader rule a link out (1 - similarity is a
-metric). So each link between candidates is found or implied by links found, at the cost of a star for groups of
+still holds in different components is then compared across components, less the pairs whose similarities to the
+common leader rule a link out (1 - similarity is a metric) and those whose intersection is bounded below a link's, by
+the shingles that no other of these sets has and by bit counts of the sets' marks. So each link between candidates is found or implied by links found, at the cost of a star for groups of
 copies.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no band with a chance of 5e-6; an estimate below ``floor``
@@ -43,6 +44,7 @@ class Settings:
     bits: int = 2
     floor: float = 0.5
     part: int = 16
+    marks: int = 1024
 
     @property
     def longs(self) -> int:
@@ -99,13 +101,21 @@ def _features(cfg: Settings):
     return run
 
 
-def _sets(words: int):
+def _marks(s: np.ndarray, n: int) -> np.ndarray:
+    """A bit for each of ``n`` remainders that the set's shingles have, packed."""
+    on = np.zeros(n, np.uint8)
+    on[(s % np.uint64(n)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.int64)
+
+
+def _sets(cfg: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0).to_pylist()):
-                own = [np.unique(shingles(block.words(i), words)) for i in range(len(block))]
+                own = [np.unique(shingles(block.words(i), cfg.words)) for i in range(len(block))]
                 own = [s for s in own if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["class", "set"])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], longs), pa.array([_marks(s, cfg.marks) for s in own], longs)], ["class", "set", "marks"])
 
     return run
 
@@ -139,7 +149,7 @@ def _needed(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Dat
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ids = classes.join(nodes, "class").select(F.col("id").alias("_gt_id")).distinct().hint("shuffle_hash")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gt_id")), "left_semi").select(F.col("text").cast("binary").alias("text"))
-    return table(spark, texts.mapInArrow(_sets(cfg.words), "class long, set array<long>"), "sets")
+    return table(spark, texts.mapInArrow(_sets(cfg), "class long, set array<long>, marks array<long>"), "sets")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,6 +159,22 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(open_, "band")
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """For each class of ``sets``: its set's size, how many of its shingles stand in another class's set too, its marks."""
+    each = sets.select("class", F.explode("set").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("_hi")).filter("class = _hi")
+    alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("_alone"))
+    one = sets.groupBy("class").agg(F.max(F.size("set")).alias("size"), F.any_value("marks").alias("marks"))
+    one = one.withColumn("marked", F.aggregate("marks", F.lit(0), lambda n, m: n + F.bit_count(m)))
+    return one.join(alone, "class", "left").select("class", "size", (F.col("size") - F.coalesce("_alone", F.lit(0))).alias("shared"), "marks", "marked")
+
+
+def _common_most(p: str, q: str, cfg: Settings) -> Column:
+    """An upper bound of two sets' intersection: a mark that one set alone has is at least one shingle it has alone."""
+    both = sum((F.bit_count(F.col(f"{p}.marks{k}").bitwiseAND(F.col(f"{q}.marks{k}"))) for k in range(cfg.marks // 64)), F.lit(0))
+    return F.least(*[F.col(f"{x}.shared") for x in (p, q)], *[F.col(f"{x}.size") - F.col(f"{x}.marked") + both for x in (p, q)])
+
+
 def _stars(labels: DataFrame) -> DataFrame:
     return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -188,17 +214,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
         labels = table(spark, components(spark, _stars(labels).unionByName(more.filter(linked).select("a", "b"))), "labels")
 
     # What is left is compared pair by pair across components, unless distances to a common leader rule it out.
-    rest = _unresolved(members, labels).filter("class <> leader")
+    # Shingles that stand in one set only, and marks that one of two sets lacks, bound an intersection too.
+    rest = table(spark, _unresolved(members, labels).filter("class <> leader"), "rest")
+    sets = _needed(spark, docs, classes, rest.select(F.col("class").alias("a"), F.col("class").alias("b")), cfg)
+    shared = table(spark, _shared(sets).filter(F.col("shared") * 100 >= F.col("size") * cfg.percent), "shared")
     far = tested.select(F.col("a").alias("leader"), F.col("b").alias("class"), (1 - F.col("common") / F.col("either")).alias("far"))
-    rest = table(spark, rest.join(far, ["leader", "class"], "left").join(sigs, "class").select("band", "class", "component", "sig", "far"), "rest")
+    rest = rest.join(shared, "class").join(far, ["leader", "class"], "left").join(sigs, "class")
+    rest = table(spark, rest.select("band", "class", "component", "sig", "far", "size", "shared", "marked", *[F.col("marks")[k].alias(f"marks{k}") for k in range(cfg.marks // 64)]), "rest")
     p, q = rest.alias("p"), rest.alias("q")
     span = (100 - cfg.percent) / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("p.far") - F.col("q.far")) <= span, F.lit(True))
-    cross = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & near & (estimate(F.col("p.sig"), F.col("q.sig"), cfg) >= cfg.floor))
+    enough = _common_most("p", "q", cfg) * (100 + cfg.percent) >= (F.col("p.size") + F.col("q.size")) * cfg.percent
+    cross = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & near & (estimate(F.col("p.sig"), F.col("q.sig"), cfg) >= cfg.floor) & enough)
     cross = cross.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
     cross = table(spark, cross.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        more = _confirm(cross, _needed(spark, docs, classes, cross, cfg), cfg).filter(linked).select("a", "b")
+        more = _confirm(cross, sets, cfg).filter(linked).select("a", "b")
         labels = table(spark, components(spark, _stars(labels).unionByName(more)), "labels")
     of_class = classes.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -142,6 +142,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, cfg: Settings = Setting
     found = table(spark, found, "spans")
     each = found.select("doc", F.posexplode("spans").alias("place", "span"))
     first = each.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("span", "first")
+    first = table(spark, first, "first")  # read anew, so that the join's hot spans can be split
     again = table(spark, each.join(first, "span"), "again")
     drop(spark, found)
     inside = again.filter("doc = first")

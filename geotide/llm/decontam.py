@@ -6,13 +6,15 @@ their fingerprints: for every byte value the index holds the bit set of items wi
 fingerprint within ``radius`` of an item must agree to that many bits in some byte, so the union of eight look-ups
 misses none of them; the whole distance is then taken. Candidates are verified at every offset within a stride by the
 similarity of weighted shingles: sum of weights times smaller counts over the same with larger counts, a shingle's
-weight being 1 over the number of items that have it. A match needs ``percent``.
+weight being 1 over the number of items of the whole benchmark that have it. A shingle of the window that the item lacks
+weighs as much as the mean of those of the item that the window lacks: an edit costs what it replaces, however many
+other items share it. A match needs ``percent``.
 
 Windows without any shingle of any item are not hashed: their similarity is 0. Items shorter than a shingle match
 where their words stand exactly.
 
-The benchmark is read in blocks of at most ``block_chars`` characters of text; documents pass through all blocks, one
-map after another, without a shuffle. Null and empty texts and items match nothing; an item given twice is reported
+The benchmark is read in blocks of about ``block_chars`` characters of text; documents pass through all blocks, one
+map after another, without a shuffle, and an item's match does not depend on the others of its block. Null and empty texts and items match nothing; an item given twice is reported
 twice; repeated documents are judged row by row; other columns are passed through, but for one named
 ``matches``, which is replaced.
 """
@@ -77,7 +79,10 @@ class BlockIndex:
 
 
 class Items:
-    def __init__(self, ids: list[int], texts: list[bytes | None], cfg: Settings) -> None:
+    """Items of one block. shared: shingles that several items of the whole benchmark have, and in how many;
+    without it the block is the whole."""
+
+    def __init__(self, ids: list[int], texts: list[bytes | None], cfg: Settings, shared: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.cfg, self.short, by_length = cfg, defaultdict(dict), defaultdict(list)
         self.lengths: dict[int, set[int]] = defaultdict(set)
         self.ids, self.counts = ids, {}
@@ -93,8 +98,12 @@ class Items:
                 for x in s.tolist():
                     df[x] += 1
                     self.lengths[x].add(len(w))
-        self.weight = {x: 1.0 / n for x, n in df.items()}
         self.known = np.array(sorted(df), np.uint64)
+        held = np.array([df[x] for x in self.known.tolist()], np.float64)
+        if shared is not None:
+            at = np.searchsorted(self.known, shared[0])
+            held[at] = shared[1]
+        self.own = {k: 1.0 / held[np.searchsorted(self.known, s)] for k, (s, _) in self.counts.items()}
         size = 1 << max(16, (16 * len(df)).bit_length())
         self.shift = np.uint64(64 - (size.bit_length() - 1))
         self.maybe = np.zeros(size, bool)
@@ -109,10 +118,12 @@ class Items:
         t, d = np.unique(window, return_counts=True)
         at = np.minimum(np.searchsorted(s, t), len(s) - 1)
         both = s[at] == t
-        w = np.array([self.weight.get(x, 1.0) for x in t.tolist()])
-        own = np.array([self.weight[x] for x in s.tolist()])
-        common = (w[both] * np.minimum(d[both], c[at[both]])).sum()
-        return float(common / ((w * d).sum() + (own * c).sum() - common))
+        same = np.zeros(len(s), np.int64)
+        same[at[both]] = np.minimum(d[both], c[at[both]])
+        own = self.own[k]
+        common, lacking = (own * same).sum(), (own * (c - same)).sum()
+        foreign = (len(window) - same.sum()) * lacking / max(1, (c - same).sum())
+        return float(common / (common + lacking + foreign))
 
     def matches(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """Of one document: item, similarity, first word and end of its best window, for every item that matches."""
@@ -139,24 +150,35 @@ class Items:
         lo, hi = max(0, int(hits[0]) - reach), min(len(words), int(hits[-1]) + self.cfg.words + reach)
         sums = signs(words[lo:hi])
         for n, ps in by_length.items():
-            stride, p = max(1, n // 8), np.array(ps)
+            stride, p = max(1, n // 8), np.unique(ps)
             top = max(0, len(words) - n)
-            first = np.maximum(0, p - (n - self.cfg.words)) // stride
-            grid = first[:, None] + np.arange((n - self.cfg.words) // stride + 2)[None, :]
-            starts = np.unique(np.append(np.minimum(grid * stride, top).ravel(), np.minimum(np.maximum(0, p - n // 2), top)))
+            starts = self._starts(p, n, top)
             starts = starts[(starts >= lo) & (np.minimum(starts + n, len(words)) <= hi)]
             if not len(starts):
                 continue
             ks, index = self.groups[n]
             row, item = index.find(fingerprints(sums, starts - lo, np.minimum(starts + n, len(words)) - lo))
             for i in np.unique(item).tolist():
-                offsets = np.unique(np.clip(starts[row[item == i]][:, None] + np.arange(-stride, stride + 1)[None, :], 0, top))
+                # Only windows that the item's own shingles ask for: others depend on what else is in the block.
+                s = self.counts[ks[i]][0]
+                mine = p[s[np.minimum(np.searchsorted(s, sh[p]), len(s) - 1)] == sh[p]]
+                near = np.intersect1d(starts[row[item == i]], self._starts(mine, n, top)) if len(mine) else mine
+                if not len(near):
+                    continue
+                offsets = np.unique(np.clip(near[:, None] + np.arange(-stride, stride + 1)[None, :], 0, top))
                 self._verify(ks[i], n, sh, offsets, found)
 
+    def _starts(self, p: np.ndarray, n: int, top: int) -> np.ndarray:
+        """First words of the windows of ``n`` words to hash around shingles at ``p``."""
+        stride = max(1, n // 8)
+        first = np.maximum(0, p - (n - self.cfg.words)) // stride
+        grid = first[:, None] + np.arange((n - self.cfg.words) // stride + 2)[None, :]
+        return np.unique(np.append(np.minimum(grid * stride, top).ravel(), np.minimum(np.maximum(0, p - n // 2), top)))
+
     def _verify(self, k: int, n: int, sh: np.ndarray, offsets: np.ndarray, found: dict) -> None:
         """Exact similarity at the offsets whose known shingles could suffice, the best bound first."""
         s, c = self.counts[k]
-        own = np.array([self.weight[x] for x in s.tolist()])
+        own = self.own[k]
         need = (own * c).sum() * self.cfg.percent / 100 - 1e-9
         lo, hi = int(offsets[0]), min(int(offsets[-1]) + n - self.cfg.words + 1, len(sh))
         at = np.minimum(np.searchsorted(s, sh[lo:hi]), len(s) - 1)
@@ -186,12 +208,31 @@ def _scan(items: Items):
                 block: Block
                 for i in range(len(block)):
                     new = [dict(zip(("item_id", "similarity", "first_word", "end_word"), m)) for m in items.matches(block.words(i))]
-                    out.append((before[block.first + i] or []) + new)
+                    out.append(sorted((before[block.first + i] or []) + new, key=lambda m: m["item_id"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KIND), *batch.columns[2:]], ["_gt_b", "_gt_m", *batch.schema.names[2:]])
 
     return run
 
 
+def _shingles_of(cfg: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, found = batch.column(0).to_pylist(), []
+            for block in blocks(batch.column(1).to_pylist()):
+                words = [block.words(i) for i in range(len(block))]
+                found += [np.unique(shingles(w, cfg.words)).view(np.int64) if len(w) >= cfg.words else np.zeros(0, np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_part", "shingles"])
+
+    return run
+
+
+def _shared(spark: SparkSession, items: DataFrame, cfg: Settings) -> DataFrame:
+    """_part, shingle, n: shingles that several items of any blocks have, in how many, for each block that has them."""
+    each = items.select(F.col("_part").cast("long").alias("_part"), F.col("text").cast("binary").alias("b")).mapInArrow(_shingles_of(cfg), "_part long, shingles array<long>")
+    found = each.select("_part", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.collect_set("_part").alias("parts")).filter("n > 1")
+    return table(spark, found.select(F.explode("parts").alias("_part"), "shingle", "n"), "shared")
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``docs`` with ``matches``: items found in the text, by item id. benchmark: (item_id, text)."""
     ready(spark)
@@ -202,10 +243,16 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     items = items.withColumn("_part", F.floor(uniform(3, F.col("item_id")) * parts))
     if parts > 1:
         items = table(spark, items, "items")
+        known = _shared(spark, items, cfg)
     rest = list(docs.columns)
     held = docs.select(F.col("text").cast("binary").alias("_gt_b"), F.lit(None).cast(MATCHES).alias("_gt_m"), *[c for c in rest if c != "text"])
     schema = ", ".join(["_gt_b binary", f"_gt_m {MATCHES}", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest if c != "text"]])
     for part in range(parts):
-        rows = items.filter(F.col("_part") == part).select("item_id", F.col("text").cast("binary").alias("b")).orderBy("item_id").collect()
-        held = held.mapInArrow(_scan(Items([r["item_id"] for r in rows], [bytes(r["b"]) for r in rows], cfg)), schema)
+        rows = items.filter(F.col("_part") == part).select("item_id", F.col("text").cast("binary").alias("b")).orderBy("item_id", "b").collect()
+        shared = None
+        if parts > 1:
+            found = known.filter(F.col("_part") == part).toArrow()
+            x, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+            shared = x, n
+        held = held.mapInArrow(_scan(Items([r["item_id"] for r in rows], [bytes(r["b"]) for r in rows], cfg, shared)), schema)
     return held.select(*[F.col("_gt_b").cast("string").alias("text") if c == "text" else F.col(c) for c in rest], F.col("_gt_m").alias("matches"))

@@ -210,6 +210,24 @@ def test_leaks(spark, odd, none):
     assert decontam.find_leaks(spark, none, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_shared_items_do_not_depend_on_blocks(spark):
+    rs = random.Random(12)
+    item, prompt = [f"w{rs.randrange(10**6)}" for _ in range(50)], [f"p{rs.randrange(10**6)}" for _ in range(30)]
+    asks = [[f"q{rs.randrange(10**6)}" for _ in range(30)] for _ in range(8)]
+    items = [(k, " ".join(item)) for k in range(10)] + [(20 + k, " ".join(prompt + q)) for k, q in enumerate(asks)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    near, mixed = list(item), prompt + asks[0]
+    near[25] = "changed"
+    mixed[12] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(mixed)), (3, " ".join(prompt + item[:30]))], "doc_id long, text string")
+    twice = bench.filter("item_id < 2")
+    assert [[(m["item_id"], round(m["similarity"], 9)) for m in r["matches"]] for r in decontam.find_leaks(spark, docs.filter("doc_id = 1"), twice).collect()] == [[(0, round(41 / 51, 9)), (1, round(41 / 51, 9))]]
+    whole = {r["doc_id"]: r["matches"] for r in decontam.find_leaks(spark, docs, bench).collect()}
+    assert {k: [m["item_id"] for m in v] for k, v in whole.items()} == {1: list(range(10)), 2: [20], 3: []}
+    for size in (400, 2000):
+        assert {r["doc_id"]: r["matches"] for r in decontam.find_leaks(spark, docs, bench, decontam.Settings(block_chars=size)).collect()} == whole
+
+
 def test_block_index_misses_nothing():
     rs = np.random.RandomState(1)
     items = rs.randint(0, 256, (300, 8)).astype(np.uint8)

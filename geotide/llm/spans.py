@@ -1,9 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends after a word that ends in ``. ! ? ; :`` or at a line break; a longer one than ``longest`` words is
-cut further after words chosen by their own hash, so that a passage is cut alike wherever it stands. From every
-sentence starts one span: the shortest run of at least ``sentences`` sentences and ``words`` words. Spans are hashed
-and joined over the whole table; all sentences of a span that also stands earlier (by doc_id, then place) are removed.
+cut further after words chosen by their own hash, so that a passage is cut alike wherever it stands. A run of sentences
+counts when it has at least ``sentences`` sentences and ``words`` words, or at least ``several`` sentences none of which
+was cut further. All sentences of a run that also stands earlier (by doc_id, then place) are removed.
+
+Not all runs need be hashed: from every sentence starts one span, the shortest run with enough words, and at every
+sentence ends one; every ``several`` uncut sentences in a row are one. Each sentence of a longer run lies in one of
+those inside it: after the first span of a run, every sentence has enough words before it to end another. Spans are
+hashed and joined over the whole table.
 
 Counts and first places are pre-aggregated by hash before the shuffle, and only spans that repeat meet their
 occurrences again in a join that can be split where a passage is very frequent.
@@ -30,8 +35,9 @@ from .words import Block, blocks, mix
 class Settings:
     sentences: int = 2
     words: int = 20
+    several: int = 3
     longest: int = 16
-    cut: int = 6
+    cut: int = 3
 
 
 _END = np.zeros(256, bool)
@@ -40,9 +46,14 @@ _END[list(b".!?;:")] = True
 
 def sentence_ends(block: Block, i: int, cfg: Settings) -> np.ndarray:
     """For document i: the number of words up to the end of each sentence."""
+    return sentences(block, i, cfg)[0]
+
+
+def sentences(block: Block, i: int, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For document i: the number of words up to the end of each sentence, and which ones were not cut further."""
     lo, hi = block.bounds[i], block.bounds[i + 1]
     if lo == hi:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     raw = np.frombuffer(block.buf, np.uint8)
     starts, ends, h = block.starts[lo:hi], block.ends[lo:hi], block.hashes[lo:hi]
     stop = _END[raw[ends - 1]]
@@ -52,25 +63,34 @@ def sentence_ends(block: Block, i: int, cfg: Settings) -> np.ndarray:
     stop[-1] = True
     cut = np.flatnonzero(stop) + 1
     length = np.diff(cut, prepend=0)
+    whole = np.ones(len(cut), bool)
     if (length > cfg.longest).any():
         long = np.repeat(length > cfg.longest, length)
         stop |= long & (h % np.uint64(cfg.cut) == 0)
         cut = np.flatnonzero(stop) + 1
-    return cut
+        whole = ~long[cut - 1]
+    return cut, whole
 
 
-def spans(words: np.ndarray, cut: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Of the sentences from which a span starts, in order: the span's hash and its last sentence."""
-    if not len(cut):
-        return words[:0], cut
+def spans(words: np.ndarray, cut: np.ndarray, whole: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all spans, ordered by place: hash, first and last sentence."""
+    n = len(cut)
+    if not n:
+        return words[:0], cut, cut
     begin = np.concatenate(([0], cut[:-1]))
-    last = np.maximum(np.searchsorted(cut, begin + cfg.words), np.arange(len(cut)) + cfg.sentences - 1)
-    last = last[last < len(cut)]
-    begin, end = begin[: len(last)], cut[last]
+    each = np.arange(n)
+    last = np.maximum(np.searchsorted(cut, begin + cfg.words), each + cfg.sentences - 1)
+    first = np.minimum(np.searchsorted(begin, cut - cfg.words, side="right") - 1, each - cfg.sentences + 1)
+    row = each[: max(0, n - cfg.several + 1)]
+    uncut = np.concatenate(([0], np.cumsum(whole)))
+    row = row[uncut[row + cfg.several] - uncut[row] == cfg.several]
+    pair = np.concatenate((each[last < n] * n + last[last < n], first[first >= 0] * n + each[first >= 0], row * n + row + cfg.several - 1))
+    first, last = np.divmod(np.unique(pair), n)
+    begin, end = begin[first], cut[last]
     # A span's hash is a difference of prefix sums of word hashes times powers, moved to the span's start.
     power, inverse = _powers(len(words) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)))
-    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), last
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), first, last
 
 
 _held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -90,7 +110,7 @@ def _find(cfg: Settings):
         for batch in batches:
             found = []
             for block in blocks(batch.column(1).to_pylist()):
-                found += [spans(block.words(i), sentence_ends(block, i, cfg), cfg)[0].view(np.int64) for i in range(len(block))]
+                found += [spans(block.words(i), *sentences(block, i, cfg), cfg)[0].view(np.int64) for i in range(len(block))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc", "spans"])
 
     return run
@@ -104,13 +124,13 @@ def _cut(cfg: Settings):
             for block in blocks(texts):
                 for i in range(len(block)):
                     text, marks = texts[block.first + i], repeated[block.first + i]
-                    cut = sentence_ends(block, i, cfg)
+                    cut, whole = sentences(block, i, cfg)
                     steps = np.zeros(len(cut) + 1, np.int64)
                     if marks:
-                        _, last = spans(block.words(i), cut, cfg)
+                        _, first, last = spans(block.words(i), cut, whole, cfg)
                         at = np.asarray(marks, np.int64)
                         at = at[at < len(last)]
-                        np.add.at(steps, at, 1)
+                        np.add.at(steps, first[at], 1)
                         np.add.at(steps, last[at] + 1, -1)
                     off = np.cumsum(steps[:-1]) > 0
                     if off.any():

@@ -191,6 +191,32 @@ def test_spans_against_brute_force(spark, odd, none):
     assert spans.remove_repeats(spark, none).count() == 0
 
 
+def test_every_sentence_of_a_repeated_run_goes(spark):
+    rs = random.Random(6)
+    many = lambda *sizes: " ".join(" ".join(f"w{rs.randrange(10**6)}" for _ in range(k)) + "." for k in sizes)
+    end, short, bare = many(15, 8, 8), many(4, 3, 5), " ".join(f"b{rs.randrange(10**6)}" for _ in range(400))
+    pool = [many(rs.randint(1, 15)) for _ in range(12)]
+    rows = [(0, f"{many(9)} {end} {many(12)}"), (1, f"{many(5)} {end} {many(7)}"), (2, f"{many(6)} {short} {many(6)}"), (3, f"{many(6)} {short} {many(6)}")]
+    rows += [(4, many(9) + " " + bare), (5, " ".join(f"c{rs.randrange(10**6)}" for _ in range(100)) + " " + bare + " " + " ".join(f"d{rs.randrange(10**6)}" for _ in range(100)))]
+    rows += [(k, " ".join(rs.choice(pool) for _ in range(rs.randint(2, 7)))) for k in range(10, 30)]
+    cfg, seen, parts = spans.Settings(), {}, {}
+    for i, t in rows:
+        block = Block(0, [t.encode()])
+        cut, whole = spans.sentences(block, 0, cfg)
+        w, begin = t.split(), [0, *cut.tolist()]
+        for a in range(len(cut)):
+            for b in range(a, min(len(cut), a + 300)):  # all runs, the longest too
+                if (b - a + 1 >= cfg.sentences and cut[b] - begin[a] >= cfg.words) or (b - a + 1 >= cfg.several and whole[a : b + 1].all()):
+                    seen.setdefault(tuple(w[begin[a] : cut[b]]), []).append((i, a, b))
+        parts[i] = (w, begin)
+    gone = {(i, k) for at in seen.values() for i, a, b in sorted(at)[1:] for k in range(a, b + 1)}
+    got = {r["doc_id"]: r for r in spans.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (w, begin) in parts.items():
+        assert got[i]["text"].split() == [x for k in range(len(begin) - 1) if (i, k) not in gone for x in w[begin[k] : begin[k + 1]]], i
+    assert got[1]["n_removed"] == 3 == got[3]["n_removed"]
+    assert sum(x.startswith("b") for x in got[5]["text"].split()) <= 12
+
+
 def test_leaks(spark, odd, none):
     rs = random.Random(11)
     items = [(k, words(rs, rs.randint(20, 60))) for k in range(30)] + [(90, "tiny one"), (91, None), (92, "")]

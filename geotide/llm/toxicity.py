@@ -8,14 +8,17 @@ A sentence's score is that of its worst unit, a document's that of its worst sen
 
 Training is by multiple instances: all sentences of documents labelled 0 are negative; a document labelled 1 has some
 positive sentence, witnessed by the units that occur in such documents alone far beyond chance, counted over distinct
-sketches so that copies of one document count once, and earn a document's credit against the others in it. Witnesses and variants of them with inserted and doubled letters are
+sketches of all labelled documents so that copies of one document count once, and earn the credit of ``least_credit``
+documents against the others in them. Beyond chance is a matter of documents and not of shares, so that rare insults
+are learned from larger tables: the chance of so many documents is under ``e ** -surprise``, or at most a share of
+``chance`` of the units taken is to be expected by chance among all that were tried. Witnesses and variants of them with inserted and doubled letters are
 the positives; the negatives are the commonest units of the other documents and, in three rounds, those that score
 highest. Landmarks come from both; the Nystroem map makes the machine linear in at most ``landmarks`` dimensions, where
 it is solved by Newton steps on the squared hinge. As the kernel's features are the 26**3 letter triples, the landmark
 expansion collapses into one weight for each triple, and scoring costs no more with more landmarks. A logistic fit on
 the sampled documents turns margins into scores.
 
-Learning takes at most ``per_label`` documents of each label, chosen by a hash of the id. Null and empty texts score as
+Negatives and the logistic fit take at most ``per_label`` documents of each label, chosen by a hash of the id. Null and empty texts score as
 texts without insults; without labels, or without any witness, every score is the share of label 1 (0 without labels).
 Labels given twice count as the larger; repeated rows are judged alike; other columns are passed through as asked.
 """
@@ -44,7 +47,11 @@ class Settings:
     variants: int = 12
     cost: float = 10.0
     ridge: float = 1.0
-    least_credit: float = 0.02
+    surprise: float = 12.0
+    chance: float = 0.05
+    least: int = 4
+    least_credit: float = 2.0
+    broadcast: int = 2_000_000
 
 
 #: Signs read as letters when they stand inside a word.
@@ -256,13 +263,21 @@ def _spelt(block, out: list[float], spelt: dict[int, list[str]], model: Model) -
 
 def _units_of(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[str]] = {}
         for batch in batches:
             sketch, units = [], []
+            if len(kept) > 400_000:
+                kept.clear()
             for text in batch.column(1).to_pylist():
                 block = next(blocks([text]))
                 sketch.append(int(shingles(block.hashes, 2).min().astype(np.int64)) if len(block.hashes) else 0)
                 tokens = set((text or b"").decode("utf-8", "replace").split())
-                units.append(sorted({p for t in tokens for p in pieces(unit(t), longest)}))
+                own: set[str] = set()
+                for t in tokens:
+                    if t not in kept:
+                        kept[t] = pieces(unit(t), longest)
+                    own.update(kept[t])
+                units.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.int64()), pa.array(units, pa.list_(pa.string()))], ["label", "sketch", "units"])
 
     return run
@@ -296,30 +311,22 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     chosen = known.filter(uniform(29, F.col("doc_id")) < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "label")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("binary").alias("text"))
     sample = table(spark, sample, "sample")
-    units = sample.mapInArrow(_units_of(cfg.longest), "label int, sketch long, units array<string>")
-    docs_of = units.groupBy("label").agg(F.countDistinct("sketch").alias("n")).collect()
-    n = {r["label"]: r["n"] for r in docs_of}
-    if len(n) < 2:
-        return Model(cfg, base)
-    each = units.select("label", "sketch", F.explode("units").alias("unit")).distinct().groupBy("unit").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    rows = each.toArrow()
-    word, bad, good = rows.column("unit").to_pylist(), rows.column("bad").to_numpy().astype(float), rows.column("good").to_numpy().astype(float)
-    order = np.lexsort((np.array(word, object), -(bad + good)))
-    word, bad, good = [word[k] for k in order], bad[order], good[order]
-    r = n[1] / (n[0] + n[1])
-    both = np.maximum(bad + good, 1)
-    surprise = bad * np.log(np.maximum(bad, 1e-9) / (r * both)) + good * np.log(np.maximum(good, 1e-9) / ((1 - r) * both))
-    sure = (bad / both > (1 + r) / 2) & (surprise > 12) & (bad >= max(4, 0.01 * n[1]))
-    picked = sorted(np.flatnonzero(sure).tolist(), key=lambda k: -surprise[k])[:1000]
-    model = Model(cfg, base, witnesses=_credited(units, [word[k] for k in picked], cfg.least_credit * n[1])[: cfg.landmarks // 2])
+    model = Model(cfg, base, witnesses=_witnesses(spark, docs, known, sum(sizes.values()), cfg))
     if not model.witnesses:
         return model
+    usual = sample.filter("label = 0").mapInArrow(_units_of(cfg.longest), "label int, sketch long, units array<string>")
+    rows = usual.select("sketch", F.explode("units").alias("unit")).distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    found = set(model.witnesses)
+    good = dict(zip(rows.column("unit").to_pylist(), rows.column("n").to_pylist()))
+    clean = sorted((w for w in good if w not in found), key=lambda w: (-good[w], w))
+    if not clean:
+        return model
     positive = [*model.witnesses]
     for k, w in enumerate(model.witnesses):
         positive += variants(w, cfg.variants, np.random.RandomState(100 + k))
-    clean = [w for w, x in zip(word, good) if x > 0]
     negative = clean[:1500]
-    model.landmarks = [*model.witnesses, *[w for w in clean if w not in set(model.witnesses)][: cfg.landmarks - len(model.witnesses)]]
+    seen = model.witnesses[: 4 * cfg.landmarks]
+    model.landmarks = [*seen, *clean[: max(cfg.landmarks - len(seen), len(seen))]]
     phi = landmark_features(model.landmarks, cfg.decay)
     value, vector = np.linalg.eigh(phi.T @ phi)
     use = value > 1e-8 * value.max()
@@ -338,21 +345,40 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     return model
 
 
-def _credited(units: DataFrame, candidates: list[str], least: float) -> list[str]:
-    """Candidates that explain documents of label 1: each document's credit is split among its candidates, so that words
-    that only occur together, as in many variants of one document, earn little."""
-    if not candidates:
+def _witnesses(spark: SparkSession, docs: DataFrame, known: DataFrame, count: int, cfg: Settings) -> list[str]:
+    """Units that stand for label 1, the most surprising first."""
+    asked = known.select(F.col("doc_id").alias("_id"), "label")
+    asked = F.broadcast(asked) if count <= cfg.broadcast else asked.hint("merge")  # the rows are the same
+    labelled = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("binary").alias("text"))
+    units = labelled.mapInArrow(_units_of(cfg.longest), "label int, sketch long, units array<string>")
+    units = table(spark, units.groupBy("label", "sketch").agg(F.max("units").alias("units")), "units")
+    n = {r["label"]: r["n"] for r in units.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return []
-    known = F.array(*[F.lit(w) for w in candidates])
-    rows = units.filter("label = 1").select("sketch", F.explode(F.array_intersect("units", known)).alias("unit")).distinct().toArrow()
-    by_doc: dict[int, list[str]] = {}
-    for d, w in zip(rows.column("sketch").to_pylist(), rows.column("unit").to_pylist()):
-        by_doc.setdefault(d, []).append(w)
-    credit = dict.fromkeys(candidates, 0.0)
-    for ws in by_doc.values():
-        for w in ws:
-            credit[w] += 1 / len(ws)
-    return [w for w in candidates if credit[w] >= max(2.0, least)]
+    r = n[1] / (n[0] + n[1])
+    each = units.select("label", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    each = table(spark, each.filter(F.col("bad") + F.col("good") >= cfg.least), "tried")
+    tried = each.count()
+    rows = each.filter(F.col("bad") >= cfg.least).filter(F.col("bad") / (F.col("bad") + F.col("good")) > (1 + r) / 2).toArrow()
+    word, bad, good = rows.column("unit").to_pylist(), rows.column("bad").to_numpy().astype(float), rows.column("good").to_numpy().astype(float)
+    both = np.maximum(bad + good, 1)
+    # By Chernoff's bound e ** -surprise is at least the chance of so many documents of label 1 among all with the unit.
+    surprise = bad * np.log(np.maximum(bad, 1e-9) / (r * both)) + good * np.log(np.maximum(good, 1e-9) / ((1 - r) * both))
+    order = np.lexsort((np.array(word, object), -surprise))
+    word, surprise = [word[k] for k in order], surprise[order]
+    rare = np.flatnonzero(np.exp(-surprise) * tried <= cfg.chance * np.arange(1, len(word) + 1))
+    sure = word[: max(int((surprise > cfg.surprise).sum()), int(rare[-1]) + 1 if len(rare) else 0)]
+    earned = _credit(spark, units, sure) if sure else {}
+    return [w for w in sure if earned.get(w, 0.0) >= cfg.least_credit]
+
+
+def _credit(spark: SparkSession, units: DataFrame, candidates: list[str]) -> dict[str, float]:
+    """Documents of label 1 that each candidate explains: a document's credit is split among its candidates, so that words
+    that only occur together, as in many variants of one document, earn little."""
+    listed = F.broadcast(spark.createDataFrame([(w,) for w in candidates], "unit string"))
+    by_doc = units.filter("label = 1").select("sketch", F.explode("units").alias("unit")).join(listed, "unit").groupBy("sketch").agg(F.collect_list("unit").alias("_in"))
+    rows = by_doc.select(F.explode("_in").alias("unit"), (1 / F.size("_in")).alias("_part")).groupBy("unit").agg(F.round(F.sum("_part"), 9).alias("credit")).collect()
+    return {r["unit"]: r["credit"] for r in rows}
 
 
 def _margins(model: Model):

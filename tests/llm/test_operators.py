@@ -381,6 +381,24 @@ def test_toxicity(spark, insults, odd, none):
     assert toxicity.fit(spark, none, labels).score(0.0) == model.base
 
 
+def test_rare_insults_are_learned(spark):
+    rs = random.Random(22)
+    bad = ["".join(rs.choice(c) for c in ("zxw", "yu", "pfg", "yeu", "zxw", "gbp", "uy", "tnd")) for _ in range(140)]
+    bad = list(dict.fromkeys(bad))
+    rows, labels = [], []
+    for k in range(8000):
+        t = words(rs, 40).split()
+        if k % 8 == 0:
+            t[rs.randrange(40)] = bad[k // 8 % 71] if k % 5 else bad[0]  # one common and 70 rare ones, one a document
+        rows.append((k, " ".join(t)))
+        labels.append((k, int(k % 8 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs, labels, toxicity.Settings(per_label=400))
+    assert set(bad[:71]) == set(model.witnesses)
+    wrong = toxicity.score(spark, docs, model, ["doc_id"]).filter("(_gt_score >= 0.5) <> (doc_id % 8 = 0)").count()
+    assert wrong <= 8
+
+
 def test_kernel_equals_its_features():
     strings = ["idiotic", "banana", "aaaa", "xyz"]
     phi = toxicity.landmark_features(strings, 0.5)

@@ -167,21 +167,55 @@ def pansharpen(low: DataFrame, hrv: DataFrame, grid: Grid, window: int = 5, cap:
     return out.select("t1", "t2", *PIXEL, (F.least(value, F.lit(cap)) if cap is not None else value).alias("value"))
 
 
+#: Search of the thermal threshold, in degrees and buckets.
+LAND_PEAK_MIN, CLOUD_THRESHOLD_MIN, RISING, SOFT_FALLING = -5.0, -12.0, 3, 3
+CLOUD_RATIO, MERGED_RATIO = 0.85, (0.8, 1.0)
+
+
+def thermal_threshold(counts: list[int], lo: float, step: float = 0.5) -> float:
+    """Lower border of the bucket between clouds (cold side) and land in a histogram whose first bucket starts at ``lo``.
+
+    The minimum below the land peak counts if three buckets rise beyond it, it is not too cold and the cloud peak is
+    distinct; else the cloud peak is taken as merged and the start of a soft fall of the land peak counts, or ``lo``."""
+    border = lambda k: lo + k * step
+    start = min(len(counts) - 1, max(0, math.floor((LAND_PEAK_MIN - lo) / step)))
+    land = max(range(start, len(counts)), key=lambda k: (counts[k], -k)) if border(len(counts)) > LAND_PEAK_MIN else start
+    least, rising = land, 0
+    for k in range(land - 1, -1, -1):
+        if counts[k] > counts[k + 1]:
+            rising += 1
+            if rising >= RISING:
+                break
+        else:
+            rising = max(rising - 1, 0)
+            least = k if counts[k] < counts[least] else least
+    # As in the original, the coldest bucket above the minimum's count stands for the cloud peak.
+    cloud = next((k for k in range(least) if counts[k] > counts[least]), least)
+    merged, soft = 0, 0
+    for k in range(land - 1, -1, -1):
+        falls = counts[k + 1] > 0 and MERGED_RATIO[0] < counts[k] / counts[k + 1] <= MERGED_RATIO[1]
+        soft = soft + 1 if falls else 0
+        if soft >= SOFT_FALLING:
+            merged = k + soft
+            break
+    low, peak = border(least), border(cloud)
+    flat = cloud != least and (low / peak > CLOUD_RATIO if peak else low > 0)
+    return border(merged) if rising < RISING or low < CLOUD_THRESHOLD_MIN or flat else low
+
+
 def thermal_thresholds(difference: DataFrame, zenith: DataFrame, *, day: tuple[float, float], night: tuple[float, float], step: float = 0.5) -> dict[str, float | None]:
-    """Thresholds of a brightness temperature difference by day and night: the emptiest bucket between zero's side and
-    the highest peak of its histogram under each range of zenith angles. The ranges are the caller's."""
-    both = stack([difference, zenith]).select(F.col("a").alias("d"), F.col("b").alias("z"))
+    """Thresholds of a brightness temperature difference by day and night, from its histogram under each range of
+    zenith angles (the end not included). The ranges are the caller's; the histogram spans the data and -5 degrees."""
+    both = stack([difference, zenith]).select(F.col("a").alias("d"), F.col("b").alias("z")).filter("d is not null and not isnan(d)")
     out: dict[str, float | None] = {}
     for name, (lo, hi) in (("day", day), ("night", night)):
-        hist = {r["k"]: r["n"] for r in both.filter(F.col("z").between(lo, hi)).groupBy(F.floor(F.col("d") / step).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a few hundred buckets
+        hist = {r["k"]: r["n"] for r in both.filter((F.col("z") >= lo) & (F.col("z") < hi)).groupBy(F.floor(F.col("d") / step).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a few hundred buckets
         if not hist:
             out[name] = None
             continue
-        land = max(sorted(hist), key=lambda k: hist[k])
-        above = range(land, max(hist) + 1)
-        later = [k for k in above if k > land + 1 and hist.get(k, 0) > hist.get(k - 1, 0)]
-        low = min(range(land, (later[-1] if later else max(hist)) + 1), key=lambda k: (hist.get(k, 0), k))
-        out[name] = (low + 0.5) * step
+        first = min(*hist, math.floor(LAND_PEAK_MIN / step))
+        last = max(*hist, math.floor(LAND_PEAK_MIN / step))
+        out[name] = thermal_threshold([hist.get(k, 0) for k in range(first, last + 1)], first * step, step)
     return out
 
 

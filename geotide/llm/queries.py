@@ -18,7 +18,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model = toxicity.fit(spark, docs.filter(remainder("doc_id", 5) != 0), _read(spark, sf_dir, "labels"))
+    learnt = remainder("doc_id", 5) != 0
+    model = toxicity.fit(spark, docs.filter(learnt), _read(spark, sf_dir, "labels").filter(learnt))
     out = toxicity.score(spark, docs, model, ["doc_id"])
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("_gt_score").alias("score"), (F.col("_gt_score") >= 0.5).cast("int").alias("predicted"))
 

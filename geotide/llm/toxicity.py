@@ -1,30 +1,37 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
-The kernel compares two letter strings by their common subsequences of three letters; a subsequence that spans k
-letters weighs ``decay ** k`` in each string, and the kernel is normalised. Gapped, doubled and inserted letters thus
-cost a little and not a match. A sentence is the bag of its units: words reduced to the letters a-z (accents, digits and
-signs that stand for letters are folded, other alphabets map onto the same letters), and runs of single letters joined.
-A sentence's score is that of its worst unit, a document's that of its worst sentence.
-
-Training is by multiple instances: all sentences of documents labelled 0 are negative; a document labelled 1 has some
-positive sentence, witnessed by the units that occur in such documents alone far beyond chance, counted over distinct
-sketches of all labelled documents so that copies of one document count once, and earn the credit of ``least_credit``
-documents against the others in them. Beyond chance is a matter of documents and not of shares, so that rare insults
-are learned from larger tables: the chance of so many documents is under ``e ** -surprise``, or at most a share of
-``chance`` of the units taken is to be expected by chance among all that were tried. Witnesses and variants of them with inserted and doubled letters are
-the positives; the negatives are the commonest units of the other documents and, in three rounds, those that score
-highest. Landmarks come from both; the Nystroem map makes the machine linear in at most ``landmarks`` dimensions, where
-it is solved by Newton steps on the squared hinge. As the kernel's features are the 26**3 letter triples, the landmark
-expansion collapses into one weight for each triple, and scoring costs no more with more landmarks. A logistic fit on
-the sampled documents turns margins into scores.
-
-Negatives and the logistic fit take at most ``per_label`` documents of each label, chosen by a hash of the id. Null and empty texts score as
-texts without insults; without labels, or without any witness, every score is the share of label 1 (0 without labels).
-Labels given twice count as the larger; repeated rows are judged alike; other columns are passed through as asked.
+A unit is a word reduced to its letters in any alphabet (signs inside it that stand for letters are read as those, other
+signs go), or a run of single letters joined. The kernel compares two units, each between a mark for its begin and one
+for its end, by their common subsequences of four characters that span at most ``span``; each letter skipped costs a
+factor ``decay``. Gapped, doubled and inserted letters thus cost a little and not a match, and words of one family share
+what they have in common. The kernel is divided by its value for strings of the same lengths without repeated
+letters. A sentence is the bag of its units.
+
+The machine is trained on the sentences of labelled documents, by multiple instances: every unit of a sentence of label
+0 is negative; of a document labelled 1 only some units are to blame. It starts with all of them and then takes, in
+``rounds`` rounds, the ``share`` of the document's units with the highest margins as its witnesses, so that the rare
+forms of one family are found through the kernel; in the last round also variants of the best witnesses with inserted
+and doubled letters. Half of the landmarks are the units whose documents favour label 1 most, the others are spread over
+all units. The Nystroem map makes the machine linear, where Newton steps on the squared hinge solve it; as the features
+are explicit (hashed to 2**bits), the landmark expansion collapses into one weight for each, and scoring costs no more
+with more landmarks.
+
+A document is judged by its largest margin and by the mean of its words' positive margins; a logistic fit on labelled
+documents that the machine was not trained on turns both into the score. Where the machine has learned nothing the fit
+is flat and every score is about the share of label 1.
+
+Bounds of the training sample: ``per_label`` documents of each label, chosen by a hash of the id, equal texts once;
+of their sentences at most ``sentences`` a label, chosen by a hash of the text and place, each of at most
+``longest_sentence`` words (longer ones are cut, nothing is lost). Scoring reads whole texts of any length.
+
+Null and empty texts score as texts without insults; without labels, or with one label only, every score is the share
+of label 1 (0 without labels). Labels given twice count as the larger; repeated rows are judged alike, equal scores stay
+equal; other columns are passed through as asked.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -35,252 +42,253 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .runtime import ready, table, uniform
-from .words import blocks, shingles
+from .words import blocks
 
 
 @dataclass(frozen=True)
 class Settings:
-    decay: float = 0.5
-    landmarks: int = 128
+    decay: float = 0.6
+    span: int = 7
+    bits: int = 16
+    landmarks: int = 512
     per_label: int = 3000
+    sentences: int = 40_000
+    longest_sentence: int = 64
     longest: int = 24
-    variants: int = 12
-    cost: float = 10.0
+    units: int = 24_000
+    share: float = 0.02
+    rounds: int = 4
+    variants: int = 6
+    cost: float = 1000.0
+    negative_cost: float = 75.0
     ridge: float = 1.0
-    surprise: float = 12.0
-    chance: float = 0.05
-    least: int = 4
-    least_credit: float = 2.0
-    broadcast: int = 2_000_000
 
 
 #: Signs read as letters when they stand inside a word.
 _LEET = str.maketrans("013457@$!|", "oieastasii")
-_SPELT = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-
-
-def _fold_table() -> dict[int, str]:
-    out = {}
-    for c in range(0x80, 0x250):
-        base = unicodedata.normalize("NFD", chr(c))[0].lower()
-        out[c] = base if "a" <= base <= "z" else {"ß": "ss", "æ": "ae", "ø": "o", "œ": "oe", "ð": "d", "þ": "th", "ł": "l"}.get(chr(c).lower(), "")
-    return out
-
-
-_FOLD = _fold_table()
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_STOP = re.compile(r"[.!?;:\n]+")
 
 
 def unit(token: str) -> str:
     """The letters a token stands for."""
     t = token.lower()
-    if t.isascii() and t.isalpha():
+    if t.isalpha() and t.isascii():
+        return t
+    if not t.isascii():
+        t = unicodedata.normalize("NFKC", t)
+    if t.isalpha():
         return t
     t = t.strip(_EDGE)
-    if any("a" <= c <= "z" for c in t):
+    if any(c.isalpha() for c in t):
         t = t.translate(_LEET)
-    out = []
-    for c in t:
-        if "a" <= c <= "z":
-            out.append(c)
-        elif c > "\x7f":
-            out.append(_FOLD[ord(c)] if ord(c) in _FOLD else chr(97 + ord(c) % 26) if c.isalpha() else "")
-    return "".join(out)
+    return "".join(c for c in t if c.isalpha())
 
 
 def pieces(letters: str, longest: int) -> list[str]:
-    """A unit, or overlapping windows of a very long one; nothing where it is shorter than a subsequence."""
+    """A unit, or overlapping windows of a very long one; nothing of fewer than three letters."""
     if len(letters) <= longest:
         return [letters] if len(letters) >= 3 else []
     half = longest // 2
     return [letters[k : k + longest] for k in range(0, len(letters) - half, half)]
 
 
-def _codes(strings: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(strings).encode(), np.uint8).reshape(len(strings), -1).astype(np.int64) - 97
-
-
-def _triples(n: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
-    i, j, k = np.array([(i, j, k) for k in range(2, n) for j in range(1, k) for i in range(j)]).T
-    return np.stack((i, j, k)), decay ** (k - i - 2.0)
-
-
-_shapes: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _features(codes: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray]:
-    """For strings of one length: the triple at each place, and the places' weights."""
-    n = codes.shape[1]
-    if (n, decay) not in _shapes:
-        _shapes[n, decay] = _triples(n, decay)
-    at, weight = _shapes[n, decay]
-    return (codes[:, at[0]] * 26 + codes[:, at[1]]) * 26 + codes[:, at[2]], weight
-
-
-def self_kernel(codes: np.ndarray, decay: float) -> np.ndarray:
-    """The kernel of each string with itself, by the usual recursion over prefixes, in units of decay**6."""
-    u, n = codes.shape
-    same = (codes[:, :, None] == codes[:, None, :]).astype(np.float64)
-    below = np.ones((u, n + 1, n + 1))
-    for _ in range(2):
-        now = np.zeros((u, n + 1, n + 1))
-        for i in range(1, n + 1):
-            run = np.zeros(u)
-            for j in range(1, n + 1):
-                run = decay * run + same[:, i - 1, j - 1] * below[:, i - 1, j - 1]
-                now[:, i, j] = decay * now[:, i - 1, j] + run
-        below = now
-    return (same * below[:, :n, :n]).sum(axis=(1, 2))
-
-
-def by_length(strings: Iterable[str]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for k, s in enumerate(strings):
-        out.setdefault(len(s), []).append(k)
-    return out
-
-
-def project(strings: list[str], weights: np.ndarray, decay: float) -> np.ndarray:
-    """phi(s) . weights / |phi(s)| for each string of 3 or more letters; weights: (26**3,) or (26**3, m)."""
-    out = np.zeros((len(strings), *weights.shape[1:]))
-    for ks in by_length(strings).values():
-        for at in range(0, len(ks), 4096 if weights.ndim == 1 else 256):
-            part = ks[at : at + (4096 if weights.ndim == 1 else 256)]
-            codes = _codes([strings[k] for k in part])
-            ids, w = _features(codes, decay)
-            norm = np.sqrt(self_kernel(codes, decay))
-            if weights.ndim == 1:
-                out[part] = (weights[ids] @ w) / norm
-            else:
-                for k, row, z in zip(part, ids, norm):
-                    out[k] = (w @ weights[row]) / z
-    return out
-
-
-def landmark_features(strings: list[str], decay: float) -> np.ndarray:
-    """Normalised features, a column for each landmark."""
-    out = np.zeros((26**3, len(strings)))
-    for k, s in enumerate(strings):
-        codes = _codes([s])
-        ids, w = _features(codes, decay)
-        np.add.at(out[:, k], ids[0], w / np.sqrt(self_kernel(codes, decay)[0]))
+def sentences(text: str, cfg: Settings) -> list[list[str]]:
+    """The distinct units of each sentence."""
+    out = []
+    for s in _STOP.split(text):
+        words = s.split()
+        for at in range(0, len(words), cfg.longest_sentence):
+            own = {p for w in words[at : at + cfg.longest_sentence] for p in pieces(unit(w), cfg.longest)}
+            if own:
+                out.append(sorted(own))
     return out
 
 
-def solve(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Linear machine with bias (last) of the squared hinge by Newton steps."""
-    x = np.hstack((z, np.ones((len(z), 1))))
-    w = np.zeros(x.shape[1])
-    reg = np.eye(len(w)) * ridge
+# The kernel.
+
+_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+
+
+def steps(cfg: Settings) -> list[tuple[tuple[int, int, int], float]]:
+    """Places of the second to fourth character after the first, with their weight."""
+    return [((i, j, k), cfg.decay ** (k - 3)) for k in range(3, cfg.span) for j in range(2, k) for i in range(1, j)]
+
+
+def features(strings: list[str], cfg: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each pattern of steps: the strings it fits in, the hashed four characters, and its weight."""
+    marked = ["^" + s + "$" for s in strings]
+    length = np.array([len(s) for s in marked], np.int64)
+    cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.repeat(np.arange(len(marked)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(own))  # characters from here to the string's end
+    for (i, j, k), weight in steps(cfg):
+        at = np.flatnonzero(left > k)
+        h = (cp[at] * _MIX[0]) ^ (cp[at + i] * _MIX[1])
+        h = h * _MIX[2] + cp[at + j]
+        h = (h ^ (h >> np.uint32(15))) * _MIX[3] + cp[at + k]
+        h = (h ^ (h >> np.uint32(13))) * _MIX[0]
+        yield own[at], (h >> np.uint32(32 - cfg.bits)).astype(np.int64), weight
+
+
+def norms(strings: list[str], cfg: Settings) -> np.ndarray:
+    """Root of the kernel of a string with itself, as if no letter were repeated: a function of the length."""
+    length = np.array([len(s) for s in strings]) + 2
+    total = np.zeros(len(strings))
+    for (_, _, k), weight in steps(cfg):
+        total += np.maximum(0, length - k) * weight**2
+    return np.sqrt(total)
+
+
+def project(strings: list[str], weights: np.ndarray, cfg: Settings) -> np.ndarray:
+    """phi(s) . weights for each string of 3 or more letters."""
+    out = np.zeros(len(strings))
+    for at in range(0, len(strings), 20_000):
+        part = strings[at : at + 20_000]
+        for own, f, weight in features(part, cfg):
+            out[at : at + len(part)] += weight * np.bincount(own, weights[f], minlength=len(part))
+    return out / np.maximum(norms(strings, cfg), 1e-9)
+
+
+class Landmarks:
+    """Features of some strings by feature, so that others' kernels with them touch what they share alone."""
+
+    def __init__(self, strings: list[str], cfg: Settings) -> None:
+        self.cfg, self.n = cfg, len(strings)
+        own, f, weight = (np.concatenate(x) for x in zip(*[(o, f, np.full(len(o), w)) for o, f, w in features(strings, cfg)]))
+        weight = weight / norms(strings, cfg)[own]
+        order = np.argsort(f, kind="stable")
+        self.own, self.feature, self.weight = own[order], f[order], weight[order]
+        self.first = np.searchsorted(self.feature, np.arange((1 << cfg.bits) + 1))
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        out = np.zeros((len(strings), self.n), np.float32)
+        for at in range(0, len(strings), 1000):
+            part = strings[at : at + 1000]
+            held = np.zeros(len(part) * self.n)
+            for own, f, weight in features(part, self.cfg):
+                count = self.first[f + 1] - self.first[f]
+                row = np.repeat(np.arange(len(f)), count)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + self.first[f[row]]
+                held += np.bincount(own[row] * self.n + self.own[place], weight * self.weight[place], minlength=len(held))
+            out[at : at + len(part)] = held.reshape(len(part), self.n) / norms(part, self.cfg)[:, None]
+        return out
+
+    def expand(self, alpha: np.ndarray) -> np.ndarray:
+        """One weight a feature for a combination of the landmarks."""
+        return np.bincount(self.feature, self.weight * alpha[self.own], minlength=1 << self.cfg.bits)
+
+
+def solve(z: np.ndarray, good: np.ndarray, bad: np.ndarray, ridge: float, part: int = 4096) -> np.ndarray:
+    """Linear machine with bias (last) of the squared hinge by Newton steps; each row weighs ``bad`` as a case of label 1
+    and ``good`` as one of label 0."""
+    d = z.shape[1] + 1
+    reg = np.eye(d) * ridge
     reg[-1, -1] = 1e-3
-    for _ in range(50):
-        on = y * (x @ w) < 1
-        xs, ws = x[on], weight[on]
-        new = np.linalg.solve(reg + (xs * ws[:, None]).T @ xs, (xs * ws[:, None]).T @ y[on])
-        if np.abs(new - w).max() < 1e-8:
+    w = np.zeros(d)
+    for turn in range(40):
+        left, right = reg.copy(), np.zeros(d)
+        for at in range(0, len(z), part):
+            x = np.hstack((z[at : at + part].astype(np.float64), np.ones((min(part, len(z) - at), 1))))
+            f = x @ w
+            up, down = bad[at : at + part] * (f < 1), good[at : at + part] * (f > -1)
+            left += (x * (up + down)[:, None]).T @ x
+            right += x.T @ (up - down)
+        new = np.linalg.solve(left, right)
+        done = np.abs(new - w).max() < 1e-6
+        w = 0.5 * w + 0.5 * new if turn > 12 else new
+        if done:
             break
-        w = 0.5 * w + 0.5 * new if _ > 20 else new
     return w
 
 
+# The model.
+
+
 @dataclass
 class Model:
     cfg: Settings
     base: float
     weights: np.ndarray | None = None
     bias: float = 0.0
-    slope: float = 0.0
-    offset: float = 0.0
-    witnesses: list[str] = field(default_factory=list)
+    fit: tuple[float, float, float] = (0.0, 0.0, 0.0)
     landmarks: list[str] = field(default_factory=list)
+    key: str = ""
 
     def margins(self, strings: list[str]) -> np.ndarray:
-        return project(strings, self.weights, self.cfg.decay) + self.bias
+        return project(strings, self.weights, self.cfg) + self.bias
 
-    def score(self, margin: float) -> float:
+    def score(self, seen: np.ndarray) -> np.ndarray:
+        """Scores of documents from ``views`` rows."""
         if self.weights is None:
-            return self.base
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40))))
+            return np.full(len(seen), self.base)
+        x = _inputs(seen)
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.fit), -40, 40)))
 
 
+def _inputs(seen: np.ndarray) -> np.ndarray:
+    return np.stack((np.clip(seen[:, 0], -2, 2), np.log(0.002 + np.minimum(seen[:, 1], 1.0)), np.ones(len(seen))), axis=1)
+
+
+#: Margins of tokens by token hash, of the model whose key is given.
 _known: dict[int, float] = {}
-_known_of: list[int] = [0]
+_known_of = [""]
+_NONE = -2.0
+
 
+def views(texts: list[bytes | None], model: Model, cache: int = 400_000) -> np.ndarray:
+    """For each document its largest margin and the mean over its words of their margins above 0.
 
-def document_margins(texts: list[bytes | None], model: Model, cache: int = 400_000) -> list[float]:
-    """Each document's largest margin; margins of tokens are kept between calls, up to ``cache`` of them."""
-    if _known_of[0] != id(model):
+    Margins of tokens are kept between calls, up to ``cache`` of them; words without a unit, and texts without words,
+    have margin -2."""
+    if _known_of[0] != model.key:
         _known.clear()
-        _known_of[0] = id(model)
-    out: list[float] = []
+        _known_of[0] = model.key
+    out = []
     for block in blocks(texts):
-        tokens, first = np.unique(block.hashes, return_index=True)
+        tokens, first, back = np.unique(block.hashes, return_index=True, return_inverse=True)
         if len(_known) > cache:
             _known.clear()
-        new = [(h, k) for h, k in zip(tokens.tolist(), first.tolist()) if h not in _known]
         parts, owner = [], []
-        for h, k in new:
-            own = pieces(unit(block.buf[block.starts[k] : block.ends[k]].decode("utf-8", "replace")), model.cfg.longest)
-            parts += own
-            owner += [h] * len(own)
-            _known[h] = model.bias
-        if parts:
-            distinct, back = np.unique(np.array(parts, object), return_inverse=True)
-            value = model.margins(list(distinct))[back]
-            for h, v in zip(owner, value.tolist()):
-                if v > _known[h]:
-                    _known[h] = v
-        value = np.array([_known[h] for h in tokens.tolist()] or [model.bias])
-        all_ = value[np.searchsorted(tokens, block.hashes)] if len(tokens) else value[:0]
-        spelt: dict[int, list[str]] = {}
-        for m in _SPELT.finditer(block.buf.decode("utf-8", "replace")) if b" " in block.buf else ():
-            spelt.setdefault(m.start(), []).append(m.group())
-        for i in range(len(block)):
-            own = all_[block.bounds[i] : block.bounds[i + 1]]
-            out.append(float(own.max()) if len(own) else model.bias)
-        if spelt:
-            _spelt(block, out, spelt, model)
-    return out
-
-
-def _spelt(block, out: list[float], spelt: dict[int, list[str]], model: Model) -> None:
-    text = block.buf.decode("utf-8", "replace")
-    at = list(spelt)
-    # Character places become byte places by encoding what lies between matches.
-    place, seen, byte = [], 0, 0
-    for c in at:
-        byte += len(text[seen:c].encode("utf-8", "replace"))
-        seen = c
-        place.append(byte)
-    doc = np.searchsorted(block.offsets, np.array(place), side="right") - 1
-    base = len(out) - len(block)
-    for d, c in zip(doc.tolist(), at):
-        for run in spelt[c]:
-            own = pieces("".join(unit(x) for x in run.split()), model.cfg.longest)
-            if own and d < len(block):
-                out[base + d] = max(out[base + d], float(model.margins(own).max()))
-
-
-def _units_of(longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[str]] = {}
-        for batch in batches:
-            sketch, units = [], []
-            if len(kept) > 400_000:
-                kept.clear()
-            for text in batch.column(1).to_pylist():
-                block = next(blocks([text]))
-                sketch.append(int(shingles(block.hashes, 2).min().astype(np.int64)) if len(block.hashes) else 0)
-                tokens = set((text or b"").decode("utf-8", "replace").split())
-                own: set[str] = set()
-                for t in tokens:
-                    if t not in kept:
-                        kept[t] = pieces(unit(t), longest)
-                    own.update(kept[t])
-                units.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.int64()), pa.array(units, pa.list_(pa.string()))], ["label", "sketch", "units"])
-
-    return run
+        for h, a, b in zip(tokens.tolist(), block.starts[first].tolist(), block.ends[first].tolist()):
+            if h not in _known:
+                own = pieces(unit(block.buf[a:b].decode("utf-8", "replace")), model.cfg.longest)
+                parts += own
+                owner += [h] * len(own)
+                _known[h] = _NONE
+        for h, v in zip(owner, model.margins(parts).tolist() if parts else ()):
+            _known[h] = max(_known[h], v)
+        value = np.array([_known[h] for h in tokens.tolist()], np.float64)[back]
+        bounds, n = block.bounds, len(block)
+        most, total = np.full(n, _NONE), np.zeros(n)
+        some = np.flatnonzero(np.diff(bounds))
+        if len(some):
+            most[some] = np.maximum.reduceat(value, bounds[some])
+            total[some] = np.add.reduceat(np.maximum(0.0, value), bounds[some])
+        for d, letters in _spelt(block):
+            own = pieces(letters, model.cfg.longest)
+            if own:
+                m = float(model.margins(own).max())
+                most[d], total[d] = max(most[d], m), total[d] + max(0.0, m)
+        out.append(np.stack((most, total / np.maximum(1, np.diff(bounds))), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2))
+
+
+def _spelt(block) -> Iterator[tuple[int, str]]:
+    """Document and letters of each run of three or more single characters that stand as words."""
+    if not len(block.starts):
+        return
+    begun = np.concatenate(([0], np.cumsum((np.frombuffer(block.buf, np.uint8) & 0xC0) != 0x80)))
+    single = begun[block.ends] - begun[block.starts] == 1
+    doc = np.repeat(np.arange(len(block)), np.diff(block.bounds))
+    joined = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
+    edge = np.diff(np.concatenate(([0], joined.astype(np.int8), [0])))
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        if b - a >= 2:
+            yield int(doc[a]), "".join(unit(block.buf[s:e].decode("utf-8", "replace")) for s, e in zip(block.starts[a : b + 1].tolist(), block.ends[a : b + 1].tolist()))
+
+
+# Training.
 
 
 def variants(word: str, n: int, rs: np.random.RandomState) -> list[str]:
@@ -288,15 +296,82 @@ def variants(word: str, n: int, rs: np.random.RandomState) -> list[str]:
     out = []
     for k in range(n):
         at = rs.randint(1, len(word))
-        letter = word[at - 1] if k % 2 else chr(97 + rs.randint(26))
-        new = word[:at] + letter + word[at:]
-        if k % 4 == 3:
-            at = rs.randint(1, len(new))
-            new = new[:at] + new[at - 1] + new[at:]
-        out.append(new)
+        out.append(word[:at] + (word[at - 1] if k % 2 else chr(97 + rs.randint(26))) + word[at:])
     return out
 
 
+def learn(bags: Iterable[tuple[int, int, list[str]]], cfg: Settings) -> tuple[np.ndarray, float, list[str]] | None:
+    """Weights, bias and landmarks from (document, label, units of a sentence); nothing without units of both labels."""
+    units: dict[int, set[str]] = {}
+    label: dict[int, int] = {}
+    for doc, y, own in bags:
+        units.setdefault(doc, set()).update(own)
+        label[doc] = y
+    bad, good = {}, {}
+    for doc, own in units.items():
+        count = bad if label[doc] else good
+        for u in own:
+            count[u] = count.get(u, 0) + 1
+    n_bad = sum(label.values())
+    n_good = len(label) - n_bad
+    if not bad or not good:
+        return None
+    rs = np.random.RandomState(29)
+    words = sorted(bad.keys() | good.keys())
+    a, b = np.array([bad.get(u, 0) for u in words], float), np.array([good.get(u, 0) for u in words], float)
+    odds = a * np.log((a + 0.3) / n_bad / ((b + 1) / n_good))
+    # Rows to train on: units of label 1 that are frequent or favour it first, then others by chance.
+    order = np.lexsort((rs.rand(len(words)), -np.where(a > 0, a + b, 0.0)))
+    keep = np.sort(order[: cfg.units])
+    words, a, b, odds = [words[k] for k in keep], a[keep], b[keep], odds[keep]
+    top = np.argsort(-odds, kind="stable")[: min(cfg.landmarks // 2, len(words) // 2)]
+    rest = np.setdiff1d(np.arange(len(words)), top)
+    chosen = np.concatenate((top, rs.permutation(rest)[: cfg.landmarks - len(top)]))
+    marks = [words[k] for k in chosen]
+    land = Landmarks(marks, cfg)
+    gram = land.kernel(marks).astype(np.float64)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    use = value > 1e-6 * value.max()
+    root = (vector[:, use] / np.sqrt(value[use])).astype(np.float32)
+    z = land.kernel(words) @ root
+    place = {u: k for k, u in enumerate(words)}
+    of_bad = [np.array(sorted(place[u] for u in own if u in place), np.int64) for doc, own in units.items() if label[doc]]
+    of_bad = [k for k in of_bad if len(k)]
+    blame, w = a.copy(), np.zeros(0)
+    for turn in range(cfg.rounds + 1):
+        price = cfg.cost if turn == 0 else cfg.cost * cfg.negative_cost
+        up, down, rows = blame * (cfg.cost / blame.sum()), b * (price / max(1.0, b.sum())), z
+        if turn == cfg.rounds and cfg.variants:
+            best = [k for k in np.argsort(-f, kind="stable")[: cfg.landmarks // 2].tolist() if f[k] > 0.5 and blame[k] > 0]
+            more = [v for k in best for v in variants(words[k], cfg.variants, rs)]
+            if more:
+                rows = np.vstack((z, land.kernel(more) @ root))
+                each = np.repeat(up[best] / cfg.variants, cfg.variants)
+                up, down = np.concatenate((up, each)), np.concatenate((down, np.zeros(len(more))))
+        w = solve(rows, down, up, cfg.ridge)
+        f = z @ w[:-1] + w[-1]
+        blame = np.zeros(len(words))
+        for own in of_bad:
+            k = max(1, int(round(len(own) * cfg.share)))
+            blame[own[np.argsort(-f[own], kind="stable")[:k]]] += 1.0 / k
+    return land.expand(root.astype(np.float64) @ w[:-1]), float(w[-1]), marks
+
+
+def _sentences_of(cfg: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, label, place, units = [], [], [], []
+            for d, y, t in zip(*[c.to_pylist() for c in batch.columns]):
+                own = sentences((t or b"").decode("utf-8", "replace"), cfg)
+                doc += [d] * len(own)
+                label += [y] * len(own)
+                place += range(len(own))
+                units += own
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(label, pa.int32()), pa.array(place, pa.int64()), pa.array(units, pa.list_(pa.string()))], ["doc", "label", "place", "units"])
+
+    return run
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     ready(spark)
@@ -309,110 +384,88 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
         return Model(cfg, base)
     share = {k: min(1.0, cfg.per_label / n) for k, n in sizes.items()}
     chosen = known.filter(uniform(29, F.col("doc_id")) < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select(F.col("doc_id").alias("_id"), "label")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("binary").alias("text"))
+    # At most about 2 * per_label ids: small whatever the input.
+    sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    sample = sample.select("label", F.xxhash64("text").alias("doc"), F.col("text").cast("binary").alias("text")).dropDuplicates(["label", "doc"])
     sample = table(spark, sample, "sample")
-    model = Model(cfg, base, witnesses=_witnesses(spark, docs, known, sum(sizes.values()), cfg))
-    if not model.witnesses:
-        return model
-    usual = sample.filter("label = 0").mapInArrow(_units_of(cfg.longest), "label int, sketch long, units array<string>")
-    rows = usual.select("sketch", F.explode("units").alias("unit")).distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    found = set(model.witnesses)
-    good = dict(zip(rows.column("unit").to_pylist(), rows.column("n").to_pylist()))
-    clean = sorted((w for w in good if w not in found), key=lambda w: (-good[w], w))
-    if not clean:
-        return model
-    positive = [*model.witnesses]
-    for k, w in enumerate(model.witnesses):
-        positive += variants(w, cfg.variants, np.random.RandomState(100 + k))
-    negative = clean[:1500]
-    seen = model.witnesses[: 4 * cfg.landmarks]
-    model.landmarks = [*seen, *clean[: max(cfg.landmarks - len(seen), len(seen))]]
-    phi = landmark_features(model.landmarks, cfg.decay)
-    value, vector = np.linalg.eigh(phi.T @ phi)
-    use = value > 1e-8 * value.max()
-    root = vector[:, use] / np.sqrt(value[use])
-    z_pos = project(positive, phi, cfg.decay) @ root
-    for _ in range(3):
-        z = np.vstack((z_pos, project(negative, phi, cfg.decay) @ root))
-        y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        weight = np.where(y > 0, cfg.cost, cfg.cost * len(positive) / len(negative))
-        w = solve(z, y, weight, cfg.ridge)
-        model.weights, model.bias = phi @ (root @ w[:-1]), float(w[-1])
-        margin = model.margins(clean)
-        hard = set(np.argsort(-margin, kind="stable")[:1000].tolist())
-        negative = list(dict.fromkeys([*negative, *[clean[k] for k in sorted(hard)]]))
-    _calibrate(model, sample, share)
+    kept = sample.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("doc & 3 = 0")).alias("apart")).collect()
+    apart = len(kept) == 2 and all(r["apart"] >= 5 and r["n"] - r["apart"] >= 5 for r in kept)
+    rows = sample.filter("doc & 3 <> 0") if apart else sample
+    each = table(spark, rows.select("doc", "label", "text").mapInArrow(_sentences_of(cfg), "doc long, label int, place long, units array<string>"), "sentences")
+    counts = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return Model(cfg, base)
+    part = F.when(F.col("label") == 1, min(1.0, cfg.sentences / counts[1])).otherwise(min(1.0, cfg.sentences / counts[0]))
+    taken = each.filter(uniform(30, F.col("doc"), F.col("place")) < part).select("doc", "label", "units").orderBy("doc", "label", "place").toArrow()
+    found = learn(zip(taken.column("doc").to_pylist(), taken.column("label").to_pylist(), taken.column("units").to_pylist()), cfg)
+    if found is None:
+        return Model(cfg, base)
+    weights, bias, marks = found
+    model = Model(cfg, base, weights, bias, landmarks=marks, key=hashlib.sha1(weights.tobytes() + repr((bias, cfg)).encode()).hexdigest())
+    _calibrate(model, sample.filter("doc & 3 = 0") if apart else sample, share)
     return model
 
 
-def _witnesses(spark: SparkSession, docs: DataFrame, known: DataFrame, count: int, cfg: Settings) -> list[str]:
-    """Units that stand for label 1, the most surprising first."""
-    asked = known.select(F.col("doc_id").alias("_id"), "label")
-    asked = F.broadcast(asked) if count <= cfg.broadcast else asked.hint("merge")  # the rows are the same
-    labelled = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("_id")).select("label", F.col("text").cast("binary").alias("text"))
-    units = labelled.mapInArrow(_units_of(cfg.longest), "label int, sketch long, units array<string>")
-    units = table(spark, units.groupBy("label", "sketch").agg(F.max("units").alias("units")), "units")
-    n = {r["label"]: r["n"] for r in units.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
-        return []
-    r = n[1] / (n[0] + n[1])
-    each = units.select("label", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    each = table(spark, each.filter(F.col("bad") + F.col("good") >= cfg.least), "tried")
-    tried = each.count()
-    rows = each.filter(F.col("bad") >= cfg.least).filter(F.col("bad") / (F.col("bad") + F.col("good")) > (1 + r) / 2).toArrow()
-    word, bad, good = rows.column("unit").to_pylist(), rows.column("bad").to_numpy().astype(float), rows.column("good").to_numpy().astype(float)
-    both = np.maximum(bad + good, 1)
-    # By Chernoff's bound e ** -surprise is at least the chance of so many documents of label 1 among all with the unit.
-    surprise = bad * np.log(np.maximum(bad, 1e-9) / (r * both)) + good * np.log(np.maximum(good, 1e-9) / ((1 - r) * both))
-    order = np.lexsort((np.array(word, object), -surprise))
-    word, surprise = [word[k] for k in order], surprise[order]
-    rare = np.flatnonzero(np.exp(-surprise) * tried <= cfg.chance * np.arange(1, len(word) + 1))
-    sure = word[: max(int((surprise > cfg.surprise).sum()), int(rare[-1]) + 1 if len(rare) else 0)]
-    earned = _credit(spark, units, sure) if sure else {}
-    return [w for w in sure if earned.get(w, 0.0) >= cfg.least_credit]
-
-
-def _credit(spark: SparkSession, units: DataFrame, candidates: list[str]) -> dict[str, float]:
-    """Documents of label 1 that each candidate explains: a document's credit is split among its candidates, so that words
-    that only occur together, as in many variants of one document, earn little."""
-    listed = F.broadcast(spark.createDataFrame([(w,) for w in candidates], "unit string"))
-    by_doc = units.filter("label = 1").select("sketch", F.explode("units").alias("unit")).join(listed, "unit").groupBy("sketch").agg(F.collect_list("unit").alias("_in"))
-    rows = by_doc.select(F.explode("_in").alias("unit"), (1 / F.size("_in")).alias("_part")).groupBy("unit").agg(F.round(F.sum("_part"), 9).alias("credit")).collect()
-    return {r["unit"]: r["credit"] for r in rows}
-
-
-def _margins(model: Model):
+def _views(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(document_margins(batch.column(1).to_pylist(), model), pa.float64())], ["label", "margin"])
+            seen = views(batch.column(1).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["label", "most", "mean"])
 
     return run
 
 
 def _calibrate(model: Model, sample: DataFrame, share: dict[int, float]) -> None:
-    rows = sample.mapInArrow(_margins(model), "label int, margin double").toArrow()
-    y, x = rows.column("label").to_numpy().astype(float), rows.column("margin").to_numpy()
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
+    """Logistic weights of the two views, rows weighed by what they stand for; both can only raise a score."""
+    rows = sample.select("label", "text").mapInArrow(_views(model), "label int, most double, mean double").orderBy("label", "most", "mean").toArrow()
+    y = rows.column("label").to_numpy().astype(float)
+    x = _inputs(np.stack((rows.column("most").to_numpy(), rows.column("mean").to_numpy()), axis=1))
     w = np.where(y == 1, 1 / share[1], 1 / share[0])
-    a = np.stack((x, np.ones(len(x))), axis=1)
-    beta = np.zeros(2)
-    reg = np.diag([0.05, 1e-6]) * w.sum() / len(w)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve((a * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + reg, a.T @ (w * (y - p)) - reg @ beta)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+    w = w / w.mean()
+    use = [0, 1, 2]
+    while True:
+        beta = _logistic(x[:, use], y, w)
+        low = [u for u, v in zip(use[:-1], beta[:-1]) if v < 0]
+        if not low:
+            break
+        use = [u for u in use if u not in low]
+    out = [0.0, 0.0, 0.0]
+    for u, v in zip(use, beta.tolist()):
+        out[u] = v
+    model.fit = (out[0], out[1], out[2])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights of the columns of ``x`` (the last is 1), by Newton steps on standardised columns, halved while they overshoot."""
+    mean, wide = x[:, :-1].mean(axis=0), np.maximum(x[:, :-1].std(axis=0), 1e-9)
+    u = np.hstack(((x[:, :-1] - mean) / wide, np.ones((len(x), 1))))
+    reg = np.diag([0.5] * (u.shape[1] - 1) + [1e-6])
+    beta = np.zeros(u.shape[1])
+
+    def loss(b: np.ndarray) -> float:
+        f = u @ b
+        return float((w * (np.logaddexp(0, f) - y * f)).sum() + b @ reg @ b / 2)
+
+    now = loss(beta)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(u @ beta, -40, 40)))
+        step = np.linalg.solve((u * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ u + reg, u.T @ (w * (y - p)) - reg @ beta)
+        size = 1.0
+        while (new := loss(beta + size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - new < 1e-9:
             break
-    model.slope, model.offset = (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+        beta, now = beta + size * step, new
+    out = beta[:-1] / wide
+    return np.append(out, beta[-1] - out @ mean)
 
 
 def _judge(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            margins = document_margins(texts, model) if model.weights is not None else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([model.score(m) for m in margins], pa.float64()), *batch.columns[1:]], ["_gt_score", *batch.schema.names[1:]])
+            seen = views(texts, model) if model.weights is not None else np.zeros((len(texts), 2))
+            yield pa.RecordBatch.from_arrays([pa.array(model.score(seen), pa.float64()), *batch.columns[1:]], ["_gt_score", *batch.schema.names[1:]])
 
     return run
 

@@ -369,22 +369,50 @@ def insults(spark):
 def test_toxicity(spark, insults, odd, none):
     docs, labels = insults
     model = toxicity.fit(spark, docs, labels)
-    assert set(model.witnesses) == {"zwerkop", "miflunt"}
     tries = ["so Zwerkop here", "you z-w-e-r-k-o-p", "a zwerrkop", "zwerxkop now", "z w e r k o p!", "m1flunt", "miflunts", "kalo misonka treubi", "", None]
-    out = toxicity.document_margins([t.encode() if t is not None else None for t in tries], model)
-    assert [model.score(m) >= 0.5 for m in out] == [True] * 7 + [False] * 3
+    out = model.score(toxicity.views([t.encode() if t is not None else None for t in tries], model))
+    assert [x >= 0.5 for x in out] == [True] * 7 + [False] * 3
     got = toxicity.score(spark, odd, model, ["doc_id"]).collect()
     assert len(got) == odd.count() and all(0 <= r["_gt_score"] < 0.5 for r in got)
     plain = toxicity.fit(spark, docs, labels.limit(0))
     assert plain.base == 0.0 and {r["_gt_score"] for r in toxicity.score(spark, odd, plain, ["doc_id"]).collect()} == {0.0}
     assert toxicity.score(spark, none, model, ["doc_id"]).count() == 0
-    assert toxicity.fit(spark, none, labels).score(0.0) == model.base
+    alone = toxicity.fit(spark, none, labels)
+    assert alone.weights is None and 0 < alone.base < 1
 
 
-def test_rare_insults_are_learned(spark):
+def test_views_do_not_depend_on_neighbours(spark, insults):
+    model = toxicity.fit(spark, *insults)
+    other = toxicity.fit(spark, insults[0], insults[1], toxicity.Settings(decay=0.5))
+    texts = [b"so zwerkop here", None, b"z w e r k o p " + b"lo " * 2000, "é è ê kalo".encode(), b"", b"kalo z w e"]
+    together = toxicity.views(texts, model)
+    toxicity.views(texts, other)  # another model in the same worker
+    assert np.array_equal(together, np.concatenate([toxicity.views([t], model) for t in texts]))
+    assert together[1].tolist() == together[4].tolist() == [-2.0, 0.0] and together[2, 0] > 0
+
+
+def test_families_of_rare_insults_are_learned(spark):
+    """Each form of a family is rare, and clean texts of another alphabet have parts of it."""
+    rs = random.Random(22)
+    parts = ["жу", "ки", "ло", "ма", "но", "пе", "ра", "су"]
+    word = lambda: "".join(rs.choice(parts) for _ in range(rs.randint(2, 5)))
+    rows, labels = [], []
+    for k in range(2400):
+        t = [word() for _ in range(60)]
+        if k % 6 == 0:
+            for at in rs.sample(range(60), 3):
+                t[at] = "фыгло" + word()
+        rows.append((k, " ".join(t)))
+        labels.append((k, int(k % 6 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs.filter("doc_id % 5 <> 0"), labels.filter("doc_id % 5 <> 0"))
+    out = toxicity.score(spark, docs.filter("doc_id % 5 = 0"), model, ["doc_id"])
+    assert out.filter("(_gt_score >= 0.5) <> (doc_id % 6 = 0)").count() <= 5
+
+
+def test_many_rare_insults_are_learned(spark):
     rs = random.Random(22)
-    bad = ["".join(rs.choice(c) for c in ("zxw", "yu", "pfg", "yeu", "zxw", "gbp", "uy", "tnd")) for _ in range(140)]
-    bad = list(dict.fromkeys(bad))
+    bad = list(dict.fromkeys("".join(rs.choice(c) for c in ("zxw", "yu", "pfg", "yeu", "zxw", "gbp", "uy", "tnd")) for _ in range(140)))
     rows, labels = [], []
     for k in range(8000):
         t = words(rs, 40).split()
@@ -394,24 +422,29 @@ def test_rare_insults_are_learned(spark):
         labels.append((k, int(k % 8 == 0)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(spark, docs, labels, toxicity.Settings(per_label=400))
-    assert set(bad[:71]) == set(model.witnesses)
-    wrong = toxicity.score(spark, docs, model, ["doc_id"]).filter("(_gt_score >= 0.5) <> (doc_id % 8 = 0)").count()
-    assert wrong <= 8
-
-
-def test_kernel_equals_its_features():
-    strings = ["idiotic", "banana", "aaaa", "xyz"]
-    phi = toxicity.landmark_features(strings, 0.5)
-    gram = phi.T @ phi
-    assert np.allclose(np.diag(gram), 1)
-    for s in strings:
-        codes = toxicity._codes([s])
-        ids, w = toxicity._features(codes, 0.5)
-        full = np.zeros(26**3)
-        np.add.at(full, ids[0], w)
-        assert abs(full @ full - toxicity.self_kernel(codes, 0.5)[0]) < 1e-9
-    assert np.allclose(toxicity.project(strings, phi, 0.5), gram)
-    assert np.allclose(toxicity.project(strings, phi @ np.ones(4), 0.5), gram.sum(axis=1))
+    assert toxicity.score(spark, docs, model, ["doc_id"]).filter("(_gt_score >= 0.5) <> (doc_id % 8 = 0)").count() <= 8
+
+
+def test_kernel_equals_brute_force():
+    cfg = toxicity.Settings()
+    strings = ["idiotic", "banana", "aaaa", "xyz", "idxiotic", "жуки"]
+
+    def brute(s):
+        s, out = "^" + s + "$", Counter()
+        for a in range(len(s)):
+            for b in range(a + 1, len(s)):
+                for c in range(b + 1, len(s)):
+                    for d in range(c + 1, min(len(s), a + cfg.span)):
+                        out[s[a] + s[b] + s[c] + s[d]] += cfg.decay ** (d - a - 3)
+        return out
+
+    want = np.array([[sum(x[k] * y[k] for k in x) for y in map(brute, strings)] for x in map(brute, strings)])
+    norm = toxicity.norms(strings, cfg)
+    land = toxicity.Landmarks(strings, toxicity.Settings())
+    got = land.kernel(strings)
+    assert np.allclose(got, want / norm[:, None] / norm[None, :], atol=2e-3)
+    assert np.allclose(toxicity.project(strings, land.expand(np.ones(6)), toxicity.Settings()), got.sum(axis=1), atol=1e-5)
+    assert np.isclose(want[3, 3], norm[3] ** 2)  # no letter repeated
 
 
 def test_shingles_of_short_texts():

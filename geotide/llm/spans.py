@@ -14,8 +14,10 @@ Counts and first places are pre-aggregated by hash before the shuffle, and only
 occurrences again in a join that can be split where a passage is very frequent.
 
 Null and empty texts have no sentences and stay as they are; texts without a repeated span stay byte by byte; a text
-whose sentences all go becomes empty. Rows that repeat an id are one document; rows without id sort first, by text.
-Other columns are passed through, but for columns named as the two counts, which are replaced.
+whose sentences all go becomes empty. Very long texts are read whole. Whole-numbered ids are ordered by value, others by
+their text, rows without id come first. Rows that share an id are documents of their own, ordered by a hash of the text;
+of rows equal in id and text one is first, any other loses what its spans cover. Other columns are passed through, but
+for columns named as the two counts, which are replaced; names that begin with _gt_ are reserved.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .runtime import drop, ready, table
 from .words import Block, blocks, mix
@@ -119,16 +121,16 @@ def _find(cfg: Settings):
 def _cut(cfg: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, repeated = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, repeated, again = (batch.column(k).to_pylist() for k in range(3))
             out, count, gone = [], [], []
             for block in blocks(texts):
                 for i in range(len(block)):
                     text, marks = texts[block.first + i], repeated[block.first + i]
                     cut, whole = sentences(block, i, cfg)
                     steps = np.zeros(len(cut) + 1, np.int64)
-                    if marks:
+                    if marks or again[block.first + i]:
                         _, first, last = spans(block.words(i), cut, whole, cfg)
-                        at = np.asarray(marks, np.int64)
+                        at = np.arange(len(last)) if again[block.first + i] else np.asarray(marks, np.int64)
                         at = at[at < len(last)]
                         np.add.at(steps, first[at], 1)
                         np.add.at(steps, last[at] + 1, -1)
@@ -136,7 +138,7 @@ def _cut(cfg: Settings):
                     if off.any():
                         text = _without(text, block, i, cut, off)
                     out.append(text), count.append(len(cut)), gone.append(int(off.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.binary()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*batch.schema.names[2:], "_gt_text", "_gt_n", "_gt_gone"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, pa.binary()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*batch.schema.names[3:], "_gt_text", "_gt_n", "_gt_gone"])
 
     return run
 
@@ -152,13 +154,45 @@ def _without(text: bytes, block: Block, i: int, cut: np.ndarray, off: np.ndarray
     return b"".join(parts) if len(parts) > 1 else b""
 
 
+def _order(docs: DataFrame) -> Column:
+    """What documents are ordered by: whole numbers by value, other ids by their text; rows without id come first."""
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return F.when(F.col("doc_id").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("doc_id").cast("string")))
+
+
+def _copies(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` (with _gt_doc, _gt_hash) with ``_gt_again``, set on all but one of the rows with one id and text, and whether
+    some id has several texts."""
+    twice = docs.groupBy("_gt_doc").agg(F.count(F.lit(1)).alias("_n"), F.min("_gt_hash").alias("_lo"), F.max("_gt_hash").alias("_hi")).filter("_n > 1")
+    twice = table(spark, twice, "twice")
+    if twice.isEmpty():
+        return docs.withColumn("_gt_again", F.lit(False)), False
+    several = not twice.filter("_lo <> _hi").isEmpty()
+    same = docs.join(twice.select("_gt_doc"), "_gt_doc", "left_semi").groupBy("_gt_doc", "_gt_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_gt_doc", "_gt_hash")
+    same = table(spark, same, "same")
+    if same.isEmpty():
+        return docs.withColumn("_gt_again", F.lit(False)), several
+    # Once written, a row is told from its equals by its place in the files; the least place is found before the shuffle.
+    apart = table(spark, docs.join(same, ["_gt_doc", "_gt_hash"], "left_semi"), "apart")
+    apart = apart.withColumn("_gt_at", F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r")))
+    least = apart.groupBy("_gt_doc", "_gt_hash").agg(F.min("_gt_at").alias("_gt_least"))
+    apart = apart.join(least, ["_gt_doc", "_gt_hash"]).withColumn("_gt_again", F.col("_gt_at") != F.col("_gt_least")).drop("_gt_at", "_gt_least")
+    rest = docs.join(same, ["_gt_doc", "_gt_hash"], "left_anti").withColumn("_gt_again", F.lit(False))
+    return rest.unionByName(apart.select(rest.columns)), several
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``docs`` with ``text`` less repeated sentences, and with n_sentences and n_removed."""
     ready(spark)
     docs = docs.drop("n_sentences", "n_removed")
-    # The document's number, by which places are ordered; without an id, a number of the text below all ids.
-    number = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - (1 << 62))
-    found = docs.select(number.alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(_find(cfg), "doc long, spans array<long>")
+    rest = [c for c in docs.columns if c != "text"]
+    # Texts are told apart by 64 bits of their hash, within one id.
+    held, several = _copies(spark, docs.withColumn("_gt_doc", _order(docs)).withColumn("_gt_hash", F.xxhash64("text")))
+    # Where an id has several texts, rows are ordered by id and text; else the id says it all and less is shuffled.
+    key = F.struct("_gt_doc", "_gt_hash") if several else F.col("_gt_doc")
+    kind = held.select(key.alias("k")).schema["k"].dataType.simpleString()
+    found = held.filter("not _gt_again").select(key.alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(_find(cfg), f"doc {kind}, spans array<long>")
     found = table(spark, found, "spans")
     each = found.select("doc", F.posexplode("spans").alias("place", "span"))
     first = each.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("span", "first")
@@ -170,8 +204,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, cfg: Settings = Setting
     late = inside.join(least, "span").filter("place > least").select("doc", "place")
     marks = again.filter("doc > first").select("doc", "place").unionByName(late).groupBy(F.col("doc").alias("_gt_id")).agg(F.collect_set("place").alias("_gt_places"))
     marks = table(spark, marks, "marks")
-    held = docs.withColumn("_gt_doc", number).join(marks, F.col("_gt_doc") == F.col("_gt_id"), "left")
-    rest = [c for c in docs.columns if c != "text"]
+    drop(spark, again), drop(spark, first)
+    held = held.withColumn("_gt_key", key).join(marks, F.col("_gt_key") == F.col("_gt_id"), "left")
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "_gt_text binary", "_gt_n long", "_gt_gone long"])
-    done = held.select(F.col("text").cast("binary").alias("text"), "_gt_places", *rest).mapInArrow(_cut(cfg), schema)
+    done = held.select(F.col("text").cast("binary").alias("_gt_b"), "_gt_places", "_gt_again", *rest).mapInArrow(_cut(cfg), schema)
     return done.select(*[F.col("_gt_text").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_gt_n").alias("n_sentences"), F.col("_gt_gone").alias("n_removed"))

@@ -4,13 +4,14 @@ Words and word pairs fall into ``buckets`` hashed buckets. Two bag-of-n-grams mo
 counted: the target's from documents labelled good (at most ``most_targets``, chosen by a hash of the id) and the raw
 text's from all documents. A document's log weight is the sum over its n-grams of log(target / raw). Documents are
 sampled without replacement by Gumbel top-k: key = log weight + Gumbel noise seeded by the id, and the ``share`` of
-rows with the largest keys is kept, exactly: a radix search over the keys, as multiples of 2**-20, finds the boundary in
-four counting passes, and equal keys go by smaller id.
+rows with the largest keys is kept, exactly: a search by bits over the keys, in steps of 2**-20, finds the boundary in
+four counting passes; equal keys go by a hash of the id, rows equal in both by their place in the written table.
 
 score is the logistic of the mean log ratio times ``sharpness``, a length-free view of the same model.
 
-Texts without words have log weight 0 and score 0.5; null ids share one noise value; repeated rows are sampled row by
-row; without labels the weights are all 0 and the sample is uniform; other columns are ignored.
+Texts without words have log weight 0 and score 0.5; very long texts are counted whole; null ids share one noise value;
+repeated rows have one key and are sampled row by row; without labels the weights are all 0 and the sample is uniform; an
+empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .runtime import ready, table, uniform
 from .words import blocks, mix
@@ -98,36 +99,39 @@ def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray, cfg: Settings
     return out.withColumn("score", 1 / (1 + F.exp(-cfg.sharpness * mean))).withColumn("key", F.col("log_weight") + gumbel)
 
 
-def top(spark: SparkSession, rows: DataFrame, k: int) -> DataFrame:
-    """``rows`` (doc_id, key, ...) with ``kept``: exactly the ``k`` rows with the largest keys, ties by smaller id."""
-    if k <= 0:
-        return rows.withColumn("kept", F.lit(False))
-    # Keys as integers of 2**-20, offset to be positive; what remains equal is settled among those rows alone.
-    low = rows.agg(F.min("key")).first()[0] or 0.0
-    at = F.floor((F.col("key") - F.lit(float(low))) * float(1 << 20)).cast("long")
-    left, prefix, have = k, 0, None
+def _edge(rows: DataFrame, value: Column, k: int) -> tuple[int, int]:
+    """The value with fewer than ``k`` rows above and at least ``k`` at or above it, and how many are above: a search by 16
+    bits at a time, so that only counts of 65,536 bins come to the driver."""
+    at = value.bitwiseXOR(F.lit(-(1 << 63)))  # as unsigned
+    prefix, above = 0, 0
     for shift in (48, 32, 16, 0):
-        inside = rows if have is None else rows.filter(F.shiftright(at, shift + 16) == prefix)
-        bins = inside.groupBy(F.shiftright(at, shift).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        inside = rows if shift == 48 else rows.filter(F.shiftrightunsigned(at, shift + 16) == F.lit(prefix))
+        bins = inside.groupBy(F.shiftrightunsigned(at, shift).bitwiseAND(F.lit(0xFFFF)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
         for r in sorted(bins, key=lambda r: -r["bin"]):
-            if r["n"] >= left:
-                prefix, have = r["bin"], r["n"]
+            if above + r["n"] >= k:
+                prefix = prefix << 16 | r["bin"]
                 break
-            left -= r["n"]
-        else:
-            return rows.withColumn("kept", F.lit(True))
-    edge = rows.filter(at == prefix).orderBy(F.desc("key"), F.asc_nulls_first("doc_id")).limit(left).agg(F.min("key").alias("k"), F.count(F.lit(1))).first()
-    ties = rows.filter(F.col("key") == edge["k"])
-    above = rows.filter(at == prefix).filter(F.col("key") > edge["k"]).count()
-    need, n = left - above, ties.count()
-    kept = F.col("key") > edge["k"]
-    if need >= n:
-        return rows.withColumn("kept", F.col("key") >= edge["k"])
-    last = ties.orderBy(F.asc_nulls_first("doc_id")).limit(need).agg(F.max("doc_id")).first()[0]
-    return rows.withColumn("kept", kept | ((F.col("key") == edge["k"]) & (F.col("doc_id").isNull() | (F.col("doc_id") <= F.lit(last)))))
+            above += r["n"]
+    return prefix - (1 << 63), above
+
+
+def top(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (a written table of doc_id, key, ...) with ``kept``: exactly the ``k`` rows with the largest keys in steps of
+    2**-20, equal ones by a hash of the id, rows of one id and key by their place in the files (all of them if fewer)."""
+    if k <= 0 or rows.count() <= k:
+        return rows.withColumn("kept", F.lit(k > 0))
+    levels = [F.floor(F.col("key") * float(1 << 20)).cast("long"), F.xxhash64("doc_id"), F.xxhash64("_metadata.file_name", "_metadata.row_index")]
+    left, kept, tied = k, F.lit(False), F.lit(True)
+    for value in levels:
+        edge, above = _edge(rows.filter(tied), value, left)
+        kept = kept | (tied & (value > edge))
+        tied, left = tied & (value == edge), left - above
+        if rows.filter(tied).count() == left:
+            break
+    return rows.withColumn("kept", kept | tied)
 
 
 def select(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, n_features, log_weight, score, key, kept for each row of ``docs`` (doc_id, text)."""
     rows = table(spark, weigh(spark, docs, fit(spark, docs, labels, cfg), cfg), "weights")
-    return top(spark, rows, int(rows.count() * cfg.share + 0.5))
+    return top(rows, int(rows.count() * cfg.share + 0.5))

@@ -9,8 +9,8 @@ with more documents. score is the winner's share of all corrected counts.
 Texts are lower-cased; runs of characters other than letters count as one space. Learning takes at most
 ``per_language`` documents of each language, chosen by a hash of the id, and ``grams`` n-grams with at least
 ``least`` occurrences. Null texts and texts without letters are ``und`` with score 0, as is everything when there is
-nothing to learn from; rows without language are not learned from; repeated rows are judged alike; other columns are
-passed through.
+nothing to learn from; very long texts are read whole; rows without language are not learned from; repeated rows are
+judged alike; other columns are passed through, but for columns named as the two results, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .runtime import ready, table, uniform
+from .runtime import ready, uniform
 from .words import mix
 
 
@@ -101,16 +101,23 @@ class Filters:
         return self.langs[best], float(share[best] / share.sum()) if share[best] > 0 else 1.0 / len(self.langs)
 
 
-def _count(n: int):
+def _count(n: int, most: int = 2_000_000):
+    """Counts by language, sent on whenever ``most`` n-grams of a language are held."""
+
+    def counted(lang: str, hs: list[np.ndarray]) -> pa.RecordBatch:
+        g, c = np.unique(np.concatenate(hs), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c, pa.int64())], ["lang", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (h := grams(text, n)) is not None:
                     by.setdefault(lang, []).append(h)
+                    if sum(map(len, by[lang])) >= most:
+                        yield counted(lang, by.pop(lang))
             for lang, hs in by.items():
-                g, c = np.unique(np.concatenate(hs), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c, pa.int64())], ["lang", "gram", "n"])
+                yield counted(lang, hs)
 
     return run
 
@@ -125,25 +132,27 @@ def fit(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> Fil
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, cfg.per_language / n))])
     sample = known.filter(uniform(17, F.col("doc_id")) < share[F.col("lang")])
     counts = sample.select("lang", "text").mapInArrow(_count(cfg.n), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= cfg.least)
-    counts = table(spark, counts, "grams")
-    langs, sets = sorted(sizes, key=lambda x: (-sizes[x], x)), []
-    for lang in langs:
-        top = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").select("gram").limit(cfg.grams).toArrow()
-        sets.append(top.column(0).to_numpy().view(np.uint64))
-    return Filters(langs, sets, cfg)
+    # A language's n-grams are those of a bounded sample, so one ordered pass for each, all in one job.
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = counts.withColumn("_place", place).filter(F.col("_place") <= cfg.grams).select("lang", "gram").toArrow().to_pandas()
+    held = {lang: rows["gram"].to_numpy().view(np.uint64) for lang, rows in best.groupby("lang")}
+    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
+    return Filters(langs, [held.get(lang, np.zeros(0, np.uint64)) for lang in langs], cfg)
 
 
 def _judge(filters: Filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [filters.decide(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64()), *batch.columns[1:]], ["lang_pred", "score", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64()), *batch.columns[1:]], ["_gt_lang", "_gt_score", *batch.schema.names[1:]])
 
     return run
 
 
 def predict(spark: SparkSession, docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score for ``text``."""
+    """The columns ``keep`` of ``docs`` with lang_pred and score for ``text``; columns of those two names are replaced."""
     ready(spark)
-    schema = ", ".join(["lang_pred string", "score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return docs.select("text", *keep).mapInArrow(_judge(filters), schema).select(*keep, "lang_pred", "score")
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    schema = ", ".join(["_gt_lang string", "_gt_score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
+    judged = docs.select(F.col("text").alias("_gt_b"), *keep).mapInArrow(_judge(filters), schema)
+    return judged.select(*keep, F.col("_gt_lang").alias("lang_pred"), F.col("_gt_score").alias("score"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from geotide.llm import decontam, forest, langid, lm, mixing, neardup, resample, spans, toxicity, urls
 from geotide.llm.elias_fano import EliasFano
-from geotide.llm.queries import RULES
-from geotide.llm.words import Block, hash_words, shingles
+from geotide.llm.queries import QUERIES, RULES
+from geotide.llm.words import Block, hash_words, mix, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, score string, matches int, n_removed int, component_id string, key int, _id int"
 
@@ -217,6 +217,22 @@ def test_every_sentence_of_a_repeated_run_goes(spark):
     assert sum(x.startswith("b") for x in got[5]["text"].split()) <= 12
 
 
+def test_spans_of_rows_that_share_an_id(spark):
+    rs = random.Random(7)
+    passage, other = (" ".join(words(rs, 9) + "." for _ in range(4)) for _ in range(2))
+    rows = [(0, passage, "a"), (1, passage, "b"), (1, other, "c"), (2, "x. " + other, "d"), (5, words(rs, 30) + ".", "e"), (5, "no more", "f"), (None, passage, "g")]
+    rows += [(7, other.upper(), "h")] * 3 + [(8, words(rs, 12) + ". " + words(rs, 13) + ".", "i")] * 4
+    for ids in ("long", "string"):
+        docs = spark.createDataFrame([(i if ids == "long" or i is None else f"k{i}", t, x) for i, t, x in rows], f"doc_id {ids}, text string, n_sentences string").repartition(3)
+        docs = docs.withColumnRenamed("n_sentences", "tag")
+        got = sorted((r["tag"], r["text"]) for r in spans.remove_repeats(spark, docs).collect())
+        by = {tag: [t for x, t in got if x == tag] for tag in "abcdefghi"}
+        assert by["g"] == [passage]  # the row without id is first
+        assert by["a"] == by["b"] == [""] and by["c"] == [other] and by["d"] == ["x. "], by
+        assert by["e"] == [rows[4][1]] and by["f"] == ["no more"] and by["h"] == [""] * 3
+        assert sorted(by["i"]) == ["", "", "", rows[-1][1]]
+
+
 def test_leaks(spark, odd, none):
     rs = random.Random(11)
     items = [(k, words(rs, rs.randint(20, 60))) for k in range(30)] + [(90, "tiny one"), (91, None), (92, "")]
@@ -328,6 +344,20 @@ def test_neighbours(spark):
     assert forest.nearest(spark, few.limit(0), every=50).count() == 0
 
 
+def test_neighbours_of_odd_rows(spark):
+    """Rows that share an id, huge and tiny components, many queries of one leaf."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 2.0]), (50, [2.0**700, 2.0**700]), (50, [3 * 2.0**-700, 0.0]), (3, [0.0, 5e-324])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in forest.nearest(spark, vectors, every=50, cfg=forest.Settings(k=3, block=2, query_block=2)).collect())
+    half = math.sqrt(0.5)
+    want = [(0, 1, 50, 1.0), (0, 2, 1, half), (0, 3, 1, half)]  # 1, 1 and 50 tie: the smaller ids
+    want += [(50, 1, 0, 1.0), (50, 1, 1, 1.0), (50, 2, 1, 1.0), (50, 2, 1, half), (50, 3, 1, half), (50, 3, 2, 3 / math.sqrt(10))]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
+    same = spark.createDataFrame([(k * 50, [1.0, 2.0, 3.0]) for k in range(300)], "vec_id long, embedding array<float>")
+    got = forest.nearest(spark, same, every=50, cfg=forest.Settings(block=64, query_block=64)).collect()
+    assert len(got) == 1500 and {r["vec_id"] for r in got if r["query_id"] > 250} == {0, 50, 100, 150, 200}
+
+
 def test_language(spark, odd, none):
     f = langid.fit(spark, odd)
     got = langid.predict(spark, odd, f, ["doc_id", "text"]).collect()
@@ -336,10 +366,67 @@ def test_language(spark, odd, none):
         letters = any(ch.isalpha() for ch in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
     assert langid.predict(spark, odd, langid.fit(spark, none), ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
+    clash = langid.predict(spark, odd, f, ["doc_id", "score", "lang_pred", "key"][:2] + ["key"])
+    assert clash.columns == ["doc_id", "key", "lang_pred", "score"] and clash.schema["score"].dataType.typeName() == "double"
     many = langid.Filters([f"l{k}" for k in range(130)], [np.arange(k, k + 50, dtype=np.uint64) for k in range(130)], langid.Settings())
     assert len(many.slices) == 3 and many.shares(np.arange(100, 150, dtype=np.uint64)).argmax() == 100
 
 
+def test_language_equals_plain_sets(spark, odd):
+    """The sets are the commonest n-grams by plain counting; the filter's shares those of the sets, but for rare false hits."""
+    cfg = langid.Settings(grams=40, least=2)
+    rows = [r for r in odd.select("text", "lang").collect() if r["text"] is not None and r["lang"] is not None]
+
+    def plain(text):
+        runs = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        padded = f" {runs} "
+        return [padded[k : k + 4] for k in range(len(padded) - 3)] if runs else []
+
+    f = langid.fit(spark, odd, cfg)
+    for lang in ("aa", "bb"):
+        n = Counter(g for r in rows if r["lang"] == lang for g in plain(r["text"]))
+        least = sorted(n.values(), reverse=True)[39]
+        sure = {g for g, k in n.items() if k > least}
+        bit = f.langs.index(lang)
+        for text in ("kalo misonka treubi", rows[0]["text"], rows[5]["text"]):
+            g = plain(text)
+            low, high = sum(x in sure for x in g), sum(n[x] >= least for x in g)
+            share = f.shares(langid.grams(text, 4))[bit] * len(g)
+            assert low - 1 - 0.05 * len(g) <= share <= high + 1 + 0.05 * len(g)
+
+
+def test_queries_keep_their_contracts(spark, tmp_path):
+    """Every query on a small folder: rows, splits, types."""
+    rs = random.Random(31)
+    bad = "zwerkop"
+    docs = [(k, words(rs, rs.randint(1, 60)) + (f" {bad} " if k % 6 == 0 else " ") + "end.", "aa" if k % 2 else None, f"s{k % 3}", 1) for k in range(200)] + [(500, None, "aa", None, 0), (501, "", None, "s1", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, int(k % 6 == 0)) for k in range(180)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(rs, 20))], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, [float(rs.random()) for _ in range(8)], 0) for k in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "https://A.example.net/en/x?q", "<a href='http://b.org/'>"), (2, None, None), (3, "b.org/fr/", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {name: q(spark, str(tmp_path)).toPandas() for name, q in QUERIES.items()}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    for name, n, k in (("op1_toxicity", 5, 0), ("op4_language_model", 7, 2), ("op10_language", 3, 1)):
+        out = got[name]
+        assert sorted(out["doc_id"]) == sorted(d[0] for d in docs) and (out["held_out"] == [crc(i) % n == k for i in out["doc_id"]]).all()
+    assert got["op1_toxicity"]["score"].between(0, 1).all() and (got["op1_toxicity"]["predicted"] == (got["op1_toxicity"]["score"] >= 0.5)).all()
+    train = [d[1] or "" for d in docs if crc(d[0]) % 7 != 2]
+    n = Counter(w for t in train for w in t.lower().split())
+    total, distinct = sum(n.values()) + len(train), len(n) + 1
+    for r in got["op4_language_model"].itertuples():
+        w = (dict((d[0], d[1]) for d in docs)[r.doc_id] or "").lower().split()
+        base = sum(math.log10((n[x] + 1) / (total + distinct + 1)) for x in w) + math.log10((len(train) + 1) / (total + distinct + 1))
+        assert r.train_tokens == total and r.n_tokens == len(w) + 1 and r.n_known == 1 + sum(n[x] > 0 for x in w) and abs(r.base_score - base) < 1e-6
+    langs = dict(zip(got["op10_language"]["doc_id"], got["op10_language"]["lang_pred"]))
+    assert langs[500] == langs[501] == "und" and set(langs.values()) == {"aa", "und"}
+    assert sorted(got["op7_neighbours"]["query_id"].unique()) == list(range(0, 300, 50)) and len(got["op7_neighbours"]) == 30
+    pages = {r.page_id: r for r in got["op2_url_filters"].itertuples()}
+    assert (pages[1].host, pages[1].path, pages[1].rule, pages[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow") and pages[2].host == pages[3].host == ""
+    mix_ = got["op5_mixing"]
+    assert abs(mix_["taken"].sum() / mix_["size"].sum() - 1.5) < 0.1 and (mix_["taken"] <= 2 * mix_["size"]).all()
+
+
 def test_resampling(spark, odd, none):
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
     rows = resample.select(spark, odd, labels).collect()
@@ -348,8 +435,42 @@ def test_resampling(spark, odd, none):
     assert all(r["kept"] for r in rows if r["key"] > cut) and not any(r["kept"] for r in rows if r["key"] < cut)
     assert resample.select(spark, none, labels).count() == 0
     assert {r["log_weight"] for r in resample.select(spark, odd, labels.limit(0)).collect()} == {0.0}
-    ties = spark.createDataFrame([(k, float(k // 10)) for k in range(40)], "doc_id long, key double")
-    assert sorted(r["doc_id"] for r in resample.top(spark, ties, 15).filter("kept").collect()) == [*range(20, 25), *range(30, 40)]
+
+
+def test_exactly_k_rows_are_kept(spark, tmp_path):
+    rows = [(k, float(k // 10)) for k in range(40)] + [(100, 7.25)] * 5 + [(None, 1.0)] * 6 + [(200 + k, -0.5) for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, key double").repartition(3).write.parquet(f"{tmp_path}/rows")
+    written = spark.read.parquet(f"{tmp_path}/rows")
+    for k in (0, 1, 3, 5, 15, 27, 28, 31, 53, 54, 60):
+        out = resample.top(written, k).collect()
+        kept = sorted((r["key"] for r in out if r["kept"]), reverse=True)
+        assert len(out) == 54 and kept == sorted((x for _, x in rows), reverse=True)[:k], k
+    assert {r["doc_id"] for r in resample.top(written, 15).filter("kept and doc_id < 40").collect()} == set(range(30, 40))
+
+
+def test_resampling_equals_brute_force(spark, odd):
+    """The models' counts and every document's weight against plain counting of hashed words and pairs."""
+    cfg = resample.Settings(buckets=1 << 8, share=0.3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(0, 1)], "doc_id long, quality int")
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in odd.select("doc_id", "text").collect()]
+    good = {0, *range(1, 20, 2)}
+
+    def grams(t):
+        h = [int(x) for x in Block(0, [t]).words(0)]
+        pairs = [int(mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        return [x >> 56 for x in h + pairs]
+
+    count = [Counter(), Counter()]
+    for i, t in texts:
+        count[0].update(grams(t))
+        if i in good:
+            count[1].update(grams(t))
+    total = [sum(c.values()) + 256 for c in count]
+    ratio = [math.log((count[1][g] + 1) / total[1]) - math.log((count[0][g] + 1) / total[0]) for g in range(256)]
+    want = sorted(((i is None, i or 0), round(sum(ratio[g] for g in grams(t)), 6)) for i, t in texts)
+    out = resample.select(spark, odd, labels, cfg).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), round(r["log_weight"], 6)) for r in out) == want
+    assert sum(r["kept"] for r in out) == int(len(out) * 0.3 + 0.5)
 
 
 @pytest.fixture(scope="module")

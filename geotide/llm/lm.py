@@ -21,10 +21,6 @@ Repeated rows are counted and scored row by row; other columns are ignored.
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,11 +28,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .elias_fano import EliasFano
 from .runtime import new_path, ready, table
+from .store import load, save
 from .words import Block, blocks
 
 #: The hash of the end token; no word is empty, so this stands for no word.
@@ -62,38 +58,6 @@ class Model:
     bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
 
 
-# Files.
-
-
-def save(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    store, at = fs.FileSystem.from_uri(path)
-    store.create_dir(f"{at}/{name}", recursive=True)
-    for key, a in arrays.items():
-        held = io.BytesIO()
-        np.save(held, a)
-        passing = f"{at}/{name}/{key}.{uuid.uuid4().hex}"
-        with store.open_output_stream(passing) as out:
-            out.write(held.getbuffer())
-        store.move(passing, f"{at}/{name}/{key}.npy")
-
-
-_open: dict[tuple[str, str], dict[str, np.ndarray]] = {}
-
-
-def load(path: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a shard, memory-mapped."""
-    if (path, name) not in _open:
-        if len(_open) > 4096:
-            _open.clear()
-        store, at = fs.FileSystem.from_uri(path)
-        folder = f"{at}/{name}"
-        if not isinstance(store, fs.LocalFileSystem):
-            folder = tempfile.mkdtemp()
-            fs.copy_files(f"{at}/{name}", folder, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        _open[path, name] = {f[:-4]: np.load(f"{folder}/{f}", mmap_mode="r") for f in os.listdir(folder) if f.endswith(".npy")}
-    return _open[path, name]
-
-
 def _sequence(path: str, name: str, prefix: str) -> EliasFano:
     held = load(path, name)
     key = f"_{prefix}"

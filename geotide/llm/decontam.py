@@ -13,10 +13,14 @@ other items share it. A match needs ``percent``.
 Windows without any shingle of any item are not hashed: their similarity is 0. Items shorter than a shingle match
 where their words stand exactly.
 
-The benchmark is read in blocks of about ``block_chars`` characters of text; documents pass through all blocks, one
-map after another, without a shuffle, and an item's match does not depend on the others of its block. Null and empty texts and items match nothing; an item given twice is reported
-twice; repeated documents are judged row by row; other columns are passed through, but for one named
-``matches``, which is replaced.
+The benchmark is cut in parts of about ``part_chars`` characters by a hash of the item. Tasks index each part and write
+it to the shared folder; documents are read once, by tasks that look every part's known shingles up and load a part's
+items only where some of its shingles occur. Nothing of the benchmark comes to the driver but the sum of its lengths,
+and an item's match does not depend on the others of its part.
+
+Null and empty texts and items match nothing; very long texts are read whole; an item given twice is reported twice, items
+without id are left out; repeated documents are judged row by row, equal matches go by item id; an empty table gives none;
+other columns are passed through, but for one named ``matches``, which is replaced; names with _gt_ are reserved.
 """
 
 from __future__ import annotations
@@ -26,20 +30,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .runtime import ready, table, uniform
-from .words import Block, mix, blocks, shingles
+from .runtime import new_path, ready, table, uniform
+from .store import load, load_object, save, save_object
+from .words import Block, blocks, mix, shingles
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 5
     percent: int = 75
-    radius: int = 23
+    radius: int = 15
     region: int = 16384
-    block_chars: int = 8_000_000
+    part_chars: int = 2_000_000
 
 
 def signs(words: np.ndarray) -> np.ndarray:
@@ -79,15 +85,14 @@ class BlockIndex:
 
 
 class Items:
-    """Items of one block. shared: shingles that several items of the whole benchmark have, and in how many;
-    without it the block is the whole."""
+    """Items of one part. shared: shingles that several items of the whole benchmark have, and in how many;
+    without it the part is the whole."""
 
     def __init__(self, ids: list[int], texts: list[bytes | None], cfg: Settings, shared: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.cfg, self.short, by_length = cfg, defaultdict(dict), defaultdict(list)
-        self.lengths: dict[int, set[int]] = defaultdict(set)
         self.ids, self.counts = ids, {}
         words = [b.words(i) for b in blocks(texts) for i in range(len(b))]
-        df: dict[int, int] = defaultdict(int)
+        found, lengths = [], []
         for k, w in enumerate(words):
             s, c = np.unique(shingles(w, cfg.words), return_counts=True)
             if 0 < len(w) < cfg.words:
@@ -95,19 +100,18 @@ class Items:
             elif len(w):
                 by_length[len(w)].append(k)
                 self.counts[k] = (s, c)
-                for x in s.tolist():
-                    df[x] += 1
-                    self.lengths[x].add(len(w))
-        self.known = np.array(sorted(df), np.uint64)
-        held = np.array([df[x] for x in self.known.tolist()], np.float64)
+                found.append(s)
+                lengths.append(np.full(len(s), len(w), np.uint64))
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.known, held = np.unique(every, return_counts=True)
+        held = held.astype(np.float64)
         if shared is not None:
             at = np.searchsorted(self.known, shared[0])
             held[at] = shared[1]
         self.own = {k: 1.0 / held[np.searchsorted(self.known, s)] for k, (s, _) in self.counts.items()}
-        size = 1 << max(16, (16 * len(df)).bit_length())
-        self.shift = np.uint64(64 - (size.bit_length() - 1))
-        self.maybe = np.zeros(size, bool)
-        self.maybe[(self.known >> self.shift).astype(np.int64)] = True
+        # Lengths of the items that hold each known shingle, one after another.
+        pairs = np.unique(np.stack((np.searchsorted(self.known, every), np.concatenate(lengths).astype(np.int64) if lengths else every.astype(np.int64))), axis=1)
+        self.first, self.lengths = np.searchsorted(pairs[0], np.arange(len(self.known) + 1)), pairs[1]
         self.groups = {}
         for n, ks in by_length.items():
             prints = np.concatenate([fingerprints(signs(words[k]), np.array([0]), np.array([n])) for k in ks])
@@ -125,26 +129,24 @@ class Items:
         foreign = (len(window) - same.sum()) * lacking / max(1, (c - same).sum())
         return float(common / (common + lacking + foreign))
 
-    def matches(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """Of one document: item, similarity, first word and end of its best window, for every item that matches."""
+    def matches(self, words: np.ndarray, sh: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """Of one document: item, similarity, first word and end of its best window, for every item that matches.
+
+        sh: the document's shingles, hits: the places of those that are known."""
         found: dict[int, tuple[float, int, int]] = {}
         for n, known in self.short.items():
             if n <= len(words):
                 for at, x in enumerate(shingles(words, n).tolist()):
                     for k in known.get(x, ()):
                         found.setdefault(k, (1.0, at, at + n))
-        if len(words) >= self.cfg.words and len(self.known):
-            sh = shingles(words, self.cfg.words)
-            hits = np.flatnonzero(self.maybe[(sh >> self.shift).astype(np.int64)])
-            hits = hits[self.known[np.minimum(np.searchsorted(self.known, sh[hits]), len(self.known) - 1)] == sh[hits]]
-            for part in np.split(hits, np.flatnonzero(np.diff(hits // self.cfg.region)) + 1) if len(hits) else ():
-                self._region(words, sh, part, found)
+        for part in np.split(hits, np.flatnonzero(np.diff(hits // self.cfg.region)) + 1) if len(hits) else ():
+            self._region(words, sh, part, found)
         return [(self.ids[k], *found[k]) for k in sorted(found, key=lambda k: (self.ids[k], k))]
 
     def _region(self, words: np.ndarray, sh: np.ndarray, hits: np.ndarray, found: dict) -> None:
         by_length: dict[int, list[int]] = defaultdict(list)
-        for p, x in zip(hits.tolist(), sh[hits].tolist()):
-            for n in self.lengths[x]:
+        for p, x in zip(hits.tolist(), np.searchsorted(self.known, sh[hits]).tolist()):
+            for n in self.lengths[self.first[x] : self.first[x + 1]].tolist():
                 by_length[n].append(p)
         reach = max(by_length) + max(by_length) // 8 + 1
         lo, hi = max(0, int(hits[0]) - reach), min(len(words), int(hits[-1]) + self.cfg.words + reach)
@@ -199,17 +201,45 @@ MATCHES = "array<struct<item_id:bigint,similarity:double,first_word:bigint,end_w
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
 
-def _scan(items: Items):
+def _known(known: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted shingles with a table of bits that tells most others apart at once."""
+    size = 1 << max(16, (16 * len(known)).bit_length())
+    shift = 64 - (size.bit_length() - 1)
+    maybe = np.zeros(size, bool)
+    maybe[(known >> np.uint64(shift)).astype(np.int64)] = True
+    return {"known": known, "maybe": maybe, "shift": np.array([shift], np.uint64)}
+
+
+def _hits(sh: np.ndarray, held: dict[str, np.ndarray]) -> np.ndarray:
+    known = held["known"]
+    if not len(known) or not len(sh):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(held["maybe"][(sh >> held["shift"][0]).astype(np.int64)])
+    return at[known[np.minimum(np.searchsorted(known, sh[at]), len(known) - 1)] == sh[at]]
+
+
+def _scan(path: str, parts: list[tuple[int, bool]], cfg: Settings):
+    """parts: number of each part that has items, and whether it has some shorter than a shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            before = batch.column(1).to_pylist()
+            out: list[list[dict]] = []
             for block in blocks(batch.column(0).to_pylist()):
                 block: Block
-                for i in range(len(block)):
-                    new = [dict(zip(("item_id", "similarity", "first_word", "end_word"), m)) for m in items.matches(block.words(i))]
-                    out.append(sorted((before[block.first + i] or []) + new, key=lambda m: m["item_id"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KIND), *batch.columns[2:]], ["_gt_b", "_gt_m", *batch.schema.names[2:]])
+                sh = [shingles(block.words(i), cfg.words) if block.bounds[i + 1] - block.bounds[i] >= cfg.words else block.words(i)[:0] for i in range(len(block))]
+                every, ends = np.concatenate(sh), np.cumsum([len(s) for s in sh])
+                found: list[list[tuple]] = [[] for _ in sh]
+                for part, short in parts:
+                    hits = _hits(every, load(path, f"known-{part}"))
+                    if not len(hits) and not short:
+                        continue
+                    items: Items = load_object(path, f"items-{part}")  # type: ignore[assignment]
+                    doc = np.searchsorted(ends, hits, side="right")
+                    for i in range(len(sh)) if short else np.unique(doc).tolist():
+                        own = hits[doc == i] - (ends[i] - len(sh[i]))
+                        found[i] += items.matches(block.words(i), sh[i], own)
+                out += [[dict(zip(("item_id", "similarity", "first_word", "end_word"), m)) for m in sorted(f, key=lambda m: m[0])] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _KIND), *batch.columns[1:]], ["_gt_b", "_gt_m", *batch.schema.names[1:]])
 
     return run
 
@@ -221,16 +251,31 @@ def _shingles_of(cfg: Settings):
             for block in blocks(batch.column(1).to_pylist()):
                 words = [block.words(i) for i in range(len(block))]
                 found += [np.unique(shingles(w, cfg.words)).view(np.int64) if len(w) >= cfg.words else np.zeros(0, np.int64) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_part", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_part", "shingle"])
 
     return run
 
 
-def _shared(spark: SparkSession, items: DataFrame, cfg: Settings) -> DataFrame:
-    """_part, shingle, n: shingles that several items of any blocks have, in how many, for each block that has them."""
-    each = items.select(F.col("_part").cast("long").alias("_part"), F.col("text").cast("binary").alias("b")).mapInArrow(_shingles_of(cfg), "_part long, shingles array<long>")
-    found = each.select("_part", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.collect_set("_part").alias("parts")).filter("n > 1")
-    return table(spark, found.select(F.explode("parts").alias("_part"), "shingle", "n"), "shared")
+def _shared(items: DataFrame, cfg: Settings) -> DataFrame:
+    """_part, shingle, n: shingles that several items of any parts have, in how many, for each part that has them."""
+    each = items.select("_part", F.col("text").cast("binary").alias("b")).mapInArrow(_shingles_of(cfg), "_part long, shingle array<long>")
+    by_part = each.select("_part", F.explode("shingle").alias("shingle")).groupBy("_part", "shingle").agg(F.count(F.lit(1)).alias("_m"))
+    whole = by_part.groupBy("shingle").agg(F.sum("_m").alias("n")).filter("n > 1")
+    return by_part.select("_part", "shingle").join(whole, "shingle").select("_part", "shingle", "n")
+
+
+def _index(path: str, cfg: Settings):
+    def run(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"part": np.zeros(0, np.int64), "short": np.zeros(0, bool)})
+        rows = rows.sort_values(["item_id", "b"])
+        part = int(rows["_part"].iloc[0])
+        items = Items(rows["item_id"].tolist(), [bytes(b) for b in rows["b"]], cfg, (shared["shingle"].to_numpy().astype(np.int64).view(np.uint64), shared["n"].to_numpy()))
+        save(path, f"known-{part}", _known(items.known))
+        save_object(path, f"items-{part}", items)
+        return pd.DataFrame({"part": [part], "short": [bool(items.short)]})
+
+    return run
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -239,20 +284,12 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     docs = docs.drop("matches")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // cfg.block_chars) or 1
-    items = items.withColumn("_part", F.floor(uniform(3, F.col("item_id")) * parts))
-    if parts > 1:
-        items = table(spark, items, "items")
-        known = _shared(spark, items, cfg)
-    rest = list(docs.columns)
-    held = docs.select(F.col("text").cast("binary").alias("_gt_b"), F.lit(None).cast(MATCHES).alias("_gt_m"), *[c for c in rest if c != "text"])
-    schema = ", ".join(["_gt_b binary", f"_gt_m {MATCHES}", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest if c != "text"]])
-    for part in range(parts):
-        rows = items.filter(F.col("_part") == part).select("item_id", F.col("text").cast("binary").alias("b")).orderBy("item_id", "b").collect()
-        shared = None
-        if parts > 1:
-            found = known.filter(F.col("_part") == part).toArrow()
-            x, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
-            shared = x, n
-        held = held.mapInArrow(_scan(Items([r["item_id"] for r in rows], [bytes(r["b"]) for r in rows], cfg, shared)), schema)
-    return held.select(*[F.col("_gt_b").cast("string").alias("text") if c == "text" else F.col(c) for c in rest], F.col("_gt_m").alias("matches"))
+    parts = -(-total // cfg.part_chars) or 1
+    items = table(spark, items.withColumn("_part", F.floor(uniform(3, F.col("item_id"), F.col("text")) * parts).cast("long")), "items")
+    path = new_path(spark, "index")
+    rows = items.select("_part", "item_id", F.col("text").cast("binary").alias("b")).groupBy("_part")
+    made = rows.cogroup(_shared(items, cfg).groupBy("_part")).applyInPandas(_index(path, cfg), "part long, short boolean").collect()  # a row a part
+    rest = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(["_gt_b binary", f"_gt_m {MATCHES}", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]])
+    held = docs.select(F.col("text").cast("binary").alias("_gt_b"), *rest).mapInArrow(_scan(path, sorted((r["part"], r["short"]) for r in made), cfg), schema)
+    return held.select(*[F.col("_gt_b").cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_gt_m").alias("matches"))

@@ -245,7 +245,7 @@ def test_leaks(spark, odd, none):
     got = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontam.find_leaks(spark, docs, bench).collect()}
     n, m = len(w) - 4, 5
     assert got[1] == [2] and got[2] == ([3] if (n - m) * 100 >= 75 * (n + m) else []) and not got[3] and not got[4] and got[5] == [90] and not got[6] and not got[7]
-    small = decontam.Settings(block_chars=1500)  # several blocks
+    small = decontam.Settings(part_chars=1500)  # several blocks
     assert {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontam.find_leaks(spark, docs, bench, small).collect()} == got
     out = decontam.find_leaks(spark, odd, bench)
     assert out.count() == odd.count() and len(set(out.columns)) == len(out.columns)
@@ -267,7 +267,32 @@ def test_leaks_of_shared_items_do_not_depend_on_blocks(spark):
     whole = {r["doc_id"]: r["matches"] for r in decontam.find_leaks(spark, docs, bench).collect()}
     assert {k: [m["item_id"] for m in v] for k, v in whole.items()} == {1: list(range(10)), 2: [20], 3: []}
     for size in (400, 2000):
-        assert {r["doc_id"]: r["matches"] for r in decontam.find_leaks(spark, docs, bench, decontam.Settings(block_chars=size)).collect()} == whole
+        assert {r["doc_id"]: r["matches"] for r in decontam.find_leaks(spark, docs, bench, decontam.Settings(part_chars=size)).collect()} == whole
+
+
+def test_leaks_against_all_windows(spark):
+    """Every window of every document against every item by the exact similarity, for edited passages of all lengths."""
+    rs = random.Random(13)
+    cfg = decontam.Settings()
+    items = [(k, words(rs, rs.choice((6, 8, 12, 20, 33, 50, 90)))) for k in range(60)]
+    rows = []
+    for k in range(170):
+        w = items[rs.randrange(60)][1].split()
+        for _ in range(rs.choice((0, 1, 1, 2, 3))):
+            at = rs.randrange(len(w))
+            w[at : at + rs.choice((0, 1))] = [f"z{rs.randrange(10**6)}"] * rs.choice((0, 1))
+        rows.append((k, f"{words(rs, rs.randrange(60))} {' '.join(w)} {words(rs, rs.randrange(60))}"))
+    all_ = decontam.Items([i for i, _ in items], [t.encode() for _, t in items], cfg)
+    want = set()
+    for i, t in rows:
+        sh = shingles(Block(0, [t.encode()]).words(0), cfg.words)
+        for k, (_, text) in enumerate(items):
+            n = len(text.split()) - cfg.words + 1
+            if any(all_.similarity(k, sh[at : at + n]) >= 0.75 - 1e-9 for at in range(max(1, len(sh) - n + 1))):
+                want.add((i, k))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = [{(r["doc_id"], m["item_id"]) for r in decontam.find_leaks(spark, docs, bench, decontam.Settings(part_chars=size)).collect() for m in r["matches"]} for size in (10**6, 900, 300)]
+    assert len(want) > 80 and got[0] <= want and len(got[0]) >= 0.98 * len(want) and got[0] == got[1] == got[2]
 
 
 def test_block_index_misses_nothing():

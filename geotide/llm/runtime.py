@@ -3,29 +3,46 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.column import Column
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from .store import put
+
+_ROOT = Path(__file__).resolve().parents[2]
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets
+    a folder of its own; on a cluster there is no such folder to choose."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     return (found or f"file:///tmp/geotide-shared-{os.getpid()}").rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    """Ship this package to the Python workers, once a session."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((_ROOT / "geotide").rglob("*.py")):
+            z.write(f, str(f.relative_to(_ROOT)))
+    path, name = new_path(spark, "code"), "geotide.zip"
+    put(path, name, held.getvalue())
+    spark.sparkContext.addPyFile(f"{path}/{name}")
+    _shipped.add(app)
 
 
 def new_path(spark: SparkSession, what: str) -> str:

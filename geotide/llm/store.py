@@ -18,7 +18,8 @@ MEMORY = 256 << 20
 _held: OrderedDict[tuple[str, str], tuple[object, int]] = OrderedDict()
 
 
-def _put(path: str, name: str, data: memoryview | bytes) -> None:
+def put(path: str, name: str, data: memoryview | bytes) -> None:
+    """Write a file whole or not at all."""
     store, at = fs.FileSystem.from_uri(path)
     folder = f"{at}/{name}".rsplit("/", 1)[0]
     store.create_dir(folder, recursive=True)
@@ -40,7 +41,7 @@ def save(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     for key, a in arrays.items():
         held = io.BytesIO()
         np.save(held, a)
-        _put(path, f"{name}/{key}.npy", held.getbuffer())
+        put(path, f"{name}/{key}.npy", held.getbuffer())
 
 
 def load(path: str, name: str) -> dict:
@@ -65,7 +66,7 @@ def load(path: str, name: str) -> dict:
 
 
 def save_object(path: str, name: str, value: object) -> None:
-    _put(path, name, pickle.dumps(value, protocol=5))
+    put(path, name, pickle.dumps(value, protocol=5))
 
 
 def load_object(path: str, name: str) -> object:

@@ -10,8 +10,9 @@ Groups are never expanded into all pairs. First every member of a bucket is comp
 only, then with the smallest of a hashed part of the bucket, and the confirmed links give components. What a bucket
 still holds in different components is then compared across components, less the pairs whose similarities to the
 common leader rule a link out (1 - similarity is a metric) and those whose intersection is bounded below a link's, by
-the shingles that no other of these sets has and by bit counts of the sets' marks. So each link between candidates is found or implied by links found, at the cost of a star for groups of
-copies.
+the shingles that no other of these sets has and by bit counts of the sets' marks. So each link between candidates is
+found or implied by links found, at the cost of a star for groups of copies. A leader of many members is read by hashed
+parts of them, and a crowded bucket is compared by pairs of parts, so that no key holds a large group.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no band with a chance of 5e-6; an estimate below ``floor``
 (0.5) at a true 0.75 lies more than five standard deviations off.
@@ -45,6 +46,7 @@ class Settings:
     floor: float = 0.5
     part: int = 16
     marks: int = 1024
+    crowd: int = 1024
 
     @property
     def longs(self) -> int:
@@ -135,15 +137,32 @@ def estimate(x: Column, y: Column, cfg: Settings) -> Column:
     return (1 - differ / float(cfg.bands * cfg.rows) - chance) / (1 - chance)
 
 
+def _dealt(pairs: DataFrame, table_: DataFrame, value: str, name: str) -> DataFrame:
+    """``pairs`` with the ``value`` of their class a as ``name``. A class of many pairs is read by each of its parts alone: the
+    parts are the root of the pairs, so neither a part nor the parts of one class are many."""
+    parts = pairs.select("a", "part").distinct().join(table_.select(F.col("class").alias("a"), F.col(value).alias(name)), "a")
+    return pairs.join(parts, ["a", "part"])
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> DataFrame:
-    """Pairs (a, b) of classes with the size of their sets' union and intersection."""
-    x = sets.select(F.col("class").alias("b"), F.col("set").alias("_y"))
-    y = sets.select(F.col("class").alias("a"), F.col("set").alias("_x"))
-    both = pairs.select("a", "b").join(x, "b").join(y, "a")
+    """Pairs (a, b, part) of classes with the size of their sets' union and intersection."""
+    both = _dealt(pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("_y")), "b"), sets, "set", "_x")
     common = F.size(F.array_intersect("_x", "_y"))
     return both.select("a", "b", common.alias("common"), (F.size("_x") + F.size("_y")).alias("sizes")).select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("either")).distinct()
 
 
+def _likely(pairs: DataFrame, sigs: DataFrame, cfg: Settings) -> DataFrame:
+    """The pairs (a, b, part) whose signatures do not rule a link out."""
+    both = _dealt(pairs.join(sigs.select(F.col("class").alias("b"), F.col("sig").alias("_y")), "b"), sigs, "sig", "_x")
+    return both.filter(estimate(F.col("_x"), F.col("_y"), cfg) >= cfg.floor).select("a", "b", "part")
+
+
+def _parted(pairs: DataFrame, n: Column) -> DataFrame:
+    """Distinct pairs (a, b) with the part of a's pairs that b falls in, a having up to ``n`` of them."""
+    most = pairs.groupBy("a", "b").agg(F.max(n).alias("_n"))
+    return most.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.sqrt("_n"))).alias("part"))
+
+
 def _needed(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
     """Full sets of the classes in ``pairs``, from the texts that carry a class's smallest id."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -154,7 +173,7 @@ def _needed(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Dat
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (band, class, leader) of the buckets with several components, with component and the bucket's size n."""
-    named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = members.drop("n").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = named.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi and n > 2").select("band", "n")
     return named.join(open_, "band")
 
@@ -188,12 +207,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     classes = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     classes = table(spark, classes, "classes")
     keyed = classes.select("class", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    shared = keyed.groupBy("band").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = table(spark, keyed.join(shared, "band").filter("class is not null"), "members")
     sigs = classes.select("class", "sig")
-    stars = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    x, y = sigs.select(F.col("class").alias("a"), F.col("sig").alias("_x")), sigs.select(F.col("class").alias("b"), F.col("sig").alias("_y"))
-    stars = table(spark, stars.join(y, "b").join(x, "a").filter(estimate(F.col("_x"), F.col("_y"), cfg) >= cfg.floor).select("a", "b"), "stars")
+    stars = _parted(members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"), "n"), F.col("n"))
+    stars = table(spark, _likely(stars, sigs, cfg), "stars")
     linked = F.col("common") * 100 >= F.col("either") * cfg.percent
     tested = table(spark, _confirm(stars, _needed(spark, docs, classes, stars, cfg), cfg), "tested")
     links = tested.filter(linked).select("a", "b")
@@ -207,7 +225,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     heads = small.groupBy("band", "part").agg(F.min_by(F.struct("class", "component"), "class").alias("head"))
     met = small.join(heads, ["band", "part"]).filter("head.component <> component").select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
     met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    met = table(spark, met.join(y, "b").join(x, "a").filter(estimate(F.col("_x"), F.col("_y"), cfg) >= cfg.floor).select("a", "b"), "met")
+    met = table(spark, _likely(_parted(met, F.lit(cfg.part * cfg.bands)), sigs, cfg), "met")
     if not met.isEmpty():
         more = table(spark, _confirm(met, _needed(spark, docs, classes, met, cfg), cfg), "tested")
         tested = tested.unionByName(more)
@@ -220,16 +238,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     shared = table(spark, _shared(sets).filter(F.col("shared") * 100 >= F.col("size") * cfg.percent), "shared")
     far = tested.select(F.col("a").alias("leader"), F.col("b").alias("class"), (1 - F.col("common") / F.col("either")).alias("far"))
     rest = rest.join(shared, "class").join(far, ["leader", "class"], "left").join(sigs, "class")
-    rest = table(spark, rest.select("band", "class", "component", "sig", "far", "size", "shared", "marked", *[F.col("marks")[k].alias(f"marks{k}") for k in range(cfg.marks // 64)]), "rest")
-    p, q = rest.alias("p"), rest.alias("q")
+    rest = table(spark, rest.select("band", "n", "class", "component", "sig", "far", "size", "shared", "marked", *[F.col("marks")[k].alias(f"marks{k}") for k in range(cfg.marks // 64)]), "rest")
+    # A crowded bucket is cut in parts, and each pair of parts meets under a key of its own.
+    rest = rest.withColumn("_parts", F.ceil(F.sqrt(F.col("n") / cfg.crowd))).withColumn("_mine", F.pmod(F.xxhash64("class"), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    p, q = rest.withColumn("_other", every).alias("p"), rest.withColumnRenamed("_mine", "_other").withColumn("_mine", every).alias("q")
     span = (100 - cfg.percent) / 100 + 1e-9
     near = F.coalesce(F.abs(F.col("p.far") - F.col("q.far")) <= span, F.lit(True))
     enough = _common_most("p", "q", cfg) * (100 + cfg.percent) >= (F.col("p.size") + F.col("q.size")) * cfg.percent
-    cross = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & near & (estimate(F.col("p.sig"), F.col("q.sig"), cfg) >= cfg.floor) & enough)
+    met_at = (F.col("p.band") == F.col("q.band")) & (F.col("p._mine") == F.col("q._mine")) & (F.col("p._other") == F.col("q._other"))
+    cross = p.join(q, met_at & (F.col("p.component") < F.col("q.component")) & near & (estimate(F.col("p.sig"), F.col("q.sig"), cfg) >= cfg.floor) & enough)
     cross = cross.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
     cross = table(spark, cross.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        more = _confirm(cross, sets, cfg).filter(linked).select("a", "b")
+        more = _confirm(cross.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(cfg.part))), sets, cfg).filter(linked).select("a", "b")
         labels = table(spark, components(spark, _stars(labels).unionByName(more)), "labels")
     of_class = classes.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))

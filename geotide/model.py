@@ -116,6 +116,11 @@ class Unit:
                 raise QueryError("class keys are integers") from e
         return Unit(d["measurement"], d["unit"], d.get("min"), d.get("max"), d.get("interpolation", "unknown"), classes)
 
+    def to_json(self) -> dict:
+        out = {"measurement": self.measurement, "unit": self.unit, "interpolation": self.interpolation}
+        out |= {"min": self.min, "max": self.max} if self.min is not None else {}
+        return out | ({"classes": {str(k): v for k, v in self.classes.items()}} if self.classes else {})
+
     def is_a(self, measurement: str) -> bool:
         return self.measurement.lower() == measurement.lower()
 
@@ -130,6 +135,7 @@ class Frame:
     grid: Grid | None = None
     has_time: bool = False
     unit: Unit = field(default_factory=Unit)
+    datatype: str = "Float64"
     globals: dict[str, float | str] = field(default_factory=dict)
     provenance: list[dict] = field(default_factory=list)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import crs
-from ..functions.geometry import in_polygons, polygon_bounds
+from ..functions.geometry import in_polygons, lines_meet_box, polygon_bounds, polygons_meet_box
 from ..functions.timeops import TimeShift
 from ..model import Grid, QueryError, Rect
 from .rasters import PIXEL
@@ -97,6 +97,22 @@ def project_points(points: DataFrame, src: str, rect: Rect) -> DataFrame:
     return out.filter(F.col("x").between(rect.x1, rect.x2) & F.col("y").between(rect.y1, rect.y2))
 
 
+def project_shapes(features: DataFrame, kind: str, src: str, rect: Rect) -> DataFrame:
+    """Lines or polygons (geom) in the rectangle's reference system, less those with a coordinate that does not project and
+    those that do not meet the rectangle."""
+
+    def point(p: Column) -> Column:
+        x, y = crs.transform(p["x"], p["y"], src, rect.crs)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    line = lambda a: F.transform(a, point)
+    flat = F.flatten("_geom") if kind == "lines" else F.flatten(F.flatten("_geom"))
+    moved = features.withColumn("_geom", F.transform("geom", line if kind == "lines" else lambda p: F.transform(p, line)))
+    good = ~F.exists(flat, lambda p: p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"]))
+    moved = moved.filter(good).withColumn("geom", F.col("_geom")).drop("_geom")
+    return moved.filter((lines_meet_box if kind == "lines" else polygons_meet_box)(F.col("geom"), rect))
+
+
 def project_raster(raster: DataFrame, source: Grid, src: str, target: Grid, dst: str) -> DataFrame:
     """Each target pixel's centre looked up in the source grid; no data where it falls outside."""
     pixels = raster.sparkSession.range(target.width * target.height).select((F.col("id") % target.width).alias("px"), F.floor(F.col("id") / target.width).alias("py"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.geometry import in_polygons, polygon_bounds
+from ..functions.geometry import in_polygons, polygon_bounds, segments
 from ..model import BOT, EOT, QueryError
 
 #: The lower bound where none is given: the smallest normal double, which drops zero and negative values.
@@ -55,34 +55,71 @@ def difference(minuend: DataFrame, subtrahend: DataFrame, epsilon: float = 0.0)
     return minuend.join(other, (cell(F.col("x")) == F.col("_i")) & (cell(F.col("y")) == F.col("_j")) & close, "left_anti")
 
 
-def cells(bounds: Column, size: float) -> Column:
-    """The grid cells (i, j) that a box touches."""
-    i = F.sequence(F.floor(bounds["x1"] / size), F.floor(bounds["x2"] / size))
-    j = F.sequence(F.floor(bounds["y1"] / size), F.floor(bounds["y2"] / size))
-    return F.flatten(F.transform(i, lambda a: F.transform(j, lambda b: F.struct(a.alias("i"), b.alias("j")))))
+#: A polygon is cut in at most this many cells; wider ones in cells of 64 times the side.
+MOST_CELLS = 4096
 
 
-def _meet(points: DataFrame, polygons: DataFrame, size: float, how: str) -> DataFrame:
-    """Points and the polygons (geom, p1, p2) that hold them, joined by grid cell."""
-    keyed = polygons.withColumn("_cell", F.explode(cells(polygon_bounds(F.col("geom")), size))).withColumnRenamed("geom", "_geom")
-    here = F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    return points.join(keyed, (here == F.col("_cell")) & in_polygons(F.col("_geom"), F.col("x"), F.col("y")), how)
+def cell_side(polygons: DataFrame) -> float:
+    """A grid's cell about as large as a usual polygon, whatever the reference system."""
+    b = polygon_bounds(F.col("geom"))
+    side = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"])
+    r = polygons.select(side.alias("s")).agg(F.percentile_approx("s", 0.5), F.max("s")).first()
+    return max(float(r[0] or 0.0), float(r[1] or 0.0) / 4096) or 1.0
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, *, point_time: bool = False, polygon_time: bool = False, cell: float = 10.0) -> DataFrame:
+def _cells(polygons: DataFrame, side: float) -> DataFrame:
+    """A row for each cell that a polygon (geom, ...) touches: _level, _i, _j, and ``_inside`` where the cell lies inside, so
+    that only cells at the border need the edges (``_geom`` is null elsewhere)."""
+    b = polygon_bounds(F.col("geom"))
+    count = lambda lo, hi, s: F.floor(b[hi] / s) - F.floor(b[lo] / s) + 1
+    level = F.when(count("x1", "x2", side) * count("y1", "y2", side) > MOST_CELLS, 1).otherwise(0)
+    sized = polygons.withColumn("_level", level).withColumn("_b", b).withColumn("_s", F.when(F.col("_level") == 1, side * 64).otherwise(side))
+    at = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / F.col("_s")), F.floor(F.col(f"_b.{hi}") / F.col("_s"))))
+    cut = sized.withColumn("_i", at("x1", "x2")).withColumn("_j", at("y1", "y2"))
+    x1, y1 = F.col("_i") * F.col("_s"), F.col("_j") * F.col("_s")
+    x2, y2 = x1 + F.col("_s"), y1 + F.col("_s")
+    meets = lambda s: (F.least(s["a"]["x"], s["b"]["x"]) <= x2) & (F.greatest(s["a"]["x"], s["b"]["x"]) >= x1) & (F.least(s["a"]["y"], s["b"]["y"]) <= y2) & (F.greatest(s["a"]["y"], s["b"]["y"]) >= y1)
+    border = F.exists("geom", lambda p: F.exists(p, lambda r: F.exists(segments(r), meets)))
+    cut = cut.withColumn("_border", border).withColumn("_inside", ~F.col("_border") & in_polygons(F.col("geom"), (x1 + x2) / 2, (y1 + y2) / 2))
+    return cut.filter("_border or _inside").withColumn("_geom", F.when(F.col("_border"), F.col("geom"))).drop("geom", "_b", "_s", "_border")
+
+
+def _meet(points: DataFrame, polygons: DataFrame, side: float | None, how: str) -> DataFrame:
+    """Points and the polygons (geom, p1, p2) that hold them, joined by grid cell. ``how``: inner or left_semi."""
+    side = cell_side(polygons) if side is None else side
+    cut = _cells(polygons, side)
+    holds = F.col("_inside") | in_polygons(F.col("_geom"), F.col("x"), F.col("y"))
+
+    def on(level: int):
+        s = side * 64**level
+        return (F.floor(F.col("x") / s) == F.col("_i")) & (F.floor(F.col("y") / s) == F.col("_j")) & holds
+
+    fine, wide = (cut.filter(F.col("_level") == k) for k in (0, 1))
+    if wide.isEmpty():
+        return points.join(fine, on(0), how)
+    if how == "inner":
+        return points.join(fine, on(0)).unionByName(points.join(wide, on(1)))
+    return points.join(fine, on(0), "left_semi").unionByName(points.join(fine, on(0), "left_anti").join(wide, on(1), "left_semi"))
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, *, point_time: bool = False, polygon_time: bool = False, cell: float | None = None) -> DataFrame:
     """Points (x, y, ...) in any polygon (geom). With time on either side, a point is valid where it and a containing
-    polygon are: strictly overlapping pieces are merged, touching ones are not, and each merged piece is a row."""
+    polygon are: strictly overlapping pieces are merged, touching ones are not, and each merged piece is a row.
+
+    ``cell``: the side of the grid's cells, by default that of a usual polygon."""
     if not point_time and not polygon_time:
         return _meet(points, polygons.select("geom"), cell, "left_semi")
     columns = [c for c in points.columns if c not in ("t1", "t2")]
     timed = points if point_time else points.drop("t1", "t2").withColumn("t1", F.lit(BOT)).withColumn("t2", F.lit(EOT))
     bounds = [F.col(c) if polygon_time else F.lit(e) for c, e in (("t1", BOT), ("t2", EOT))]
     other = polygons.select("geom", bounds[0].alias("_p1"), bounds[1].alias("_p2"))
-    timed = timed.withColumn("_row", F.monotonically_increasing_id())
-    hits = _meet(timed, other, cell, "inner").select("_row", *columns, F.greatest("t1", "_p1").alias("t1"), F.least("t2", "_p2").alias("t2")).filter("t1 < t2")
-    in_order = W.partitionBy("_row").orderBy("t1", "t2")
+    # Equal points are told apart by nothing and share their pieces: they are one row with a number of times.
+    key = [*columns, "_from", "_to"]
+    timed = timed.withColumnsRenamed({"t1": "_from", "t2": "_to"}).groupBy(*key).agg(F.count(F.lit(1)).alias("_times"))
+    hits = _meet(timed, other, cell, "inner").select(*key, "_times", F.greatest("_from", "_p1").alias("t1"), F.least("_to", "_p2").alias("t2")).filter("t1 < t2")
+    in_order = W.partitionBy(*key).orderBy("t1", "t2")
     reach = F.max("t2").over(in_order.rowsBetween(W.unboundedPreceding, -1))
     marked = hits.withColumn("_new", F.when(F.col("t1") < reach, 0).otherwise(1))
     marked = marked.withColumn("_island", F.sum("_new").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
-    first = [F.first(c).alias(c) for c in columns]
-    return marked.groupBy("_row", "_island").agg(*first, F.min("t1").alias("t1"), F.max("t2").alias("t2")).drop("_row", "_island")
+    merged = marked.groupBy(*key, "_island").agg(F.first("_times").alias("_times"), F.min("t1").alias("t1"), F.max("t2").alias("t2"))
+    return merged.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*columns, "t1", "t2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -52,6 +53,20 @@ def text_statistics(df: DataFrame, column: str, top: int = 20, least: float = 0.
     return counts.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("_all") * least).drop("_all").orderBy(F.desc("n"), "value").limit(top)  # one row
 
 
+def statistics(df: DataFrame, numeric: list[str], textual: list[str], top: int = 20) -> DataFrame:
+    """A row for each numeric and each text attribute: name, kind, count, missing, min, max, mean, stddev, distinct and the
+    most frequent texts as ``top`` (value, n)."""
+    nothing = {"distinct": "bigint", "top": "array<struct<value:string,n:bigint>>"}
+    parts = [numeric_statistics(df, numeric).withColumn("kind", F.lit("numeric")).withColumnRenamed("nan_count", "missing").withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})] if numeric else []
+    for c in textual:
+        best = text_statistics(df, c, top).agg(F.collect_list(F.struct("value", "n")).alias("top"))  # at most ``top`` rows
+        counts = df.agg(F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("distinct"))
+        row = counts.crossJoin(F.broadcast(best)).withColumns({"name": F.lit(c), "kind": F.lit("text")})  # one row each
+        parts.append(row.withColumns({m: F.lit(None).cast("double") for m in ("min", "max", "mean", "stddev")}))
+    columns = ["name", "kind", "count", "missing", "min", "max", "mean", "stddev", "distinct", "top"]
+    return reduce(lambda a, b: a.unionByName(b), [p.select(columns) for p in parts])
+
+
 def scatter(df: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with all values, sorted by them."""
     fine = [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]
@@ -61,9 +76,25 @@ def scatter(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*columns).orderBy(*columns)
 
 
-def no_data_count(df: DataFrame, columns: list[str]) -> int:
-    missing = " or ".join(f"{c} is null or isnan({c})" for c in columns)
-    return df.filter(missing).count()
+def scatter_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows lack a value, and the least and greatest of each column among the others."""
+    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    ends = [f(F.when(fine, F.col(c))).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
+    return df.agg(F.count_if(~fine).alias("nodata"), *ends)
+
+
+def scatter_json(df: DataFrame, columns: list[str]) -> str:
+    ends = scatter_ranges(df, columns).first()
+    data = [list(r) for r in scatter(df, columns).toLocalIterator()]
+    ranges = [{"min": ends[f"{c}_min"], "max": ends[f"{c}_max"]} for c in columns]
+    return json.dumps({"type": "xygraph", "metadata": {"dimensions": len(columns), "nodata": ends["nodata"], "numberOfPoints": len(data), "range": ranges}, "data": data})
+
+
+def statistics_json(stats: DataFrame) -> str:
+    out = {}
+    for r in stats.collect():  # a row for each attribute
+        out[r["name"]] = {"type": "numeric", "count": r["count"], "nan_count": r["missing"], "min": r["min"], "max": r["max"], "mean": r["mean"], "stddev": r["stddev"]} if r["kind"] == "numeric" else {"type": "text", "count": r["count"], "distinct": r["distinct"], "top": {t["value"]: t["n"] for t in r["top"]}}
+    return json.dumps({"type": "layer_statistics", "data": out})
 
 
 def histogram_json(hist: DataFrame, unit: dict | None = None) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timeops import to_datetime
 from ..model import Grid, QueryError
-from .rasters import PIXEL, stack
+from .rasters import PIXEL, replace_by_range, stack
 
 # Fixed values, published by the satellites' operator: solar irradiance, and central wave number, alpha and beta for
 # brightness temperatures, by satellite number and 12 channels.
@@ -150,21 +150,60 @@ def co2_correction(bt039: DataFrame, bt108: DataFrame, bt134: DataFrame) -> Data
     return stack([bt039, bt108, bt134]).select("t1", "t2", *PIXEL, F.pow(a**4 + r, F.lit(0.25)).alias("value"))
 
 
-def pansharpen(low: DataFrame, hrv: DataFrame, grid: Grid, window: int = 5, cap: float | None = None) -> DataFrame:
-    """A channel at three times its resolution: HRV is averaged 3 by 3, a line log(channel) over log(HRV) is fitted in
-    each window of low-resolution pixels, and applied to the HRV pixels below. A slope above 20 counts as none."""
+# Fixed values, published with the method: the response of a low-resolution pixel to the 9 x 9 high-resolution ones around it.
+RESPONSE = [
+    [0.000683, 0.001347, 0.002680, 0.003929, 0.004373, 0.003929, 0.002680, 0.001347, 0.000683],
+    [0.000885, 0.003331, 0.007027, 0.010179, 0.011055, 0.010179, 0.007027, 0.003331, 0.000885],
+    [0.002129, 0.007592, 0.015244, 0.022005, 0.024218, 0.022005, 0.015244, 0.007592, 0.002129],
+    [0.003886, 0.012650, 0.024532, 0.035293, 0.039513, 0.035293, 0.024532, 0.012650, 0.003886],
+    [0.004785, 0.015318, 0.029237, 0.041485, 0.046473, 0.041485, 0.029237, 0.015318, 0.004785],
+    [0.003886, 0.012650, 0.024532, 0.035293, 0.039513, 0.035293, 0.024532, 0.012650, 0.003886],
+    [0.002129, 0.007592, 0.015244, 0.022005, 0.024218, 0.022005, 0.015244, 0.007592, 0.002129],
+    [0.000885, 0.003331, 0.007027, 0.010179, 0.011055, 0.010179, 0.007027, 0.003331, 0.000885],
+    [0.000683, 0.001347, 0.002680, 0.003929, 0.004373, 0.003929, 0.002680, 0.001347, 0.000683],
+]
+
+
+def _coarse(hrv: DataFrame, grid: Grid, spatial: bool) -> DataFrame:
+    """HRV at a third of its resolution (px, py, h): means of 3 by 3, or by the response of the low-resolution sensor, where
+    what would lie beyond the grid (of the HRV image) is taken from the opposite side of the pixel."""
+    if not spatial:
+        return hrv.groupBy(F.floor(F.col("px") / 3).alias("px"), F.floor(F.col("py") / 3).alias("py")).agg(F.avg("value").alias("h"), F.count(F.lit(1)).alias("_n")).filter("_n = 9").drop("_n")
+    weights = F.array(*[F.array(*[F.lit(v) for v in row]) for row in RESPONSE])
+    near = lambda c, n: F.sequence(F.greatest(F.ceil((F.col(c) - 5) / 3), F.lit(0).cast("long")), F.least(F.floor((F.col(c) + 3) / 3), F.lit(n // 3 - 1).cast("long")))
+    sent = hrv.withColumn("x", F.explode(near("px", grid.width))).withColumn("y", F.explode(near("py", grid.height)))
+    dx, dy = F.col("px") - F.col("x") * 3 - 1, F.col("py") - F.col("y") * 3 - 1
+    weight = weights[(dy + 4).cast("int")][(dx + 4).cast("int")]
+    for d, c, n in ((dx, F.col("x"), grid.width), (dy, F.col("y"), grid.height)):
+        weight = weight * F.when((c * 3 + 1 - d).between(0, n - 1), 1.0).otherwise(2.0)
+    # As in the original, the first row and column do not count.
+    return sent.filter("px > 0 and py > 0").groupBy(F.col("x").alias("px"), F.col("y").alias("py")).agg(F.sum(F.col("value") * weight).alias("h"))
+
+
+def pansharpen(low: DataFrame, hrv: DataFrame, grid: Grid, window: int = 5, cap: float | None = None, *, spatial: bool = False, distance: bool = True) -> DataFrame:
+    """A channel at three times its resolution: HRV is averaged, a line log(channel) over log(HRV) is fitted in each window
+    of low-resolution pixels, weighed by closeness if ``distance``, and applied to the HRV pixels below. A slope above 20
+    counts as none. ``grid`` is the low-resolution one."""
     h = window // 2
     fine = lambda d: d.filter("value is not null and not isnan(value)")
-    coarse = fine(hrv).groupBy(F.floor(F.col("px") / 3).alias("px"), F.floor(F.col("py") / 3).alias("py")).agg(F.avg("value").alias("h"), F.count(F.lit(1)).alias("_n")).filter("_n = 9")
-    pair = fine(low).select("t1", "t2", *PIXEL, F.ln(F.col("value") + 0.1).alias("v")).join(coarse.select(*PIXEL, F.ln("h").alias("h")), PIXEL).filter("not isnan(v) and not isnan(h)")
+    wide = Grid(grid.x1, grid.y1, grid.x2, grid.y2, grid.width * 3, grid.height * 3)
+    pair = fine(low).select("t1", "t2", *PIXEL, F.ln(F.col("value") + 0.1).alias("v")).join(_coarse(fine(hrv), wide, spatial).select(*PIXEL, F.ln("h").alias("h")), PIXEL).filter("not isnan(v) and not isnan(h)")
     side = F.sequence(F.lit(-h), F.lit(h))
     sums = pair.withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
-    sums = sums.groupBy((F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).agg(F.regr_slope("v", "h").alias("b"), F.avg("v").alias("mv"), F.avg("h").alias("mh"))
-    b = F.when(F.abs(F.col("b")) <= 20, F.col("b")).otherwise(0.0)
-    fitted = sums.select(F.col("px").alias("_x"), F.col("py").alias("_y"), F.coalesce(b, F.lit(0.0)).alias("b"), "mv", "mh")
+    far = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    weight = 1 / F.greatest(far, F.lit(0.5)) if distance and h else F.lit(1.0)
+    sums = sums.withColumn("w", weight).groupBy((F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).agg(
+        F.sum("w").alias("n"), F.sum(F.expr("w * h")).alias("x"), F.sum(F.expr("w * v")).alias("y"), F.sum(F.expr("w * h * v")).alias("xy"), F.sum(F.expr("w * h * h")).alias("xx")
+    )
+    flat = F.expr("n * xx - x * x")
+    slope = F.when(F.abs(flat) > 1e-9 * F.expr("n * xx"), F.expr("n * xy - x * y") / flat)
+    b = F.coalesce(F.when(F.abs(slope) <= 20, slope), F.lit(0.0))
+    fitted = sums.withColumn("b", b).select(F.col("px").alias("_x"), F.col("py").alias("_y"), "b", F.expr("(y - b * x) / n").alias("a"))
+    fitted = fitted.join(pair.select(F.col("px").alias("_x"), F.col("py").alias("_y"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")), ["_x", "_y"])
     out = fine(hrv).join(fitted, (F.floor(F.col("px") / 3) == F.col("_x")) & (F.floor(F.col("py") / 3) == F.col("_y")))
-    value = F.exp(F.col("mv") - F.col("b") * F.col("mh")) * F.pow("value", F.col("b")) - 0.1
-    return out.select("t1", "t2", *PIXEL, (F.least(value, F.lit(cap)) if cap is not None else value).alias("value"))
+    value = F.exp("a") * F.pow("value", F.col("b")) - 0.1
+    times = F.greatest("t1", "_t1").alias("t1"), F.least("t2", "_t2").alias("t2")
+    return out.select(*times, *PIXEL, (F.least(value, F.lit(float(cap))) if cap is not None else value).alias("value"))
 
 
 #: Search of the thermal threshold, in degrees and buckets.
@@ -203,26 +242,34 @@ def thermal_threshold(counts: list[int], lo: float, step: float = 0.5) -> float:
     return border(merged) if rising < RISING or low < CLOUD_THRESHOLD_MIN or flat else low
 
 
-def thermal_thresholds(difference: DataFrame, zenith: DataFrame, *, day: tuple[float, float], night: tuple[float, float], step: float = 0.5) -> dict[str, float | None]:
-    """Thresholds of a brightness temperature difference by day and night, from its histogram under each range of
-    zenith angles (the end not included). The ranges are the caller's; the histogram spans the data and -5 degrees."""
-    both = stack([difference, zenith]).select(F.col("a").alias("d"), F.col("b").alias("z")).filter("d is not null and not isnan(d)")
-    out: dict[str, float | None] = {}
-    for name, (lo, hi) in (("day", day), ("night", night)):
-        hist = {r["k"]: r["n"] for r in both.filter((F.col("z") >= lo) & (F.col("z") < hi)).groupBy(F.floor(F.col("d") / step).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a few hundred buckets
-        if not hist:
-            out[name] = None
-            continue
-        first = min(*hist, math.floor(LAND_PEAK_MIN / step))
-        last = max(*hist, math.floor(LAND_PEAK_MIN / step))
-        out[name] = thermal_threshold([hist.get(k, 0) for k in range(first, last + 1)], first * step, step)
-    return out
+def thermal_histogram(difference: DataFrame, zenith: DataFrame, *, day: tuple[float, float], night: tuple[float, float], span: tuple[float, float], step: float = 0.5) -> DataFrame:
+    """part (day or night), bucket, n: buckets of ``step`` over ``span``, the end in the last, under each range of zenith
+    angles (the end not included)."""
+    buckets = max(1, math.ceil((span[1] - span[0]) / step))
+    width = (span[1] - span[0]) / buckets
+    z, d = F.col("b"), F.col("a")
+    part = F.when((z >= day[0]) & (z < day[1]), "day").when((z >= night[0]) & (z < night[1]), "night")
+    k = F.least(F.floor((d - span[0]) / width), F.lit(buckets - 1)).cast("long")
+    both = stack([difference, zenith]).filter(d.between(*span)).select(part.alias("part"), k.alias("bucket")).filter("part is not null")
+    return both.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def threshold_raster(zenith: DataFrame, found: dict[str, float | None], day: tuple[float, float], night: tuple[float, float]) -> DataFrame:
-    """The day's or night's threshold by zenith angle, -9999 elsewhere."""
-    z = F.col("value")
-    value = F.when(z.between(*day), F.lit(found["day"])).when(z.between(*night), F.lit(found["night"]))
-    return _with(zenith, F.coalesce(value.cast("double"), F.lit(-9999.0)))
+def thermal_thresholds(difference: DataFrame, zenith: DataFrame, *, day: tuple[float, float], night: tuple[float, float], span: tuple[float, float], step: float = 0.5) -> dict[str, float]:
+    """Thresholds of a brightness temperature difference by day and night, from its histogram under each range of
+    zenith angles. ``span`` is the range of the difference's unit; the ranges are the caller's."""
+    rows = thermal_histogram(difference, zenith, day=day, night=night, span=span, step=step).collect()  # a few hundred buckets
+    buckets = max(1, math.ceil((span[1] - span[0]) / step))
+    width = (span[1] - span[0]) / buckets
+    out = {}
+    for name in ("day", "night"):
+        counts = [0] * buckets
+        for r in rows:
+            if r["part"] == name:
+                counts[r["bucket"]] = r["n"]
+        out[name] = thermal_threshold(counts, span[0], width)
+    return out
 
 
+def threshold_raster(zenith: DataFrame, found: dict[str, float], day: tuple[float, float], night: tuple[float, float]) -> DataFrame:
+    """The day's or night's threshold by zenith angle, -9999 between them, no data elsewhere."""
+    return replace_by_range(zenith, [(*day, found["day"]), (day[1], night[0], -9999.0), (*night, found["night"])])

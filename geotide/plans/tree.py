@@ -14,12 +14,12 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import crs
+from ..functions import crs, timeops
 from ..functions.geometry import KINDS
 from ..functions.timeops import Step, TimeShift
 from ..model import BOT, EOT, Frame, Grid, QueryError, Rect, Unit
 from ..operators import combined, features, plots, rasters, satellite
-from ..sources import raster as raster_source, vector
+from ..sources import raster as raster_source, shapefile, vector
 
 Builder = Callable[["Run", dict, dict[str, list["Node"]], Rect], Frame]
 _OPERATORS: dict[str, Builder] = {}
@@ -125,7 +125,7 @@ def _difference(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
 def _pip(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     _need(s, points=1, polygons=1)
     a, b = run.build(s["points"][0], rect), run.build(s["polygons"][0], rect)
-    df = features.point_in_polygon(a.df, b.df, point_time=a.has_time, polygon_time=b.has_time, cell=p.get("cell", 10.0))
+    df = features.point_in_polygon(a.df, b.df, point_time=a.has_time, polygon_time=b.has_time, cell=p.get("cell"))
     return replace(a, df=df, has_time=a.has_time or b.has_time, provenance=a.provenance + b.provenance)
 
 
@@ -137,24 +137,37 @@ def _table(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     return run.tables[p["name"]](run.spark, rect)
 
 
-@operator("csv_source", "ogr_raw_source")
-def _csv(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+def _text_source(p: dict, ogr: bool) -> vector.TextSource:
     c = p.get("columns", {})
-    kind = p.get("type", "points")
-    if str(p["filename"]).endswith((".json", ".geojson")):
-        df = vector.read_geojson(run.spark, p["filename"], kind, rect, c.get("numeric", []), c.get("textual", []))
-        return Frame(df, kind, rect, provenance=[p.get("provenance", {})])
     form = lambda k: (p.get(k, {}).get("format", "seconds"), p.get(k, {}).get("custom_format"))
     columns = vector.Columns(c.get("x", "x"), c.get("y", "y"), c.get("time1"), c.get("time2"), tuple(c.get("numeric", ())), tuple(c.get("textual", ())))
-    source = vector.TextSource(columns, p.get("separator", ","), p.get("geometry", "xy"), kind, p.get("time", "none"), p.get("duration", "inf"), form("time1_format"), form("time2_format"), p.get("on_error", "abort"), provenance=p.get("provenance", {}))
-    return Frame(vector.read_text(run.spark, p["filename"], source, rect), kind, rect, has_time=source.time != "none", provenance=[source.provenance])
+    rules = {"bad_number": 0.0, "inclusive": True} if ogr else {}
+    return vector.TextSource(columns, p.get("separator", ","), p.get("geometry", "xy"), p.get("type", "points"), p.get("time", "none"), p.get("duration", "inf"), form("time1_format"), form("time2_format"), p.get("on_error", "abort"), provenance=p.get("provenance", {}), **rules)
+
+
+@operator("csv_source")
+def _csv(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    source = _text_source(p, ogr=False)
+    return Frame(vector.read_text(run.spark, p["filename"], source, rect), source.kind, rect, has_time=source.time != "none", provenance=[source.provenance])
+
+
+@operator("ogr_raw_source")
+def _ogr_raw(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    """Delimited text, GeoJSON or shapefiles, by ``format`` or the ending of the file's name."""
+    source = _text_source(p, ogr=True)
+    ending = str(p["filename"]).rstrip("/").rsplit(".", 1)[-1].lower()
+    form = p.get("format") or {"json": "geojson", "geojson": "geojson", "shp": "shapefile"}.get(ending, "text")
+    readers = {"geojson": vector.read_geojson, "shapefile": shapefile.read_shapefile, "text": vector.read_text}
+    if form not in readers:
+        raise QueryError(f"no format {form!r}")
+    return Frame(readers[form](run.spark, p["filename"], source, rect), source.kind, rect, has_time=source.time != "none", provenance=[source.provenance])
 
 
 @operator("ogr_source")
 def _ogr(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     found = vector.Catalog(run.folder).get(p["name"], p.get("layer_name"))
     columns = found.get("columns", {}) | {k: p[k] for k in ("numeric", "textual") if k in p}
-    return _csv(run, found | {"columns": columns}, s, rect)
+    return _ogr_raw(run, found | {"columns": columns}, s, rect)
 
 
 @operator("wkt_source")
@@ -177,26 +190,22 @@ def _jdbc(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     return Frame(vector.read_jdbc(run.spark, p["connection"], p["query"], rect), "points", rect)
 
 
-def _grid(p: dict) -> Grid:
-    return Grid(*p["origin"], p["origin"][0] + p["scale"][0] * p["size"][0], p["origin"][1] + p["scale"][1] * p["size"][1], *p["size"])
-
-
 @operator("rasterdb_source")
 def _rasterdb(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
-    grid = _grid(p["grid"])
-    transform = (p.get("scale", 1.0), p.get("offset", 0.0)) if p.get("transform", True) and ("scale" in p or "offset" in p) else None
-    df, g = raster_source.read(run.spark, run.folder, p["sourcename"], p.get("channel", 0), rect, grid, transform)
-    return Frame(df, "raster", rect, grid=g, has_time=True, unit=Unit.from_json(p["unit"]) if "unit" in p else Unit())
+    r = raster_source.read(run.spark, run.folder, p["sourcename"], p.get("channel", 0), rect, p.get("transform", True))
+    return Frame(r.df, "raster", rect, grid=r.grid, has_time=True, unit=r.unit, datatype=r.datatype, globals=dict(r.attributes), provenance=[p["provenance"]] if "provenance" in p else [])
 
 
 @operator("gdal_source")
 def _gdal(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     d = p["gdal_params"]
-    series = raster_source.FileSeries(d["path"], d["time_format"], d["interval"]["unit"], d["interval"]["value"], d["start"], d["end"], d.get("no_data"), d.get("scale", 1.0), d.get("offset", 0.0))
+    starts = tuple(timeops.parse(t, "iso") if isinstance(t, str) else float(t) for t in d.get("channel_starts", ()))
+    series = raster_source.FileSeries(d["path"], d["time_format"], d["interval"]["unit"], d["interval"]["value"], d["start"], d["end"], d.get("no_data"), d.get("scale", 1.0), d.get("offset", 0.0), starts)
     df, w, h = raster_source.read_files(run.spark, series, rect, p.get("channel", 0))
     own = Grid(*d["extent"], w, h)
     out = rect.grid() if rect.width else own
-    return Frame(rasters.fit(df, own, out) if rect.width else df, "raster", rect, grid=out, has_time=True)
+    unit = Unit.from_json(d["unit"]) if "unit" in d else Unit()
+    return Frame(rasters.fit(df, own, out) if rect.width else df, "raster", rect, grid=out, has_time=True, unit=unit, datatype=d.get("datatype", "Float64"))
 
 
 def _rasters(run: Run, s: dict, rect: Rect) -> list[Frame]:
@@ -219,9 +228,10 @@ def _like(fs: list[Frame], df: DataFrame, **changes) -> Frame:
 @operator("expression")
 def _expression(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     fs = _rasters(run, s, rect)
-    kind = p.get("datatype", "Float64")
+    kind = p.get("datatype", "input")
+    kind = fs[0].datatype if kind == "input" else kind
     unit = Unit.from_json(p["unit"]) if "unit" in p else fs[0].unit
-    return _like(fs, rasters.expression([f.df for f in fs], p["expression"], "Float64" if kind == "input" else kind, p.get("integer")), unit=unit)
+    return _like(fs, rasters.expression([f.df for f in fs], p["expression"], kind, [f.datatype in rasters.TYPES for f in fs]), unit=unit, datatype=kind)
 
 
 @operator("classification")
@@ -240,6 +250,8 @@ def _matrix(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
 def _temporal(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     _need(s, raster=1)
     f = run.build(s["raster"][0], replace(rect, t2=rect.t1 + p["duration"]))
+    if p.get("instants"):  # the source's rasters are valid at single moments
+        return replace(f, df=rasters.temporal_samples(f.df, p["aggregation"], rect.t1, p["duration"]))
     return replace(f, df=rasters.temporal_aggregation(f.df, p["aggregation"], rect.t1, p["duration"]))
 
 
@@ -292,8 +304,9 @@ def _projection(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     if "raster" in s:
         f = run.build(s["raster"][0], inner)
         return replace(f, df=combined.project_raster(f.df, f.grid, src, rect.grid(), dst), rect=rect, grid=rect.grid())
-    f = _one(run, s, inner, ("points",))
-    return replace(f, df=combined.project_points(f.df, src, rect), rect=rect)
+    f = _one(run, s, inner)
+    df = combined.project_points(f.df, src, rect) if f.kind == "points" else combined.project_shapes(f.df, f.kind, src, rect)
+    return replace(f, df=df, rect=rect)
 
 
 def _steps(p: dict) -> TimeShift:
@@ -328,18 +341,39 @@ def _image(p: dict, f: Frame) -> satellite.Image:
     return satellite.Image(number, int(g.get("msg.Channel", 1)), float(g.get("msg.CalibrationOffset", 0.0)), float(g.get("msg.CalibrationSlope", 1.0)))
 
 
-def _meteosat(name: str, f: Callable[[dict, Frame, Rect], DataFrame]) -> None:
-    def build(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
-        frame = _rasters(run, s, rect)[0]
-        return replace(frame, df=f(p, frame, rect))
+def _raw(f: Frame) -> None:
+    if not f.unit.is_a("raw") or f.unit.min is None or f.unit.max is None:
+        raise QueryError("a raw satellite image with a range is needed")
+
 
-    _OPERATORS[name] = build
+@operator("meteosat_radiance")
+def _radiance(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    f = _rasters(run, s, rect)[0]
+    _raw(f)
+    image = _image(p, f)
+    ends = sorted(image.offset + v * image.slope for v in (f.unit.min, f.unit.max))
+    return replace(f, df=satellite.radiance(f.df, image), datatype="Float32", unit=Unit("radiance", "W·m^(-2)·sr^(-1)·cm^(-1)", *ends, "continuous"))
 
 
-_meteosat("meteosat_radiance", lambda p, f, r: satellite.radiance(f.df, _image(p, f)))
-_meteosat("meteosat_temperature", lambda p, f, r: satellite.temperature(f.df, _image(p, f)))
-_meteosat("meteosat_solar_angle", lambda p, f, r: satellite.solar_angle(f.df, f.grid, r.t1, p["solarangle"]))
-_meteosat("meteosat_reflectance", lambda p, f, r: satellite.reflectance(f.df, _image(p, f), f.grid, r.t1, p.get("solarCorrection", True), p.get("forceHRV", False)))
+@operator("meteosat_temperature")
+def _temperature(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    f = _rasters(run, s, rect)[0]
+    _raw(f)
+    return replace(f, df=satellite.temperature(f.df, _image(p, f)), datatype="Float32", unit=Unit("temperature", "k", 200.0, 330.0, "continuous"))
+
+
+@operator("meteosat_solar_angle")
+def _angle(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    f = _rasters(run, s, rect)[0]
+    ends = (0.0, 360.0) if p["solarangle"] == "azimuth" else (0.0, 180.0)
+    return replace(f, df=satellite.solar_angle(f.df, f.grid, rect.t1, p["solarangle"]), datatype="Float32", unit=Unit("solarangle", "degree", *ends, "continuous"))
+
+
+@operator("meteosat_reflectance")
+def _reflectance(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    f = _rasters(run, s, rect)[0]
+    df = satellite.reflectance(f.df, _image(p, f), f.grid, rect.t1, p.get("solarCorrection", True), p.get("forceHRV", False))
+    return replace(f, df=df, datatype="Float32", unit=Unit("reflectance", "fraction", 0.0, 1.0, "continuous"))
 
 
 @operator("meteosat_co2_correction")
@@ -351,19 +385,40 @@ def _co2(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
 
 @operator("meteosat_pansharpening")
 def _sharpen(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    """The first source is the high-resolution channel, the second the one to sharpen, at a third of its resolution."""
+    _need(s, raster=2)
+    low = run.build(s["raster"][1], rect)
+    g = low.grid
+    hrv = run.build(s["raster"][0], replace(rect, x1=g.x1, y1=g.y1, x2=g.x2, y2=g.y2, width=g.width * 3, height=g.height * 3))
+    wide = Grid(g.x1, g.y1, g.x2, g.y2, g.width * 3, g.height * 3)
+    fine = hrv.df if hrv.grid == wide else rasters.fit(hrv.df, hrv.grid, wide)
+    df = satellite.pansharpen(low.df, fine, g, p.get("local_regression", 5), low.unit.max, spatial=p.get("spatial", False), distance=bool(p.get("distance", 1)))
+    return _like([low, hrv], df, grid=wide)
+
+
+def _thermal(run: Run, p: dict, s: dict, rect: Rect) -> tuple[list[Frame], dict]:
+    """Sources: solar zenith angle, then the difference of brightness temperatures (10.8 less 3.9), whose unit has a range.
+    The bounds of day and night are parameters."""
     _need(s, raster=2)
-    low, hrv = run.build(s["raster"][0], rect), run.build(s["raster"][1], rect)
-    return _like([hrv, low], satellite.pansharpen(low.df, hrv.df, hrv.grid, p.get("local_regression", 5), low.unit.max))
+    fs = _rasters(run, s, rect)
+    unit = fs[1].unit
+    if unit.min is None or unit.max is None:
+        raise QueryError("the difference needs a unit with a range")
+    return fs, dict(day=tuple(p.get("day", (0.0, 80.0))), night=tuple(p.get("night", (93.0, 180.0))), span=(unit.min, unit.max))
 
 
 @operator("meteosat_gccthermthresholddetection")
 def _thresholds(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
-    _need(s, raster=3)
-    bt039, bt108, zenith = _rasters(run, s, rect)
-    diff = rasters.expression([bt108.df, bt039.df], "A-B")
-    day, night = tuple(p["day"]), tuple(p["night"])
-    found = satellite.thermal_thresholds(diff, zenith.df, day=day, night=night)
-    return _like([zenith, bt039, bt108], satellite.threshold_raster(zenith.df, found, day, night))
+    fs, how = _thermal(run, p, s, rect)
+    found = satellite.thermal_thresholds(fs[1].df, fs[0].df, **how)
+    return _like(fs, satellite.threshold_raster(fs[0].df, found, how["day"], how["night"]), datatype="Float32", unit=Unit(min=min(found.values()), max=max(found.values())))
+
+
+@operator("meteosat_gccthermthresholddetection_plot")
+def _threshold_plot(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
+    """The histograms by which the thresholds are found."""
+    fs, how = _thermal(run, p, s, rect)
+    return Frame(satellite.thermal_histogram(fs[1].df, fs[0].df, **how), "plot", rect, provenance=[q for f in fs for q in f.provenance])
 
 
 @operator("histogram")
@@ -372,14 +427,14 @@ def _histogram(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     column = p.get("attribute") or "value"
     r = p.get("range", "data")
     lo, hi = (f.unit.min, f.unit.max) if r == "unit" else plots.value_range(f.df, column) if r == "data" else r
-    return Frame(plots.histogram(f.df, column, lo, hi, p.get("buckets", 0)), "plot", rect, provenance=f.provenance)
+    return Frame(plots.histogram(f.df, column, lo, hi, p.get("buckets", 0), f.kind == "raster" and f.datatype in rasters.TYPES), "plot", rect, provenance=f.provenance)
 
 
 @operator("statistics")
 def _statistics(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
     f = _one(run, s, rect, ("raster", "points", "lines", "polygons"))
     names = [c for c, t in f.df.dtypes if t == "double" and c not in ("x", "y", "t1", "t2")]
-    return Frame(plots.numeric_statistics(f.df, names), "plot", rect, provenance=f.provenance)
+    return Frame(plots.statistics(f.df, names, [c for c, t in f.df.dtypes if t == "string"]), "plot", rect, provenance=f.provenance)
 
 
 @operator("feature_attributes_plot")

@@ -59,9 +59,12 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy("m", "px", "py").agg(F.max("l_quantity").alias("value"), F.max("l_extendedprice").alias("price")).select((F.unix_date("m") * DAY).alias("t1"), (F.unix_date(F.add_months("m", 1)) * DAY).alias("t2"), "px", "py", "value", "price")
 
 
-def flat(spark: SparkSession, d: str, column: str = "l_quantity", line: int = 1) -> DataFrame:
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter(F.col("l_linenumber") == line)
-    return li.groupBy((F.col("l_partkey") % 64).alias("px"), (F.col("l_suppkey") % 32).alias("py")).agg(F.max(column).alias("value")).select(F.lit(0.0).alias("t1"), F.lit(DAY).alias("t2"), "px", "py", "value")
+def flat(spark: SparkSession, d: str, column: str = "l_quantity", line: int | None = None) -> DataFrame:
+    """An image of all line items: quantities summed, prices by their maximum; ``line``: the band of one line number."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    li = li if line is None else li.filter(F.col("l_linenumber") == line)
+    value = F.sum(column) % 50 + 1 if line is None and column == "l_quantity" else F.max(column)
+    return li.groupBy((F.col("l_partkey") % 64).alias("px"), (F.col("l_suppkey") % 32).alias("py")).agg(value.alias("value")).select(F.lit(0.0).alias("t1"), F.lit(DAY).alias("t2"), "px", "py", "value")
 
 
 P = "p AS (SELECT c_custkey AS id, ((c_custkey * 37) % 3600) / 10::DOUBLE - 180 AS x, ((c_custkey * 53) % 1800) / 10::DOUBLE - 90 AS y, c_acctbal AS num, c_mktsegment AS txt FROM customer)"
@@ -69,8 +72,10 @@ T = "e AS (SELECT event_id AS id, ((event_id * 37) % 3600) / 10::DOUBLE - 180 AS
 R = "r AS (SELECT epoch_us(date_trunc('month', l_shipdate)::TIMESTAMP) / 1000000::DOUBLE AS t1, epoch_us((date_trunc('month', l_shipdate) + INTERVAL 1 MONTH)::TIMESTAMP) / 1000000::DOUBLE AS t2, l_partkey % 64 AS px, l_suppkey % 32 AS py, max(l_quantity) AS value, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL)"
 
 
-def _flat(name: str, column: str = "l_quantity", line: int = 1) -> str:
-    return f"{name} AS (SELECT l_partkey % 64 AS px, l_suppkey % 32 AS py, max({column}) AS value FROM lineitem WHERE l_linenumber = {line} GROUP BY ALL)"
+def _flat(name: str, column: str = "l_quantity", line: int | None = None) -> str:
+    value = "sum(l_quantity) % 50 + 1" if line is None and column == "l_quantity" else f"max({column})"
+    where = "" if line is None else f"WHERE l_linenumber = {line}"
+    return f"{name} AS (SELECT l_partkey % 64 AS px, l_suppkey % 32 AS py, {value} AS value FROM lineitem {where} GROUP BY ALL)"
 
 
 POLYGONS = [
@@ -227,14 +232,14 @@ def timeshift_snap(spark, d):
 # Rasters.
 
 
-@query(f"WITH {_flat('a')}, {_flat('b', line=2)} SELECT px, py, a.value * 2 + b.value / 4 - 1 AS value FROM a JOIN b USING (px, py)")
+@query(f"WITH {_flat('a', line=1)}, {_flat('b', line=2)} SELECT px, py, a.value * 2 + b.value / 4 - 1 AS value FROM a JOIN b USING (px, py)")
 def expression_add(spark, d):
-    return rasters.expression([flat(spark, d), flat(spark, d, line=2)], "A * 2 + B / 4 - 1").select("px", "py", "value")
+    return rasters.expression([flat(spark, d, line=1), flat(spark, d, line=2)], "A * 2 + B / 4 - 1").select("px", "py", "value")
 
 
-@query(f"WITH {_flat('a')}, {_flat('b', line=2)} SELECT px, py, CASE WHEN a.value > b.value AND a.value > 40 THEN a.value - b.value ELSE abs(b.value * 1.5) END::DOUBLE AS value FROM a JOIN b USING (px, py)")
+@query(f"WITH {_flat('a', line=1)}, {_flat('b', line=2)} SELECT px, py, CASE WHEN a.value > b.value AND a.value > 40 THEN a.value - b.value ELSE abs(b.value * 1.5) END::DOUBLE AS value FROM a JOIN b USING (px, py)")
 def expression_ternary(spark, d):
-    return rasters.expression([flat(spark, d), flat(spark, d, line=2)], "A > B && A > 40 ? A - B : abs(B * 1.5)").select("px", "py", "value")
+    return rasters.expression([flat(spark, d, line=1), flat(spark, d, line=2)], "A > B && A > 40 ? A - B : abs(B * 1.5)").select("px", "py", "value")
 
 
 @query(f"WITH {_flat('a')} SELECT px, py, (((a.value::BIGINT & 12) << 3) | (a.value::BIGINT >> 1))::DOUBLE AS value FROM a")
@@ -248,7 +253,7 @@ def classification_overlap(spark, d):
 
 
 @query(
-    f"""WITH {_flat('a')}, {_flat('b', line=2)}, {_flat('c', line=3)},
+    f"""WITH {_flat('a', line=1)}, {_flat('b', line=2)}, {_flat('c', line=3)},
 u AS (SELECT px, py FROM a UNION SELECT px, py FROM b UNION SELECT px, py FROM c),
 s AS (SELECT px, py, greatest(0, least(255, floor(255 * (a.value - 1) / 49 + 0.5)))::BIGINT AS r, greatest(0, least(255, floor(255 * 2 * (b.value - 1) / 49 + 0.5)))::BIGINT AS g, greatest(0, least(255, floor(255 * (c.value - 10) / 40 + 0.5)))::BIGINT AS b FROM a JOIN b USING (px, py) JOIN c USING (px, py))
 SELECT px, py, coalesce(r | (g << 8) | (s.b << 16) | 4278190080, 0)::BIGINT AS value FROM u LEFT JOIN s USING (px, py)"""
@@ -439,24 +444,101 @@ def meteosat_reflectance(spark, d):
 _BT = ", ".join(f"{n} AS (SELECT px, py, 200 + value AS value FROM {n}0)" for n in "abc")
 
 
-@query(f"WITH {_flat('a0')}, {_flat('b0', line=2)}, {_flat('c0', line=3)}, {_BT} SELECT px, py, round((a.value ** 4 + b.value ** 4 - (b.value - (b.value - c.value) / 4) ** 4) ** 0.25, 5) AS value FROM a JOIN b USING (px, py) JOIN c USING (px, py)")
+@query(f"WITH {_flat('a0', line=1)}, {_flat('b0', line=2)}, {_flat('c0', line=3)}, {_BT} SELECT px, py, round((a.value ** 4 + b.value ** 4 - (b.value - (b.value - c.value) / 4) ** 4) ** 0.25, 5) AS value FROM a JOIN b USING (px, py) JOIN c USING (px, py)")
 def meteosat_co2_correction(spark, d):
     r = [flat(spark, d, line=k).withColumn("value", F.col("value") + 200) for k in (1, 2, 3)]
     return satellite.co2_correction(*r).select("px", "py", F.round("value", 5).alias("value"))
 
 
-@query()
+LOW = Grid(-180, -90, 180, 90, 21, 10)
+
+
+def low_band(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by a third of the image's resolution."""
+    return flat(spark, d, "l_extendedprice").filter("px < 63 and py < 30").groupBy(F.floor(F.col("px") / 3).alias("px"), F.floor(F.col("py") / 3).alias("py")).agg((F.max("value") % 90 + 5).alias("value")).select(F.lit(0.0).alias("t1"), F.lit(DAY).alias("t2"), "px", "py", F.floor("value").cast("double").alias("value"))
+
+
+def _sharp_sql(coarse: str, weight: str) -> str:
+    return f"""WITH {_flat('hrv')}, {_flat('pr', 'l_extendedprice')},
+low AS (SELECT px // 3 AS px, py // 3 AS py, floor(max(value) % 90 + 5)::DOUBLE AS value FROM pr WHERE px < 63 AND py < 30 GROUP BY ALL),
+co AS ({coarse}),
+pair AS (SELECT px, py, ln(low.value + 0.1) AS v, ln(co.h) AS h FROM low JOIN co USING (px, py)),
+s AS (SELECT px, py, sum(w) AS n, sum(w * h) AS x, sum(w * v) AS y, sum(w * h * v) AS xy, sum(w * h * h) AS xx FROM
+  (SELECT px + dx.range - 2 AS px, py + dy.range - 2 AS py, h, v, {weight} AS w FROM pair, range(5) dx, range(5) dy) GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN abs(n * xx - x * x) > 1e-9 * n * xx AND abs((n * xy - x * y) / (n * xx - x * x)) <= 20 THEN (n * xy - x * y) / (n * xx - x * x) ELSE 0 END AS b FROM s)
+SELECT z.px, z.py, round(least(exp((b.y - b.b * b.x) / b.n) * z.value ** b.b - 0.1, 80), 4) AS value FROM hrv z JOIN b ON b.px = z.px // 3 AND b.py = z.py // 3 JOIN pair ON pair.px = b.px AND pair.py = b.py"""
+
+
+_NEAR = "1 / greatest(sqrt((dx.range - 2) ** 2 + (dy.range - 2) ** 2), 0.5)"
+
+
+@query(_sharp_sql("SELECT px // 3 AS px, py // 3 AS py, avg(value) AS h FROM hrv GROUP BY 1, 2 HAVING count(*) = 9", _NEAR))
 def meteosat_pansharpening(spark, d):
-    hrv = spark.range(192 * 96).selectExpr("0D as t1", "86400D as t2", "id % 192 as px", "floor(id / 192) as py", "1D + (id * 31) % 97 as value")
-    return satellite.pansharpen(flat(spark, d), hrv, GRID, cap=60.0)
+    return satellite.pansharpen(low_band(spark, d), flat(spark, d), LOW, cap=80.0).select("px", "py", F.round("value", 4).alias("value"))
 
 
-@query()
+_RESPONSE = ", ".join(f"({k % 9 - 4}, {k // 9 - 4}, {satellite.RESPONSE[k // 9][k % 9]!r})" for k in range(81))
+_MIRROR = "(CASE WHEN l.px * 3 + 1 - dx BETWEEN 0 AND 62 THEN 1 ELSE 2 END) * (CASE WHEN l.py * 3 + 1 - dy BETWEEN 0 AND 29 THEN 1 ELSE 2 END)"
+
+
+@query(
+    _sharp_sql(
+        f"SELECT l.px, l.py, sum(value * r * {_MIRROR}) AS h FROM (SELECT x.range AS px, y.range AS py FROM range(21) x, range(10) y) l, (VALUES {_RESPONSE}) m(dx, dy, r) JOIN hrv ON hrv.px = l.px * 3 + 1 + dx AND hrv.py = l.py * 3 + 1 + dy WHERE hrv.px > 0 AND hrv.py > 0 AND hrv.px < 63 AND hrv.py < 30 GROUP BY ALL",
+        "1.0",
+    )
+)
+def meteosat_pansharpening_spatial(spark, d):
+    image = flat(spark, d).filter("px < 63 and py < 30")
+    return satellite.pansharpen(low_band(spark, d), image, LOW, cap=80.0, spatial=True, distance=False).select("px", "py", F.round("value", 4).alias("value"))
+
+
+DAYTIME, NIGHT = (0.0, 80.0), (93.0, 180.0)
+
+
+def thermal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A difference of temperatures from -25 to 25 and a zenith angle."""
+    difference = rasters.expression([flat(spark, d)], "A - 26.0")
+    return difference, flat(spark, d, "l_extendedprice").withColumn("value", F.col("value") % 180)
+
+
+_THERMAL = f"{_flat('q')}, {_flat('pr', 'l_extendedprice')}, dz AS (SELECT px, py, q.value - 26 AS d, pr.value % 180 AS z FROM q JOIN pr USING (px, py))"
+_PARTS = "CASE WHEN z >= 0 AND z < 80 THEN 'day' WHEN z >= 93 AND z < 180 THEN 'night' END"
+
+
+@query(f"WITH {_THERMAL} SELECT {_PARTS} AS part, least(floor((d + 25) / 0.5), 99)::BIGINT AS bucket, count(*) AS n FROM dz WHERE {_PARTS} IS NOT NULL AND d BETWEEN -25 AND 25 GROUP BY 1, 2")
+def meteosat_gccthermthresholddetection_plot(spark, d):
+    return satellite.thermal_histogram(*thermal(spark, d), day=DAYTIME, night=NIGHT, span=(-25.0, 25.0))
+
+
+def _threshold_sql() -> str:
+    """The search as SQL over the 100 buckets, cold to warm: the land peak from -5 degrees (bucket 40) on, then running
+    states from there down."""
+    return f"""WITH RECURSIVE {_THERMAL},
+hist AS (SELECT p.part, k.range AS k, coalesce(c.n, 0) AS n FROM (VALUES ('day'), ('night')) p(part) CROSS JOIN range(100) k
+  LEFT JOIN (SELECT {_PARTS} AS part, least(floor((d + 25) / 0.5), 99)::BIGINT AS bucket, count(*) AS n FROM dz WHERE d BETWEEN -25 AND 25 GROUP BY 1, 2) c ON c.part = p.part AND c.bucket = k.range),
+land AS (SELECT part, arg_max(k, n * 1000 - k) AS land FROM hist WHERE k >= 40 GROUP BY part),
+down(part, k, least, rising, over, soft, merged) AS (
+  SELECT part, land, land, 0, false, 0, 0 FROM land
+  UNION ALL
+  SELECT s.part, h.k,
+    CASE WHEN s.over OR h.n > u.n OR h.n >= l.n THEN s.least ELSE h.k END,
+    CASE WHEN s.over THEN s.rising WHEN h.n > u.n THEN s.rising + 1 ELSE greatest(s.rising - 1, 0) END,
+    s.over OR (h.n > u.n AND s.rising + 1 >= 3),
+    CASE WHEN u.n > 0 AND h.n / u.n::DOUBLE > 0.8 AND h.n / u.n::DOUBLE <= 1.0 THEN s.soft + 1 ELSE 0 END,
+    CASE WHEN s.merged = 0 AND u.n > 0 AND h.n / u.n::DOUBLE > 0.8 AND h.n / u.n::DOUBLE <= 1.0 AND s.soft + 1 >= 3 THEN h.k + s.soft + 1 ELSE s.merged END
+  FROM down s JOIN hist h ON h.part = s.part AND h.k = s.k - 1 JOIN hist u ON u.part = s.part AND u.k = s.k JOIN hist l ON l.part = s.part AND l.k = s.least),
+done AS (SELECT * FROM down WHERE k = 0),
+peak AS (SELECT d.*, coalesce((SELECT min(h.k) FROM hist h JOIN hist l ON l.part = h.part AND l.k = d.least WHERE h.part = d.part AND h.k < d.least AND h.n > l.n), d.least) AS cloud FROM done d),
+found AS (SELECT part, CASE WHEN rising < 3 OR least * 0.5 - 25 < -12 OR (cloud <> least AND CASE WHEN cloud * 0.5 - 25 <> 0 THEN (least * 0.5 - 25) / (cloud * 0.5 - 25) > 0.85 ELSE least * 0.5 - 25 > 0 END)
+  THEN merged * 0.5 - 25 ELSE least * 0.5 - 25 END AS t FROM peak)
+SELECT px, py, CASE WHEN z::FLOAT BETWEEN 93 AND 180 THEN (SELECT t FROM found WHERE part = 'night') WHEN z::FLOAT BETWEEN 80 AND 93 THEN -9999 ELSE (SELECT t FROM found WHERE part = 'day') END::DOUBLE AS value FROM dz"""
+
+
+@query(_threshold_sql())
 def meteosat_gccthermthresholddetection(spark, d):
-    diff = rasters.expression([flat(spark, d), flat(spark, d, line=2)], "A - B")
-    zenith = flat(spark, d, "l_extendedprice").withColumn("value", F.col("value") % 180)
-    found = satellite.thermal_thresholds(diff, zenith, day=(0.0, 80.0), night=(93.0, 180.0))
-    return satellite.threshold_raster(zenith, found, (0.0, 80.0), (93.0, 180.0))
+    difference, zenith = thermal(spark, d)
+    found = satellite.thermal_thresholds(difference, zenith, day=DAYTIME, night=NIGHT, span=(-25.0, 25.0))
+    return satellite.threshold_raster(zenith, found, DAYTIME, NIGHT).select("px", "py", "value")
 
 
 # Streams.

@@ -21,4 +21,4 @@ def test_thresholds_of_rasters(spark):
     kind = "t1 double, t2 double, px long, py long, value double"
     difference = spark.createDataFrame(rows, kind)
     zenith = spark.createDataFrame([(a, b, x, y, 40.0) for a, b, x, y, _ in rows], kind)
-    assert satellite.thermal_thresholds(difference, zenith, day=(0.0, 80.0), night=(93.0, 180.0)) == {"day": -5.5, "night": None}
+    assert satellite.thermal_thresholds(difference, zenith, day=(0.0, 80.0), night=(93.0, 180.0), span=(-10.0, -2.0)) == {"day": -5.5, "night": -10.0}

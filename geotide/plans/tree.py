@@ -165,7 +165,7 @@ def _ogr_raw(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
 
 @operator("ogr_source")
 def _ogr(run: Run, p: dict, s: dict, rect: Rect) -> Frame:
-    found = vector.Catalog(run.folder).get(p["name"], p.get("layer_name"))
+    found = vector.Catalog(run.spark, run.folder).get(p["name"], p.get("layer_name"))
     columns = found.get("columns", {}) | {k: p[k] for k in ("numeric", "textual") if k in p}
     return _ogr_raw(run, found | {"columns": columns}, s, rect)
 

@@ -1,4 +1,4 @@
-"""Literal vectors for calendar, text and rectangle rules."""
+"""Calendar, text and rectangle rules. The time stamps and what they become are fixed values that must hold for the rules."""
 
 import pytest
 

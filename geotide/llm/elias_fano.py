@@ -107,3 +107,19 @@ class EliasFano:
         some = np.flatnonzero(at < end)
         equal[some] = self._low(at[some]) == low[some]
         return at, equal
+
+    def within(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first value >= x among those from ``begin`` on and before ``end``, and whether that value is x."""
+        at, stop = begin.copy(), end.copy()
+        x = x.astype(np.uint64)
+        todo = np.flatnonzero(stop - at > 1)
+        while len(todo):
+            middle = (at[todo] + stop[todo] - 1) >> 1
+            under = self.access(middle) < x[todo]
+            at[todo[under]] = middle[under] + 1
+            stop[todo[~under]] = middle[~under] + 1
+            todo = todo[stop[todo] - at[todo] > 1]
+        equal = np.zeros(len(x), bool)
+        some = np.flatnonzero(at < end)
+        equal[some] = self.access(at[some]) == x[some]
+        return at, equal

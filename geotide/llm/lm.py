@@ -3,24 +3,31 @@
 Level 1 holds the distinct words: their sorted 63-bit hashes are one monotone sequence, so a word's place is its id,
 and the running totals of their exact counts are another. Level 2 holds the word pairs in order of context: monotone
 pointers give each context's range, the successors' ids plus the context's offset are monotone too, and each pair has
-a probability quantised to 8 bits on a log scale. A query finds the word by successor search in level 1 and the pair by
-successor search relative to its context in level 2.
+a probability quantised to 8 bits on a log scale. Level 3 holds the triples in the same way: pointers from each pair to
+the range of its successors, the successors' ids plus the pair's offset, the quantised share of each triple in its
+context, and for each pair the quantised weight of what its context leaves to the shorter one. A query finds a word by
+successor search in level 1, a pair relative to its context in level 2, a triple in the range of its pair in level 3.
 
 A pair's probability is smoothed by the word's: (c(u v) + kappa p(v)) / (c(u) + kappa) with p(v) = (c(v) + 1) /
-(N + V + 1); an unknown context leaves p(v). A text is its words and one end, and its first context is the end.
+(N + V + 1); an unknown context leaves p(v). A triple's is c(u v w) / (c(u v) + kappa3) + kappa3 / (c(u v) + kappa3)
+p(w | v) in the same way, with the pair's quantised probability. A text is its words and one end, and its first context is
+the end; the first word is judged by pairs. ``order`` 2 leaves level 3 out.
 
-Both levels are cut in shards, level 1 by hash and level 2 by ranges of (context, successor) of about
+Levels are cut in shards, level 1 by hash, levels 2 and 3 together by ranges of (context, successor) of about
 ``shard_tokens`` tokens, a very frequent context over several, so that no task holds a level. All counts are exact over
-all training texts; nothing is pruned. Shards are written to the shared folder by tasks (to a passing name, then moved,
-so a task may run twice) and memory-mapped by scoring tasks; from a store that cannot be mapped they are first copied.
-Word ids take 32 bits.
-
-Null texts are empty: one end token. Without training texts all words are unknown, N = V = 0 and every score is 0.
-Repeated rows are counted and scored row by row; other columns are ignored.
+all training texts; nothing is pruned. Shards are written to the shared folder by tasks and memory-mapped by scoring
+tasks (read into bounded memory where the folder is no mounted one). A scoring task opens the shards that its texts ask
+for; texts of a huge vocabulary ask for most, so it reads about the whole model over its life. Word ids take 32 bits:
+more distinct words are an error.
+
+Null texts are empty: one end token. Very long texts are scored whole. Without training texts all words are unknown,
+N = V = 0 and every score is 0. Repeated rows are counted and scored row by row; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,9 +49,11 @@ _SIZE = 1 << 21
 
 @dataclass(frozen=True)
 class Settings:
+    order: int = 3
     kappa: float = 8.0
+    kappa3: float = 1.0
     shard_words: int = 2_000_000
-    shard_tokens: int = 2_500_000
+    shard_tokens: int = 1_500_000
 
 
 @dataclass
@@ -122,7 +131,7 @@ def find_words(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids, counts
 
 
-# Level 2.
+# Levels 2 and 3.
 
 
 def _pairs(block: Block, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,40 +154,58 @@ def _ids(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray, int, int]:
 def _count_pairs(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, size = [], 0
+            pairs, nexts, size = [], [], 0
             for block in blocks(batch.column(0).to_pylist(), _SIZE):
                 ids, _, end, _ = _ids(model, block)
                 u, v = _pairs(block, ids, end)
-                parts.append((u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64))
+                pairs.append((u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64))
+                # What follows each pair; nothing follows an end.
+                nexts.append(np.where(v == end, -1, np.append(v[1:], end)))
                 size += len(u)
-                if size > 2_000_000:
-                    yield _packed(model, parts)
-                    parts, size = [], 0
-            if parts:
-                yield _packed(model, parts)
+                if size > 1_000_000:
+                    yield _packed(model, pairs, nexts)
+                    pairs, nexts, size = [], [], 0
+            if pairs:
+                yield _packed(model, pairs, nexts)
 
     return run
 
 
-def _packed(model: Model, parts: list[np.ndarray]) -> pa.RecordBatch:
-    """Distinct pairs with counts, cut by shard and compressed."""
-    keys, n = np.unique(np.concatenate(parts), return_counts=True)
-    at = np.append(np.searchsorted(keys, model.bounds), len(keys))
+def _planes(a: np.ndarray) -> bytes:
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _packed(model: Model, pairs: list[np.ndarray], nexts: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs and triples with counts, cut by shard and compressed."""
+    keys, at, n = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+    if model.cfg.order > 2:
+        after = np.concatenate(nexts)
+        some = after >= 0
+        triples, times = np.unique((at[some].astype(np.uint64) << np.uint64(32)) | after[some].astype(np.uint64), return_counts=True)
+    else:
+        triples, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    del at
+    follow = np.searchsorted(triples, np.arange(len(keys) + 1, dtype=np.uint64) << np.uint64(32))
+    cuts = np.append(np.searchsorted(keys, model.bounds), len(keys))
     shard, data = [], []
-    for s in range(len(model.bounds)):
-        a, b = at[s], at[s + 1]
-        if b > a:
-            gaps = np.diff(keys[a:b], prepend=np.uint64(0))
-            shard.append(s)
-            data.append(zlib.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + n[a:b].astype(np.uint32).tobytes(), 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[s], cuts[s + 1]
+        c, d = follow[a], follow[b]
+        parts = [np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b].astype(np.uint32), np.diff(follow[a : b + 1]).astype(np.uint32), triples[c:d].astype(np.uint32), times[c:d].astype(np.uint32)]
+        shard.append(s)
+        data.append(struct.pack("<2q", b - a, d - c) + zlib.compress(b"".join(_planes(p) for p in parts), 1))
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(data, pa.binary())], ["shard", "data"])
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(data)
-    n = len(raw) // 12
-    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 8).reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(raw, np.uint32, n, n * 8)
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """Pairs, their counts, how many triples follow each, these triples' last words and counts."""
+    n, m = struct.unpack("<2q", data[:16])
+    raw, at, out = zlib.decompress(data[16:]), 0, []
+    for size, kind in ((n, np.uint64), (n, np.uint32), (n, np.uint32), (m, np.uint32), (m, np.uint32)):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel())
+        at += size * width
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
 def _unigram(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -187,16 +214,26 @@ def _unigram(model: Model, ids: np.ndarray) -> np.ndarray:
     return ((counts_at(model, distinct) + 1) / (model.tokens + model.words + 1))[back]
 
 
+def _quantised(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit codes on the scale of the values, and that scale."""
+    low, high = (float(p.min()), float(p.max())) if len(p) else (0.0, 0.0)
+    step = max((high - low) / 255, 1e-12)
+    return np.rint((p - low) / step).astype(np.uint8), np.array([low, step])
+
+
 def _build_pairs(model: Model):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        keys, counts = (np.concatenate(x) for x in zip(*[_unpacked(d) for d in rows.pop("data")]))
+        parts = [_unpacked(d) for d in rows.pop("data")]
+        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        counts, keys = counts[order], keys[order]
         del order
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         n, keys = np.add.reduceat(counts.astype(np.int64), first), keys[first]
         del counts, first
+        arrays = _triples(model, keys, n, parts) if model.cfg.order > 2 else {}
+        del parts
         u, v = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         del keys
         lo, hi = int(u[0]), int(u[-1])
@@ -205,9 +242,8 @@ def _build_pairs(model: Model):
         p = n + model.cfg.kappa * _unigram(model, v)
         p = np.log10(p / (counts_at(model, contexts)[back] + model.cfg.kappa))
         del n, contexts, back
-        low, high = float(p.min()), float(p.max())
-        step = max((high - low) / 255, 1e-12)
-        arrays = {"code": np.rint((p - low) / step).astype(np.uint8), "scale": np.array([low, step]), "range": np.array([lo, hi])}
+        arrays["code"], arrays["scale"] = _quantised(p)
+        arrays["range"] = np.array([lo, hi])
         arrays |= {f"start_{k}": x for k, x in EliasFano.build(starts, len(u) + 1).items()}
         arrays |= {f"next_{k}": x for k, x in EliasFano.build((u - lo) * model.words + v, (hi - lo + 1) * model.words).items()}
         save(model.path, f"pairs-{shard}", arrays)
@@ -216,14 +252,38 @@ def _build_pairs(model: Model):
     return run
 
 
-def find_pairs(model: Model, keys: np.ndarray) -> np.ndarray:
-    """log10 of the quantised probability of sorted pairs, NaN where a pair is unknown."""
-    out = np.full(len(keys), np.nan)
+def _triples(model: Model, keys: np.ndarray, n: np.ndarray, parts: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
+    """Level 3 of a shard: ``keys`` are its distinct pairs, ``n`` their counts."""
+    found = [(np.repeat(np.searchsorted(keys, k), follow).astype(np.uint64) << np.uint64(32)) | last for k, _, follow, last, _ in parts]
+    all_, times = np.concatenate(found), np.concatenate([p[4] for p in parts])
+    del found
+    order = np.argsort(all_, kind="stable")
+    times, all_ = times[order], all_[order]
+    del order
+    first = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.zeros(0, np.int64)
+    c, all_ = np.add.reduceat(times.astype(np.int64), first) if len(first) else first, all_[first]
+    del times, first
+    pair, last = (all_ >> np.uint64(32)).astype(np.int64), (all_ & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    starts = np.searchsorted(all_, np.arange(len(keys) + 1, dtype=np.uint64) << np.uint64(32))
+    del all_
+    kappa, arrays = model.cfg.kappa3, {}
+    arrays["share"], arrays["share_scale"] = _quantised(np.log10(c / (n[pair] + kappa)))
+    arrays["left"], arrays["left_scale"] = _quantised(np.log10(kappa / (n + kappa)))
+    arrays |= {f"start3_{k}": x for k, x in EliasFano.build(starts, len(pair) + 1).items()}
+    return arrays | {f"next3_{k}": x for k, x in EliasFano.build(pair * model.words + last, len(keys) * model.words).items()}
+
+
+def _by_shard(model: Model, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shards that sorted pairs ask for, with the range of these pairs."""
     at = np.append(np.searchsorted(keys, model.bounds), len(keys))
-    for s in range(len(model.bounds)):
-        a, b = int(at[s]), int(at[s + 1])
-        if a == b:
-            continue
+    for s in np.flatnonzero(np.diff(at)).tolist():
+        yield s, int(at[s]), int(at[s + 1])
+
+
+def find_pairs(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the quantised probability of sorted pairs, NaN where a pair is unknown, and their places in their shards."""
+    out, where = np.full(len(keys), np.nan), np.full(len(keys), -1, np.int64)
+    for s, a, b in _by_shard(model, keys):
         held = load(model.path, f"pairs-{s}")
         if not held:
             continue
@@ -239,7 +299,30 @@ def find_pairs(model: Model, keys: np.ndarray) -> np.ndarray:
         known &= (place >= begin[back]) & (place < end[back])
         low, step = held["scale"]
         out[a + inside[known]] = low + step * held["code"][place[known]]
-    return out
+        where[a + inside[known]] = place[known]
+    return out, where
+
+
+def find_triples(model: Model, keys: np.ndarray, where: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For words ``last`` after the known pairs ``keys[pair]`` (pair ascending): the triple's share in its context, 0 where it
+    is unknown, and the weight that the context leaves to the shorter one."""
+    share, left = np.zeros(len(pair)), np.ones(len(pair))
+    at = np.searchsorted(pair, np.arange(len(keys) + 1))
+    for s, a, b in _by_shard(model, keys):
+        i, j = int(at[a]), int(at[b])
+        if i == j:
+            continue
+        held = load(model.path, f"pairs-{s}")
+        place = where[pair[i:j]]
+        low, step = held["left_scale"]
+        left[i:j] = 10.0 ** (low + step * held["left"][place])
+        start = _sequence(model.path, f"pairs-{s}", "start3_")
+        begin, end = start.access(place).astype(np.int64), start.access(place + 1).astype(np.int64)
+        some = np.flatnonzero((last[i:j] >= 0) & (end > begin))
+        found, known = _sequence(model.path, f"pairs-{s}", "next3_").within(place[some] * model.words + last[i:j][some], begin[some], end[some])
+        low, step = held["share_scale"]
+        share[i + some[known]] = 10.0 ** (low + step * held["share"][found[known]])
+    return share, left
 
 
 def fit(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> Model:
@@ -248,6 +331,8 @@ def fit(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> Mod
     text = docs.select(F.col("text").cast("binary").alias("text"))
     counts = table(spark, text.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     words = counts.count()
+    if words >= 1 << 32:
+        raise ValueError(f"{words} distinct words, word ids take 32 bits")
     model = Model(new_path(spark, "trie"), cfg, words=words)
     if not words:
         return model
@@ -278,6 +363,16 @@ def _bounds(spark: SparkSession, model: Model, counts: DataFrame) -> np.ndarray:
     return np.array(sorted(cuts), np.uint64)
 
 
+def _longer(model: Model, score: np.ndarray, at: np.ndarray, pair: np.ndarray, keys: np.ndarray, where: np.ndarray, v: np.ndarray, end: int) -> None:
+    """Turn scores by pairs into scores by triples, for the words after the known pairs (numbers ``pair``) at ``at``."""
+    inner = v[at] != end
+    at, pair = at[inner] + 1, pair[inner]
+    order = np.argsort(pair, kind="stable")
+    at, pair = at[order], pair[order]
+    share, left = find_triples(model, keys, where, pair, v[at])
+    score[at] = np.log10(share + left * 10.0 ** score[at])
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = model.tokens + model.words + 1
@@ -297,9 +392,12 @@ def _score(model: Model):
                 both = known[v[known] >= 0]
                 if len(both):
                     keys, back = np.unique((u[both].astype(np.uint64) << np.uint64(32)) | v[both].astype(np.uint64), return_inverse=True)
-                    p = find_pairs(model, keys)[back]
+                    found, where = find_pairs(model, keys)
+                    p = found[back]
                     seen = ~np.isnan(p)
                     score[both[seen]] = p[seen]
+                    if model.cfg.order > 2:
+                        _longer(model, score, both[seen], back[seen], keys, where, v, end)
                 at = block.bounds + np.arange(len(block.bounds))
                 for i in range(len(block)):
                     a, b = at[i], at[i + 1]

@@ -317,29 +317,43 @@ def test_elias_fano():
         x = np.sort(np.concatenate((v[:200], rs.randint(0, min(u, 2**62), 200).astype(np.uint64))))
         at, equal = ef.successor(x)
         assert (at == np.searchsorted(v, x)).all() and (equal == np.isin(x, v)).all()
+        begin = rs.randint(0, n, len(x))
+        end = np.minimum(n, begin + rs.randint(0, 9, len(x)))
+        at, equal = ef.within(x, begin, end)
+        for k in range(len(x)):
+            part = v[begin[k] : end[k]]
+            assert equal[k] == (x[k] in part) and (not equal[k] or v[at[k]] == x[k])
 
 
-def test_language_model(spark, odd, none):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, odd, none, order):
     train = odd.filter("doc_id % 2 = 0 or doc_id is null")
-    model = lm.fit(spark, train, lm.Settings(shard_words=64, shard_tokens=500))
+    model = lm.fit(spark, train, lm.Settings(order=order, shard_words=64, shard_tokens=500))
     assert len(model.bounds) > 5 and len(model.first) > 2
     got = lm.score(spark, odd, model).collect()
     toks = lambda t: [*(t or "").encode().lower().split(), None]
-    c, b = Counter(), Counter()
+    c, b, t3 = Counter(), Counter(), Counter()
     for r in train.collect():
         w = toks(r["text"])
-        c.update(w), b.update(zip([None, *w[:-1]], w))
-    n, v, k = sum(c.values()), len(c), model.cfg.kappa
+        c.update(w), b.update(zip([None, *w[:-1]], w)), t3.update(zip([None, *w[:-2]], w[:-1], w[1:]))
+    n, v, k, k3 = sum(c.values()), len(c), model.cfg.kappa, model.cfg.kappa3
+    one = lambda x: (c[x] + 1) / (n + v + 1)
+    two = lambda u, x: (b[u, x] + k * one(x)) / (c[u] + k) if c[u] else one(x)
+
+    def three(s, u, x, first):
+        p = two(u, x)
+        return p if first or order < 3 or not b[s, u] else (t3[s, u, x] + k3 * p) / (b[s, u] + k3)
+
     want = {}
     for r in odd.collect():
         w = toks(r["text"])
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        full = sum(math.log10((b[u, x] + k * (c[x] + 1) / (n + v + 1)) / (c[u] + k)) if c[u] else math.log10((c[x] + 1) / (n + v + 1)) for u, x in zip([None, *w[:-1]], w))
+        base = sum(math.log10(one(x)) for x in w)
+        full = sum(math.log10(three(s, u, x, i == 0)) for i, (s, u, x) in enumerate(zip([None, None, *w[:-2]], [None, *w[:-1]], w)))
         want.setdefault((r["doc_id"], len(w)), (sum(c[x] > 0 for x in w), base, full))
     assert len(got) == odd.count()
     for r in got:
         known, base, full = want[r["doc_id"], r["n_tokens"]]
-        assert r["n_known"] == known and r["train_tokens"] == n and abs(r["base_score"] - base) < 1e-6 * max(1, -base) and abs(r["score"] - full) < 0.02 * r["n_tokens"]
+        assert r["n_known"] == known and r["train_tokens"] == n and abs(r["base_score"] - base) < 1e-6 * max(1, -base) and abs(r["score"] - full) < 0.02 * r["n_tokens"], (r, full)
     empty = lm.fit(spark, none)
     assert all(r["n_known"] == 0 and r["score"] == 0 for r in lm.score(spark, odd, empty).collect())
 

@@ -10,6 +10,10 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 2  # words of 64 bits
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_B1, _B2, _B4 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+#: The place of the k-th one in a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.int64)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,32 +49,45 @@ class EliasFano:
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64))))[:-1]
         return {"head": np.array([n, width], np.int64), "low": low, "high": high, "ones": ones}
 
+    def _word(self, word: np.ndarray, one: bool) -> np.ndarray:
+        return self.high[word] if one else ~self.high[word]
+
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th (from 0) one or zero."""
         before = self.ones if one else self.zeros
         block = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[block]
+        rest = (k - before[block]).astype(np.uint64)
         word = block * _BLOCK
-        value = self.high[word] if one else ~self.high[word]
+        value = self._word(word, one)
         todo = np.arange(len(k))
         for _ in range(_BLOCK - 1):
-            count = np.bitwise_count(value[todo]).astype(np.int64)
+            count = np.bitwise_count(value[todo]).astype(np.uint64)
             on = count <= rest[todo]
             if not on.any():
                 break
             step = todo[on]
             rest[step] -= count[on]
             word[step] += 1
-            value[step] = self.high[word[step]] if one else ~self.high[word[step]]
+            value[step] = self._word(word[step], one)
             todo = step
-        place = word * 64
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(value & np.uint64((1 << half) - 1)).astype(np.int64)
-            on = count <= rest
-            rest = np.where(on, rest - count, rest)
-            value = np.where(on, value >> np.uint64(half), value)
-            place = place + np.where(on, half, 0)
-        return place
+        # Ones up to the end of each byte, all eight at once; bytes whose sum is not above ``rest`` are skipped.
+        s = value - ((value >> np.uint64(1)) & _B1)
+        s = (s & _B2) + ((s >> np.uint64(2)) & _B2)
+        s = ((s + (s >> np.uint64(4))) & _B4) * _EACH
+        skip = (((((rest * _EACH) | _TOP) - s) & _TOP) >> np.uint64(7)) * _EACH >> np.uint64(56) << np.uint64(3)
+        rest -= ((s << np.uint64(8)) >> skip) & np.uint64(255)
+        byte = (value >> skip) & np.uint64(255)
+        return word * 64 + skip.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3) | rest).astype(np.int64)]
+
+    def _next(self, place: np.ndarray, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the one or zero after the k-th, which stands at ``place``: in most cases in the same word."""
+        value = self._word(place >> 6, one)
+        above = value & ~((np.uint64(2) << (place & 63).astype(np.uint64)) - np.uint64(1))
+        out = (place & ~63) + np.bitwise_count((above & (~above + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(above == 0)
+        if len(far):
+            out[far] = self._select(k[far] + 1, one)
+        return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -82,7 +99,15 @@ class EliasFano:
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        return ((self._select(i.copy(), True) - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
+
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and i + 1, as signed numbers: the range of a pointer."""
+        i = np.asarray(i, np.int64)
+        place = self._select(i, True)
+        after = self._next(place, i, True)
+        value = lambda at, k: (((at - k) << self.width) | self._low(k).astype(np.int64))
+        return value(place, i), value(after, i + 1)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the first value >= x (n where there is none), and whether that value is x."""
@@ -90,10 +115,12 @@ class EliasFano:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         x = x.astype(np.uint64)
         high, low = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
-        begin = np.zeros(len(x), np.int64)
-        inner = high > 0
-        begin[inner] = self._select(high[inner] - 1, False) - (high[inner] - 1)
-        end = self._select(high.copy(), False) - high
+        begin, end = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        inner = np.flatnonzero(high > 0)
+        place = self._select(high[inner] - 1, False)
+        begin[inner], end[inner] = place - (high[inner] - 1), self._next(place, high[inner] - 1, False) - high[inner]
+        if len(inner) < len(x):
+            end[high == 0] = self._select(np.zeros(1, np.int64), False)[0]
         # Where values crowd, as successors of a frequent context do, many share a high part: search it by halves.
         at, stop = begin, end.copy()
         todo = np.flatnonzero(at < stop)

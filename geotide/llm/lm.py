@@ -171,8 +171,13 @@ def _count_pairs(model: Model):
     return run
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+#: Bytes of each kind of number that are as good as random and are sent as they are.
+_PLAIN = (3, 0, 0, 2, 0)
+
+
+def _planes(a: np.ndarray, plain: int) -> tuple[bytes, bytes]:
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+    return planes[:plain].tobytes(), planes[plain:].tobytes()
 
 
 def _packed(model: Model, pairs: list[np.ndarray], nexts: list[np.ndarray]) -> pa.RecordBatch:
@@ -193,18 +198,24 @@ def _packed(model: Model, pairs: list[np.ndarray], nexts: list[np.ndarray]) -> p
         c, d = follow[a], follow[b]
         parts = [np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b].astype(np.uint32), np.diff(follow[a : b + 1]).astype(np.uint32), triples[c:d].astype(np.uint32), times[c:d].astype(np.uint32)]
         shard.append(s)
-        data.append(struct.pack("<2q", b - a, d - c) + zlib.compress(b"".join(_planes(p) for p in parts), 1))
+        low, high = zip(*[_planes(p, plain) for p, plain in zip(parts, _PLAIN)])
+        data.append(struct.pack("<2q", b - a, d - c) + b"".join(low) + zlib.compress(b"".join(high), 1))
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(data, pa.binary())], ["shard", "data"])
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     """Pairs, their counts, how many triples follow each, these triples' last words and counts."""
     n, m = struct.unpack("<2q", data[:16])
-    raw, at, out = zlib.decompress(data[16:]), 0, []
-    for size, kind in ((n, np.uint64), (n, np.uint32), (n, np.uint32), (m, np.uint32), (m, np.uint32)):
+    sizes, kinds = (n, n, n, m, m), (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+    raw = zlib.decompress(data[16 + sum(size * plain for size, plain in zip(sizes, _PLAIN)) :])
+    at, place, out = 0, 16, []
+    for size, plain, kind in zip(sizes, _PLAIN, kinds):
         width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel())
-        at += size * width
+        planes = np.empty((width, size), np.uint8)
+        planes[:plain] = np.frombuffer(data, np.uint8, size * plain, place).reshape(plain, size)
+        planes[plain:] = np.frombuffer(raw, np.uint8, size * (width - plain), at).reshape(width - plain, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        place, at = place + size * plain, at + size * (width - plain)
     return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
@@ -292,7 +303,7 @@ def find_pairs(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = np.flatnonzero((u >= lo) & (u <= hi))
         contexts, back = np.unique(u[inside] - lo, return_inverse=True)
         start = _sequence(model.path, f"pairs-{s}", "start_")
-        begin, end = start.access(contexts).astype(np.int64), start.access(contexts + 1).astype(np.int64)
+        begin, end = start.span(contexts)
         some = (end > begin)[back]
         inside, back = inside[some], back[some]
         place, known = _sequence(model.path, f"pairs-{s}", "next_").successor((u[inside] - lo) * model.words + v[inside])
@@ -317,7 +328,7 @@ def find_triples(model: Model, keys: np.ndarray, where: np.ndarray, pair: np.nda
         low, step = held["left_scale"]
         left[i:j] = 10.0 ** (low + step * held["left"][place])
         start = _sequence(model.path, f"pairs-{s}", "start3_")
-        begin, end = start.access(place).astype(np.int64), start.access(place + 1).astype(np.int64)
+        begin, end = start.span(place)
         some = np.flatnonzero((last[i:j] >= 0) & (end > begin))
         found, known = _sequence(model.path, f"pairs-{s}", "next3_").within(place[some] * model.words + last[i:j][some], begin[some], end[some])
         low, step = held["share_scale"]

@@ -56,7 +56,7 @@ def load(path: str, name: str) -> dict:
         if f.path.endswith(".npy"):
             key = f.base_name[:-4]
             if isinstance(store, fs.LocalFileSystem):
-                out[key] = np.load(f.path, mmap_mode="r")
+                out[key] = np.asarray(np.load(f.path, mmap_mode="r"))
             else:
                 with store.open_input_file(f.path) as s:
                     out[key] = np.load(io.BytesIO(s.read()))

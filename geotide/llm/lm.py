@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .elias_fano import EliasFano
-from .runtime import new_path, ready, table
+from .runtime import drop, new_path, ready, table
 from .store import load, save
 from .words import Block, blocks
 
@@ -354,6 +354,7 @@ def fit(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> Mod
     model.first = np.concatenate(([0], np.cumsum([built[s]["n"] if s in built else 0 for s in range(shards)])))
     model.tokens = sum(r["tokens"] for r in built.values())
     model.bounds = _bounds(spark, model, counts)
+    drop(spark, counts)
     pairs = text.mapInArrow(_count_pairs(model), "shard long, data binary")
     pairs.groupBy("shard").applyInPandas(_build_pairs(model), "shard long, n long").agg(F.sum("n")).collect()
     return model

@@ -10,8 +10,13 @@ start. Strata are hashed parts of a source of about ``stratum`` documents, so no
 document above ``whole_max`` of its source is too coarse to be picked whole: it takes the fraction as a part of
 its words. The plan of a rerun is the same.
 
-Null texts have size 0; a null source is a source of its own, last in order; sources without words get target 0;
-an empty table gives an empty plan; repeated rows are planned row by row; other columns are ignored.
+The ordered passes run over one row a source in one task: sources are to be collections, up to some hundred thousand, not
+single sites.
+
+Null texts have size 0, very long ones are counted whole; a null source is a source of its own, last in order; sources
+without words get target 0; an empty table gives an empty plan; repeated rows are planned row by row, equal places in
+the order of sizes go by a hash and by id; other columns are ignored, or kept as asked, but for columns named as one
+of the plan's; names with _gt_ are reserved.
 """
 
 from __future__ import annotations
@@ -50,8 +55,10 @@ def plan(
     whole_max: float = 0.002,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (whole repetitions), part (words of a last, partial one), taken."""
+    keep = tuple(c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "epochs", "part", "taken"))
+    held = [f"_gt_{k}" for k in range(len(keep))]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = table(spark, docs.select("doc_id", "source", *keep, size.alias("size")), "mix")
+    sized = table(spark, docs.select("doc_id", "source", *[F.col(c).alias(h) for c, h in zip(keep, held)], size.alias("size")), "mix")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     filled = water_fill(totals, weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -68,7 +75,7 @@ def plan(
     picked = F.floor(F.col("_place") * F.col("_f") + start) > F.floor((F.col("_place") - 1) * F.col("_f") + start)
     part = F.when(F.col("_coarse"), F.floor(F.col("_f") * F.col("size") + F.col("_u"))).when(picked, F.col("size")).otherwise(0)
     return planned.withColumn("_place", place).withColumn("part", part.cast("long")).select(
-        "doc_id", "source", *keep, "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "part",
+        "doc_id", "source", *[F.col(h).alias(c) for c, h in zip(keep, held)], "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "part",
         (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
     )
 

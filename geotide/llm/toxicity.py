@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .runtime import ready, table, uniform
+from .runtime import drop, ready, table, uniform
 from .words import blocks
 
 
@@ -403,6 +403,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     weights, bias, marks = found
     model = Model(cfg, base, weights, bias, landmarks=marks, key=hashlib.sha1(weights.tobytes() + repr((bias, cfg)).encode()).hexdigest())
     _calibrate(model, sample.filter("doc & 3 = 0") if apart else sample, share)
+    drop(spark, sample), drop(spark, each)
     return model
 
 

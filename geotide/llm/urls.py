@@ -7,15 +7,18 @@ and the page's path starts with the rule's; the longest rule wins, a tie goes to
 Where no rule fits, hosts decide. Absolute links in the pages give weighted edges between different hosts. Trust is
 personalised PageRank along the links from trusted hosts (some page allowed by a rule, none blocked); distrust is the
 same against the links from blocked hosts (a rule blocks from the root of the host, no page allowed): who links to
-blocked hosts is distrusted. A walk ends where a host has no further links. A host is blocked when its distrust
-exceeds its trust by more than ``margin`` times the mean score 1 / hosts.
+blocked hosts is distrusted. A walk ends where a host has no further links. Walks are followed until no step adds more
+than ``precision`` times the margin to any host. A host is blocked when its distrust exceeds its trust by more than
+``margin`` times the mean score 1 / hosts; equal or less is allowed.
 
-Null urls and urls without ``://`` have empty host and path and are allowed; null pages have no links; an empty
-table gives no rows; repeated rows are judged alike; other columns are ignored.
+Null urls and urls without ``://`` have empty host and path and are allowed; null pages have no links; very long pages
+are read whole; an empty table gives no rows; repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .runtime import table
@@ -46,16 +49,22 @@ def fitting(hosts: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def walk(spark: SparkSession, edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int, every: int = 4) -> DataFrame:
-    """Personalised PageRank (host, score) over edges (src, dst, p) from equal seeds."""
-    start = seeds.select("host", ((1 - damping) / F.greatest(F.lit(1), F.lit(seeds.count()))).alias("score"))
-    ranks = start
-    for k in range(1, rounds + 1):
-        moved = edges.join(ranks, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        ranks = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+def walk(spark: SparkSession, edges: DataFrame, seeds: DataFrame, *, damping: float, enough: float, most: int = 400, every: int = 8) -> DataFrame:
+    """Personalised PageRank (host, score) over edges (src, dst, p) from equal seeds: the sum of what arrives after 0, 1, 2...
+    links, until no host gets more than ``enough`` of it; an error after ``most`` rounds, which damping rules out unless
+    ``enough`` is tiny."""
+    now = seeds.select("host", ((1 - damping) / F.greatest(F.lit(1), F.lit(seeds.count()))).alias("score"))
+    ranks, held = now, [now]
+    for k in range(1, most + 1):
+        now = edges.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score")).groupBy("host").agg(F.sum("score").alias("score"))
+        held.append(now)
         if k % every == 0:
-            ranks = table(spark, ranks, "ranks")
-    return ranks
+            now = held[-1] = table(spark, now, "step")
+            ranks = table(spark, reduce(lambda a, b: a.unionByName(b), [ranks, *(held[1:] if k == every else held)]).groupBy("host").agg(F.sum("score").alias("score")), "ranks")
+            held = []
+            if (now.agg(F.max("score")).first()[0] or 0.0) <= enough:
+                return ranks
+    raise RuntimeError(f"scores still move by more than {enough} after {most} rounds")
 
 
 def transitions(links: DataFrame) -> DataFrame:
@@ -63,7 +72,7 @@ def transitions(links: DataFrame) -> DataFrame:
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("_n")).alias("p"))
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], *, damping: float = 0.85, rounds: int = 12, margin: float = 0.1) -> DataFrame:
+def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], *, damping: float = 0.85, margin: float = 0.1, precision: float = 0.01) -> DataFrame:
     """page_id, host, path, rule, verdict, by_rule, trust, distrust for each row of ``pages`` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -80,12 +89,11 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], *, damping:
     links = pages.select(host.alias("src"), target.alias("_to")).select("src", F.translate("_to", UPPER, LOWER).alias("dst")).filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     links = table(spark, links, "links")
     trusted, blocked = stand.filter("allowed and not blocked").select("host"), stand.filter("root and not allowed").select("host")
-    if links.isEmpty():  # nothing to walk along: only the seeds have scores
-        rounds = 0
-    trust = walk(spark, transitions(links), trusted, damping=damping, rounds=rounds)
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = walk(spark, transitions(back), blocked, damping=damping, rounds=rounds)
     n = max(1, hosts.count())
+    enough = precision * margin / n
+    trust = walk(spark, transitions(links), trusted, damping=damping, enough=enough)
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    distrust = walk(spark, transitions(back), blocked, damping=damping, enough=enough)
     scores = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
     scores = table(spark, scores.withColumn("by_host", F.when(F.col("distrust") - F.col("trust") > margin / n, "block").otherwise("allow")).join(rules_of, "host", "left"), "scores")
     return (

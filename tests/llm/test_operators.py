@@ -125,6 +125,7 @@ def test_mixing(spark, odd, none):
     key = lambda rs: sorted(tuple(map(str, r)) for r in rs)
     assert key(rows) == key(mixing.plan(spark, odd).collect())
     assert mixing.plan(spark, none).count() == 0
+    assert mixing.plan(spark, odd, keep=("text", "size", "key", "part")).columns == ["doc_id", "source", "text", "key", "size", "source_size", "target", "epochs", "part", "taken"]
     texts = mixing.repeat(mixing.plan(spark, odd, keep=("text",))).collect()
     assert sum(len((r["text"] or "").split()) for r in texts) == sum(r["taken"] for r in rows)
 
@@ -151,14 +152,17 @@ def test_urls(spark):
 def test_page_rank_equals_power_iteration(spark):
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1)]
     edges = urls.transitions(spark.createDataFrame(links, "src string, dst string, n long"))
-    got = {r["host"]: r["score"] for r in urls.walk(spark, edges, spark.createDataFrame([("a",)], "host string"), damping=0.85, rounds=12).collect()}
+    got = {r["host"]: r["score"] for r in urls.walk(spark, edges, spark.createDataFrame([("a",)], "host string"), damping=0.85, enough=1e-13).collect()}
     p = {"a": 0.15}
-    for _ in range(12):
+    for _ in range(300):
         q = Counter({"a": 0.15})
         for s, d, n in links:
             q[d] += 0.85 * p.get(s, 0) * n / sum(m for x, _, m in links if x == s)
         p = q
-    assert all(abs(got[k] - p[k]) < 1e-12 for k in p)
+    assert all(abs(got[k] - p[k]) < 1e-11 for k in p)
+    chain = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(30)], "src string, dst string, n long")
+    far = {r["host"]: r["score"] for r in urls.walk(spark, urls.transitions(chain), spark.createDataFrame([("h0",)], "host string"), damping=0.85, enough=1e-6).collect()}
+    assert len(far) == 31 and abs(far["h30"] - 0.15 * 0.85**30) < 1e-12
 
 
 def test_spans_against_brute_force(spark, odd, none):

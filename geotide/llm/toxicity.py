@@ -52,7 +52,7 @@ class Settings:
     bits: int = 16
     landmarks: int = 512
     per_label: int = 3000
-    sentences: int = 40_000
+    sentences: int = 25_000
     longest_sentence: int = 64
     longest: int = 24
     units: int = 24_000
@@ -143,8 +143,8 @@ def norms(strings: list[str], cfg: Settings) -> np.ndarray:
 def project(strings: list[str], weights: np.ndarray, cfg: Settings) -> np.ndarray:
     """phi(s) . weights for each string of 3 or more letters."""
     out = np.zeros(len(strings))
-    for at in range(0, len(strings), 20_000):
-        part = strings[at : at + 20_000]
+    for at in range(0, len(strings), 8000):
+        part = strings[at : at + 8000]
         for own, f, weight in features(part, cfg):
             out[at : at + len(part)] += weight * np.bincount(own, weights[f], minlength=len(part))
     return out / np.maximum(norms(strings, cfg), 1e-9)
@@ -236,7 +236,7 @@ _known_of = [""]
 _NONE = -2.0
 
 
-def views(texts: list[bytes | None], model: Model, cache: int = 400_000) -> np.ndarray:
+def views(texts: list[bytes | None], model: Model, cache: int = 200_000) -> np.ndarray:
     """For each document its largest margin and the mean over its words of their margins above 0.
 
     Margins of tokens are kept between calls, up to ``cache`` of them; words without a unit, and texts without words,
@@ -397,7 +397,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
         return Model(cfg, base)
     part = F.when(F.col("label") == 1, min(1.0, cfg.sentences / counts[1])).otherwise(min(1.0, cfg.sentences / counts[0]))
     taken = each.filter(uniform(30, F.col("doc"), F.col("place")) < part).select("doc", "label", "units").orderBy("doc", "label", "place").toArrow()
-    found = learn(zip(taken.column("doc").to_pylist(), taken.column("label").to_pylist(), taken.column("units").to_pylist()), cfg)
+    found = learn((tuple(r) for b in taken.to_batches(max_chunksize=2000) for r in zip(*[c.to_pylist() for c in b.columns])), cfg)
     if found is None:
         return Model(cfg, base)
     weights, bias, marks = found

@@ -8,9 +8,10 @@ the range of its successors, the successors' ids plus the pair's offset, the qua
 context, and for each pair the quantised weight of what its context leaves to the shorter one. A query finds a word by
 successor search in level 1, a pair relative to its context in level 2, a triple in the range of its pair in level 3.
 
-A pair's probability is smoothed by the word's: (c(u v) + kappa p(v)) / (c(u) + kappa) with p(v) = (c(v) + 1) /
-(N + V + 1); an unknown context leaves p(v). A triple's is c(u v w) / (c(u v) + kappa3) + kappa3 / (c(u v) + kappa3)
-p(w | v) in the same way, with the pair's quantised probability. A text is its words and one end, and its first context is
+A pair's probability is smoothed by the word's: (c(u v) + K p(v)) / (c(u) + K) with p(v) = (c(v) + 1) / (N + V + 1) and
+K = kappa c(u) ** power, as the number of different successors grows with a context's count; an unknown context leaves
+p(v). A triple's is c(u v w) / (c(u v) + K) + K / (c(u v) + K) p(w | v) in the same way, K from c(u v), with the pair's
+quantised probability. A text is its words and one end, and its first context is
 the end; the first word is judged by pairs. ``order`` 2 leaves level 3 out.
 
 Levels are cut in shards, level 1 by hash, levels 2 and 3 together by ranges of (context, successor) of about
@@ -50,12 +51,17 @@ _SIZE = 1 << 21
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
-    kappa: float = 8.0
-    kappa3: float = 1.0
+    kappa: float = 1.0
+    power: float = 0.8
     shard_words: int = 2_000_000
     shard_tokens: int = 1_500_000
 
 
+    def rest(self, count: np.ndarray) -> np.ndarray:
+        """How much a context of that count weighs the shorter one."""
+        return self.kappa * np.asarray(count, np.float64) ** self.power
+
+
 @dataclass
 class Model:
     path: str
@@ -250,9 +256,10 @@ def _build_pairs(model: Model):
         lo, hi = int(u[0]), int(u[-1])
         starts = np.searchsorted(u, np.arange(lo, hi + 2))
         contexts, back = np.unique(u, return_inverse=True)
-        p = n + model.cfg.kappa * _unigram(model, v)
-        p = np.log10(p / (counts_at(model, contexts)[back] + model.cfg.kappa))
-        del n, contexts, back
+        seen = counts_at(model, contexts)[back]
+        rest = model.cfg.rest(seen)
+        p = np.log10((n + rest * _unigram(model, v)) / (seen + rest))
+        del n, contexts, back, seen, rest
         arrays["code"], arrays["scale"] = _quantised(p)
         arrays["range"] = np.array([lo, hi])
         arrays |= {f"start_{k}": x for k, x in EliasFano.build(starts, len(u) + 1).items()}
@@ -277,9 +284,9 @@ def _triples(model: Model, keys: np.ndarray, n: np.ndarray, parts: list[tuple[np
     pair, last = (all_ >> np.uint64(32)).astype(np.int64), (all_ & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.searchsorted(all_, np.arange(len(keys) + 1, dtype=np.uint64) << np.uint64(32))
     del all_
-    kappa, arrays = model.cfg.kappa3, {}
-    arrays["share"], arrays["share_scale"] = _quantised(np.log10(c / (n[pair] + kappa)))
-    arrays["left"], arrays["left_scale"] = _quantised(np.log10(kappa / (n + kappa)))
+    rest, arrays = model.cfg.rest(n), {}
+    arrays["share"], arrays["share_scale"] = _quantised(np.log10(c / (n + rest)[pair]))
+    arrays["left"], arrays["left_scale"] = _quantised(np.log10(rest / (n + rest)))
     arrays |= {f"start3_{k}": x for k, x in EliasFano.build(starts, len(pair) + 1).items()}
     return arrays | {f"next3_{k}": x for k, x in EliasFano.build(pair * model.words + last, len(keys) * model.words).items()}
 
@@ -400,7 +407,8 @@ def _score(model: Model):
                 base = np.log10((c + 1) / total)
                 score = base.copy()
                 known = np.flatnonzero((u >= 0) & (cu > 0))
-                score[known] += np.log10(model.cfg.kappa / (cu[known] + model.cfg.kappa))
+                rest = model.cfg.rest(cu[known])
+                score[known] += np.log10(rest / (cu[known] + rest))
                 both = known[v[known] >= 0]
                 if len(both):
                     keys, back = np.unique((u[both].astype(np.uint64) << np.uint64(32)) | v[both].astype(np.uint64), return_inverse=True)

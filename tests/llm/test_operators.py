@@ -340,13 +340,14 @@ def test_language_model(spark, odd, none, order):
     for r in train.collect():
         w = toks(r["text"])
         c.update(w), b.update(zip([None, *w[:-1]], w)), t3.update(zip([None, *w[:-2]], w[:-1], w[1:]))
-    n, v, k, k3 = sum(c.values()), len(c), model.cfg.kappa, model.cfg.kappa3
+    n, v = sum(c.values()), len(c)
+    k = lambda count: model.cfg.kappa * count**model.cfg.power
     one = lambda x: (c[x] + 1) / (n + v + 1)
-    two = lambda u, x: (b[u, x] + k * one(x)) / (c[u] + k) if c[u] else one(x)
+    two = lambda u, x: (b[u, x] + k(c[u]) * one(x)) / (c[u] + k(c[u])) if c[u] else one(x)
 
     def three(s, u, x, first):
         p = two(u, x)
-        return p if first or order < 3 or not b[s, u] else (t3[s, u, x] + k3 * p) / (b[s, u] + k3)
+        return p if first or order < 3 or not b[s, u] else (t3[s, u, x] + k(b[s, u]) * p) / (b[s, u] + k(b[s, u]))
 
     want = {}
     for r in odd.collect():

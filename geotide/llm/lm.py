@@ -321,6 +321,15 @@ def find_pairs(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, where
 
 
+def _values(held: dict, name: str) -> np.ndarray:
+    """What the 256 codes of a level stand for."""
+    key = f"_{name}_values"
+    if key not in held:
+        low, step = held[f"{name}_scale"]
+        held[key] = 10.0 ** (low + step * np.arange(256))
+    return held[key]
+
+
 def find_triples(model: Model, keys: np.ndarray, where: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For words ``last`` after the known pairs ``keys[pair]`` (pair ascending): the triple's share in its context, 0 where it
     is unknown, and the weight that the context leaves to the shorter one."""
@@ -332,14 +341,12 @@ def find_triples(model: Model, keys: np.ndarray, where: np.ndarray, pair: np.nda
             continue
         held = load(model.path, f"pairs-{s}")
         place = where[pair[i:j]]
-        low, step = held["left_scale"]
-        left[i:j] = 10.0 ** (low + step * held["left"][place])
+        left[i:j] = _values(held, "left")[held["left"][place]]
         start = _sequence(model.path, f"pairs-{s}", "start3_")
         begin, end = start.span(place)
         some = np.flatnonzero((last[i:j] >= 0) & (end > begin))
         found, known = _sequence(model.path, f"pairs-{s}", "next3_").within(place[some] * model.words + last[i:j][some], begin[some], end[some])
-        low, step = held["share_scale"]
-        share[i + some[known]] = 10.0 ** (low + step * held["share"][found[known]])
+        share[i + some[known]] = _values(held, "share")[held["share"][found[known]]]
     return share, left
 
 
@@ -383,11 +390,10 @@ def _bounds(spark: SparkSession, model: Model, counts: DataFrame) -> np.ndarray:
 
 
 def _longer(model: Model, score: np.ndarray, at: np.ndarray, pair: np.ndarray, keys: np.ndarray, where: np.ndarray, v: np.ndarray, end: int) -> None:
-    """Turn scores by pairs into scores by triples, for the words after the known pairs (numbers ``pair``) at ``at``."""
+    """Turn scores by pairs into scores by triples, for the words after the known pairs (numbers ``pair``, ascending) at
+    ``at``."""
     inner = v[at] != end
     at, pair = at[inner] + 1, pair[inner]
-    order = np.argsort(pair, kind="stable")
-    at, pair = at[order], pair[order]
     share, left = find_triples(model, keys, where, pair, v[at])
     score[at] = np.log10(share + left * 10.0 ** score[at])
 
@@ -411,13 +417,18 @@ def _score(model: Model):
                 score[known] += np.log10(rest / (cu[known] + rest))
                 both = known[v[known] >= 0]
                 if len(both):
-                    keys, back = np.unique((u[both].astype(np.uint64) << np.uint64(32)) | v[both].astype(np.uint64), return_inverse=True)
+                    asked = (u[both].astype(np.uint64) << np.uint64(32)) | v[both].astype(np.uint64)
+                    order = np.argsort(asked)
+                    both, asked = both[order], asked[order]
+                    new = np.append(True, asked[1:] != asked[:-1])
+                    keys, back = asked[new], np.cumsum(new) - 1  # words in the order of their pairs from here on
                     found, where = find_pairs(model, keys)
                     p = found[back]
                     seen = ~np.isnan(p)
-                    score[both[seen]] = p[seen]
+                    both, back = both[seen], back[seen]
+                    score[both] = p[seen]
                     if model.cfg.order > 2:
-                        _longer(model, score, both[seen], back[seen], keys, where, v, end)
+                        _longer(model, score, both, back, keys, where, v, end)
                 at = block.bounds + np.arange(len(block.bounds))
                 for i in range(len(block)):
                     a, b = at[i], at[i + 1]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import glob
 import io
 import json
+import os
 import struct
+import tempfile
 import zipfile
 import zlib
 
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import scratch
@@ -257,12 +262,48 @@ def featurecollectiondb_source_polygons(spark, d):
     return corners(ask(spark, {"type": "featurecollectiondb_source", "params": {"owner": "me", "data_set_name": "areas"}}, {"x1": -100, "y1": 60, "x2": 0, "y2": 80}, folder=folder).df)
 
 
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+_DERBY_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
+
+
+def database(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """The URL of a database with ``df`` as its only table, which driver and executors read alike.
+
+    The driver builds it from rows that a task has written, with one bulk import, and packs it into the shared folder; a
+    packed database is open to any number of processes, which an embedded one is not. The folder must be mounted."""
+    jvm, (files, at) = spark.sparkContext._jvm, fs.FileSystem.from_uri(scratch.folder(spark))
+    if not isinstance(files, fs.LocalFileSystem):
+        raise RuntimeError("the database for JDBC needs a shared folder that is mounted")
+    df.coalesce(1).write.csv(f"file://{at}/rows")
+    with tempfile.TemporaryDirectory() as own:
+        url = f"jdbc:derby:{own}/db"
+        link = jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(f"{url};create=true", jvm.java.util.Properties())
+        columns = ", ".join(f'"{c}" {_DERBY_TYPES[kind]}' for c, kind in df.dtypes)
+        link.createStatement().execute(f"CREATE TABLE {name} ({columns})")
+        for part in sorted(glob.glob(f"{at}/rows/*.csv")):
+            load = link.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+            load.setString(1, name)
+            load.setString(2, part)
+            load.execute()
+            os.remove(part)
+        link.close()
+        try:
+            jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(f"{url};shutdown=true", jvm.java.util.Properties())
+        except Py4JJavaError as e:  # how this database says that it has ended
+            if e.java_exception.getSQLState() != "08006":
+                raise
+        with zipfile.ZipFile(f"{at}/db.jar", "w", zipfile.ZIP_STORED) as z:  # stored: pages are read by place
+            for folder, _, names in os.walk(f"{own}/db"):
+                for f in names:
+                    z.write(f"{folder}/{f}", os.path.relpath(f"{folder}/{f}", own))
+    return f"jdbc:derby:jar:({at}/db.jar)db"
+
+
 @query(f"WITH {P} SELECT id, x, y, num FROM p WHERE {_IN_BOX}")
 def postgres_source(spark, d):
-    """A database in the driver's process stands for the server."""
-    url = f"jdbc:derby:memory:g{abs(hash(scratch.folder(spark)))};create=true"
-    points(spark, d).select("id", "x", "y", "num").coalesce(1).write.jdbc(url, "PTS", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
-    asked = {"query": {"type": "postgres_source", "params": {"connection": {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "query": '"id", "x", "y", "num" FROM PTS'}}, "spatial_reference": BOX | {"projection": "EPSG:3857"}}
+    """A packed database in the shared folder stands for the server."""
+    url = database(spark, points(spark, d).select("id", "x", "y", "num"), "PTS")
+    asked = {"query": {"type": "postgres_source", "params": {"connection": {"url": url, "driver": _DERBY}, "query": '"id", "x", "y", "num" FROM PTS'}}, "spatial_reference": BOX | {"projection": "EPSG:3857"}}
     return run_query(Run(spark), asked).df
 
 

@@ -32,6 +32,7 @@ equal; other columns are passed through as asked.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -333,7 +334,7 @@ def learn(bags: Iterable[tuple[int, int, list[str]]], cfg: Settings) -> tuple[np
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     use = value > 1e-6 * value.max()
     root = (vector[:, use] / np.sqrt(value[use])).astype(np.float32)
-    z = land.kernel(words) @ root
+    z = np.concatenate([land.kernel(words[at : at + 4000]) @ root for at in range(0, len(words), 4000)])
     place = {u: k for k, u in enumerate(words)}
     of_bad = [np.array(sorted(place[u] for u in own if u in place), np.int64) for doc, own in units.items() if label[doc]]
     of_bad = [k for k in of_bad if len(k)]
@@ -372,6 +373,16 @@ def _sentences_of(cfg: Settings):
     return run
 
 
+def _learn(cfg: Settings):
+    """``learn`` in one task, over sorted rows of bounded number: its matrices are no matter of the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for at in range(0, batch.num_rows, 2000) for r in zip(*[batch.slice(at, 2000).column(c).to_pylist() for c in ("doc", "label", "units")]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(rows, cfg), protocol=5)], pa.binary())], ["model"])
+
+    return run
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     ready(spark)
@@ -396,8 +407,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings =
     if len(counts) < 2:
         return Model(cfg, base)
     part = F.when(F.col("label") == 1, min(1.0, cfg.sentences / counts[1])).otherwise(min(1.0, cfg.sentences / counts[0]))
-    taken = each.filter(uniform(30, F.col("doc"), F.col("place")) < part).select("doc", "label", "units").orderBy("doc", "label", "place").toArrow()
-    found = learn((tuple(r) for b in taken.to_batches(max_chunksize=2000) for r in zip(*[c.to_pylist() for c in b.columns])), cfg)
+    taken = each.filter(uniform(30, F.col("doc"), F.col("place")) < part).select("doc", "label", "place", "units").repartition(1).sortWithinPartitions("doc", "label", "place")
+    row = taken.mapInArrow(_learn(cfg), "model binary").first()
+    found = pickle.loads(row[0]) if row else None
     if found is None:
         return Model(cfg, base)
     weights, bias, marks = found

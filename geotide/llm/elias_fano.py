@@ -31,11 +31,11 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.n, self.width = (int(x) for x in arrays["head"][:2])
         self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * (64 * _BLOCK) - self.ones
+        self.zeros = arrays.get("zeros")  # as the others, in the mapped file and not in each worker's memory
 
     @staticmethod
-    def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-        """Arrays for sorted unsigned values below ``universe``."""
+    def build(values: np.ndarray, universe: int, search: bool = True) -> dict[str, np.ndarray]:
+        """Arrays for sorted unsigned values below ``universe``; without ``search``, they only serve access by place."""
         n = len(values)
         width = max(0, (int(universe) // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
@@ -47,7 +47,8 @@ class EliasFano:
         bits[place] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64))))[:-1]
-        return {"head": np.array([n, width], np.int64), "low": low, "high": high, "ones": ones}
+        arrays = {"head": np.array([n, width], np.int64), "low": low, "high": high, "ones": ones}
+        return arrays | ({"zeros": np.arange(len(ones), dtype=np.int64) * (64 * _BLOCK) - ones} if search else {})
 
     def _word(self, word: np.ndarray, one: bool) -> np.ndarray:
         return self.high[word] if one else ~self.high[word]
@@ -59,17 +60,13 @@ class EliasFano:
         rest = (k - before[block]).astype(np.uint64)
         word = block * _BLOCK
         value = self._word(word, one)
-        todo = np.arange(len(k))
         for _ in range(_BLOCK - 1):
-            count = np.bitwise_count(value[todo]).astype(np.uint64)
-            on = count <= rest[todo]
-            if not on.any():
-                break
-            step = todo[on]
-            rest[step] -= count[on]
-            word[step] += 1
-            value[step] = self._word(word[step], one)
-            todo = step
+            count = np.bitwise_count(value)
+            on = count <= rest
+            count *= on
+            rest -= count
+            word += on
+            value = self._word(word, one)
         # Ones up to the end of each byte, all eight at once; bytes whose sum is not above ``rest`` are skipped.
         s = value - ((value >> np.uint64(1)) & _B1)
         s = (s & _B2) + ((s >> np.uint64(2)) & _B2)
@@ -93,9 +90,17 @@ class EliasFano:
         if not self.width:
             return np.zeros(len(i), np.uint64)
         at = i * self.width
-        word, off = at >> 6, (at & 63).astype(np.uint64)
-        up = np.where(off > 0, self.low[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
-        return ((self.low[word] >> off) | up) & np.uint64((1 << self.width) - 1)
+        off = (at & 63).view(np.uint64)
+        at >>= 6
+        out = self.low[at]
+        out >>= off
+        at += 1
+        up = self.low[at]
+        up <<= np.uint64(1)  # in two steps, as a shift by 64 is none
+        up <<= np.uint64(63) - off
+        out |= up
+        out &= np.uint64((1 << self.width) - 1)
+        return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -109,20 +114,25 @@ class EliasFano:
         value = lambda at, k: (((at - k) << self.width) | self._low(k).astype(np.int64))
         return value(place, i), value(after, i + 1)
 
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of the values with each high part."""
+        begin, end = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
+        inner = np.flatnonzero(high > 0)
+        k = high[inner] - 1
+        place = self._select(k, False)
+        begin[inner], end[inner] = place - k, self._next(place, k, False) - high[inner]
+        if len(inner) < len(high):
+            end[high == 0] = self._select(np.zeros(1, np.int64), False)[0]
+        return begin, end
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the first value >= x (n where there is none), and whether that value is x."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         x = x.astype(np.uint64)
-        high, low = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
-        begin, end = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        inner = np.flatnonzero(high > 0)
-        place = self._select(high[inner] - 1, False)
-        begin[inner], end[inner] = place - (high[inner] - 1), self._next(place, high[inner] - 1, False) - high[inner]
-        if len(inner) < len(x):
-            end[high == 0] = self._select(np.zeros(1, np.int64), False)[0]
-        # Where values crowd, as successors of a frequent context do, many share a high part: search it by halves.
-        at, stop = begin, end.copy()
+        low = x & np.uint64((1 << self.width) - 1)
+        at, end = self._bucket((x >> np.uint64(self.width)).astype(np.int64))
+        stop = end.copy()
         todo = np.flatnonzero(at < stop)
         while len(todo):
             middle = (at[todo] + stop[todo]) >> 1
@@ -136,17 +146,33 @@ class EliasFano:
         return at, equal
 
     def within(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The index of the first value >= x among those from ``begin`` on and before ``end``, and whether that value is x."""
-        at, stop = begin.copy(), end.copy()
-        x = x.astype(np.uint64)
-        todo = np.flatnonzero(stop - at > 1)
+        """The index of the value x among those from ``begin`` on and before ``end``, where no value stands twice, and whether
+        it is there. A range of one value is read; of a longer one, only the values with x's high part are searched, by halves
+        of their low bits, so that no step but the first costs a selection."""
+        at, equal = begin.copy(), np.zeros(len(x), bool)
+        size = end - begin
+        one = np.flatnonzero(size == 1)
+        equal[one] = self.access(at[one]) == x[one].astype(np.uint64)
+        many = np.flatnonzero(size > 1)
+        if not len(many):
+            return at, equal
+        asked = x[many].astype(np.uint64)
+        low = asked & np.uint64((1 << self.width) - 1)
+        first, stop = self._bucket((asked >> np.uint64(self.width)).astype(np.int64))
+        np.maximum(first, begin[many], out=first)
+        np.minimum(stop, end[many], out=stop)
+        some = np.flatnonzero(first < stop)
+        many, low, first, stop = many[some], low[some], first[some], stop[some]
+        todo = np.flatnonzero(stop - first > 1)
+        here, till, sought = first[todo], stop[todo], low[todo]
         while len(todo):
-            middle = (at[todo] + stop[todo] - 1) >> 1
-            under = self.access(middle) < x[todo]
-            at[todo[under]] = middle[under] + 1
-            stop[todo[~under]] = middle[~under] + 1
-            todo = todo[stop[todo] - at[todo] > 1]
-        equal = np.zeros(len(x), bool)
-        some = np.flatnonzero(at < end)
-        equal[some] = self.access(at[some]) == x[some]
+            middle = (here + till) >> 1
+            upper = self._low(middle) <= sought
+            here = np.where(upper, middle, here)
+            till = np.where(upper, till, middle)
+            first[todo] = here
+            on = np.flatnonzero(till - here > 1)
+            todo, here, till, sought = todo[on], here[on], till[on], sought[on]
+        at[many] = first
+        equal[many] = self._low(first) == low
         return at, equal

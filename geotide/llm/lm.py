@@ -46,6 +46,8 @@ from .words import Block, blocks
 #: The hash of the end token; no word is empty, so this stands for no word.
 END = np.int64(0x1D8E4E27C47D124F)
 _SIZE = 1 << 21
+#: Bytes of text that are scored at once: what is asked of a shard is asked in one visit, and each has a price of its own.
+_SCORED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,7 @@ def _build_words(path: str):
         rows = rows.sort_values("word")
         shard, h, n = int(rows["shard"].iloc[0]), rows["word"].to_numpy(), rows["n"].to_numpy()
         total = np.cumsum(n)
-        arrays = {f"word_{k}": v for k, v in EliasFano.build(h, 1 << 63).items()} | {f"total_{k}": v for k, v in EliasFano.build(total, int(total[-1]) + 1).items()}
+        arrays = {f"word_{k}": v for k, v in EliasFano.build(h, 1 << 63).items()} | {f"total_{k}": v for k, v in EliasFano.build(total, int(total[-1]) + 1, search=False).items()}
         save(path, f"words-{shard}", arrays)
         return pd.DataFrame({"shard": [shard], "n": [len(h)], "tokens": [int(total[-1])]})
 
@@ -262,7 +264,7 @@ def _build_pairs(model: Model):
         del n, contexts, back, seen, rest
         arrays["code"], arrays["scale"] = _quantised(p)
         arrays["range"] = np.array([lo, hi])
-        arrays |= {f"start_{k}": x for k, x in EliasFano.build(starts, len(u) + 1).items()}
+        arrays |= {f"start_{k}": x for k, x in EliasFano.build(starts, len(u) + 1, search=False).items()}
         arrays |= {f"next_{k}": x for k, x in EliasFano.build((u - lo) * model.words + v, (hi - lo + 1) * model.words).items()}
         save(model.path, f"pairs-{shard}", arrays)
         return pd.DataFrame({"shard": [shard], "n": [len(u)]})
@@ -287,7 +289,7 @@ def _triples(model: Model, keys: np.ndarray, n: np.ndarray, parts: list[tuple[np
     rest, arrays = model.cfg.rest(n), {}
     arrays["share"], arrays["share_scale"] = _quantised(np.log10(c / (n + rest)[pair]))
     arrays["left"], arrays["left_scale"] = _quantised(np.log10(rest / (n + rest)))
-    arrays |= {f"start3_{k}": x for k, x in EliasFano.build(starts, len(pair) + 1).items()}
+    arrays |= {f"start3_{k}": x for k, x in EliasFano.build(starts, len(pair) + 1, search=False).items()}
     return arrays | {f"next3_{k}": x for k, x in EliasFano.build(pair * model.words + last, len(keys) * model.words).items()}
 
 
@@ -307,17 +309,18 @@ def find_pairs(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         lo, hi = (int(x) for x in held["range"])
         u, v = (keys[a:b] >> np.uint64(32)).astype(np.int64), (keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        inside = np.flatnonzero((u >= lo) & (u <= hi))
-        contexts, back = np.unique(u[inside] - lo, return_inverse=True)
-        start = _sequence(model.path, f"pairs-{s}", "start_")
-        begin, end = start.span(contexts)
-        some = (end > begin)[back]
-        inside, back = inside[some], back[some]
-        place, known = _sequence(model.path, f"pairs-{s}", "next_").successor((u[inside] - lo) * model.words + v[inside])
-        known &= (place >= begin[back]) & (place < end[back])
+        i, j = np.searchsorted(u, lo), np.searchsorted(u, hi, side="right")
+        if i == j:
+            continue
+        u, v, a = u[i:j] - lo, v[i:j], a + i
+        new = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        times = np.diff(new, append=len(u))
+        begin, end = _sequence(model.path, f"pairs-{s}", "start_").span(u[new])
+        place, known = _sequence(model.path, f"pairs-{s}", "next_").within(u * model.words + v, np.repeat(begin, times), np.repeat(end, times))
+        found, place = a + np.flatnonzero(known), place[known]
         low, step = held["scale"]
-        out[a + inside[known]] = low + step * held["code"][place[known]]
-        where[a + inside[known]] = place[known]
+        out[found] = low + step * held["code"][place]
+        where[found] = place
     return out, where
 
 
@@ -340,12 +343,14 @@ def find_triples(model: Model, keys: np.ndarray, where: np.ndarray, pair: np.nda
         if i == j:
             continue
         held = load(model.path, f"pairs-{s}")
-        place = where[pair[i:j]]
-        left[i:j] = _values(held, "left")[held["left"][place]]
-        start = _sequence(model.path, f"pairs-{s}", "start3_")
-        begin, end = start.span(place)
-        some = np.flatnonzero((last[i:j] >= 0) & (end > begin))
-        found, known = _sequence(model.path, f"pairs-{s}", "next3_").within(place[some] * model.words + last[i:j][some], begin[some], end[some])
+        times = np.diff(at[a : b + 1])
+        asked = np.flatnonzero(times)
+        place, times = where[a + asked], times[asked]
+        left[i:j] = np.repeat(_values(held, "left")[held["left"][place]], times)
+        begin, end = (np.repeat(x, times) for x in _sequence(model.path, f"pairs-{s}", "start3_").span(place))
+        some = np.flatnonzero(last[i:j] >= 0)
+        triple = np.repeat(place * model.words, times)[some] + last[i:j][some]
+        found, known = _sequence(model.path, f"pairs-{s}", "next3_").within(triple, begin[some], end[some])
         share[i + some[known]] = _values(held, "share")[held["share"][found[known]]]
     return share, left
 
@@ -403,7 +408,7 @@ def _score(model: Model):
         total = model.tokens + model.words + 1
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for block in blocks(batch.column(1).to_pylist(), _SIZE):
+            for block in blocks(batch.column(1).to_pylist(), _SCORED):
                 ids, counts, end, end_count = _ids(model, block)
                 ends = block.bounds[1:]
                 c = np.insert(counts, ends, end_count)
@@ -416,12 +421,15 @@ def _score(model: Model):
                 rest = model.cfg.rest(cu[known])
                 score[known] += np.log10(rest / (cu[known] + rest))
                 both = known[v[known] >= 0]
+                del ids, counts, cu, known, rest
                 if len(both):
                     asked = (u[both].astype(np.uint64) << np.uint64(32)) | v[both].astype(np.uint64)
                     order = np.argsort(asked)
                     both, asked = both[order], asked[order]
+                    del u, order
                     new = np.append(True, asked[1:] != asked[:-1])
                     keys, back = asked[new], np.cumsum(new) - 1  # words in the order of their pairs from here on
+                    del asked, new
                     found, where = find_pairs(model, keys)
                     p = found[back]
                     seen = ~np.isnan(p)

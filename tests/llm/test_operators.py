@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,33 @@ def test_elias_fano():
             assert equal[k] == (x[k] in part) and (not equal[k] or v[at[k]] == x[k])
 
 
+def test_search_in_a_range_costs_no_selection_a_step(monkeypatch):
+    rs = np.random.RandomState(4)
+    v = np.unique(np.concatenate((rs.randint(0, 1 << 40, 20_000), (1 << 39) + rs.randint(0, 60_000, 30_000)))).astype(np.uint64)
+    ef, asked, select = EliasFano(EliasFano.build(v, 1 << 40)), [], EliasFano._select
+    monkeypatch.setattr(EliasFano, "_select", lambda self, k, one: (asked.append(len(k)), select(self, k, one))[1])
+    x = np.sort(np.concatenate((v[::7], v[::7] + np.uint64(1))))
+    begin = rs.randint(0, len(v), len(x))
+    for low, high in ((np.zeros_like(begin), np.full_like(begin, len(v))), (begin, np.minimum(len(v), begin + (1 << rs.randint(0, 16, len(x)))))):
+        del asked[:]
+        at, equal = ef.within(x, low, high)
+        place = np.searchsorted(v, x)
+        assert (equal == np.isin(x, v) & (place >= low) & (place < high)).all() and (at[equal] == place[equal]).all()
+        assert sum(asked) <= 2 * len(x)
+
+
+def test_scores_do_not_depend_on_blocks(spark, odd, monkeypatch):
+    model = lm.fit(spark, odd.filter("doc_id % 2 = 0"), lm.Settings(shard_words=64, shard_tokens=500))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "text": r["text"] and r["text"].encode()} for r in odd.collect()])
+    visits, load, got = [], lm.load, []
+    monkeypatch.setattr(lm, "load", lambda path, name: (visits.append(name), load(path, name))[1])
+    for size in (1, lm._SCORED):
+        monkeypatch.setattr(lm, "_SCORED", size)
+        del visits[:]
+        got.append(([b.to_pylist() for b in lm._score(model)(iter([batch]))], len(visits)))
+    assert got[0][0] == got[1][0] and got[1][1] < got[0][1] / 2
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model(spark, odd, none, order):
     train = odd.filter("doc_id % 2 = 0 or doc_id is null")

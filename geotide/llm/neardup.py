@@ -24,6 +24,7 @@ of their group, or have none. Shingles are 64-bit hashes; classes are named by 6
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .components import components
-from .runtime import ready, table
+from .runtime import drop, ready, table
 from .words import blocks, mix, shingles
 
 
@@ -188,10 +189,69 @@ def _shared(sets: DataFrame) -> DataFrame:
     return one.join(alone, "class", "left").select("class", "size", (F.col("size") - F.coalesce("_alone", F.lit(0))).alias("shared"), "marks", "marked")
 
 
-def _common_most(p: str, q: str, cfg: Settings) -> Column:
-    """An upper bound of two sets' intersection: a mark that one set alone has is at least one shingle it has alone."""
-    both = sum((F.bit_count(F.col(f"{p}.marks{k}").bitwiseAND(F.col(f"{q}.marks{k}"))) for k in range(cfg.marks // 64)), F.lit(0))
-    return F.least(*[F.col(f"{x}.shared") for x in (p, q)], *[F.col(f"{x}.size") - F.col(f"{x}.marked") + both for x in (p, q)])
+def _across(cfg: Settings):
+    """Of rows ordered by (band, low, high), each such key's pairs of different components that may be linked.
+
+    A row of part m stands under the keys of all pairs of parts with m in them; pairs within a part meet where low = high.
+    """
+    odd = np.uint64(sum(1 << k for k in range(0, 64, cfg.bits)))
+    chance = 2.0**-cfg.bits
+    span = (100 - cfg.percent) / 100 + 1e-9
+
+    def pairs(r: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, cross = len(r["class"]), r["low"][0] != r["high"][0]
+        step = max(1, (1 << 20) // n)
+        for at in range(0, n - 1, step):
+            apart = r["component"][at : at + step, None] != r["component"][None, at + 1 :]
+            apart &= np.arange(at + 1, n)[None, :] > np.arange(at, min(n, at + step))[:, None]
+            if cross:
+                apart &= r["mine"][at : at + step, None] != r["mine"][None, at + 1 :]
+            i, j = np.nonzero(apart)
+            i, j = i + at, j + at + 1
+            keep = ~(np.abs(r["far"][i] - r["far"][j]) > span)  # not a number, where one distance is unknown: kept
+            i, j = i[keep], j[keep]
+            for lo in range(0, len(i), 1 << 18):
+                p, q = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+                need = (r["size"][p] + r["size"][q]) * cfg.percent
+                keep = np.minimum(r["shared"][p], r["shared"][q]) * (100 + cfg.percent) >= need
+                p, q, need = p[keep], q[keep], need[keep]
+                d = r["sig"][p] ^ r["sig"][q]
+                for s in range(1, cfg.bits):
+                    d = d | ((r["sig"][p] ^ r["sig"][q]) >> np.uint64(s))
+                differ = np.bitwise_count(d & odd).sum(axis=1, dtype=np.int64)
+                keep = (1 - differ / float(cfg.bands * cfg.rows) - chance) / (1 - chance) >= cfg.floor
+                p, q, need = p[keep], q[keep], need[keep]
+                # A mark that one set alone has is at least one shingle that it has alone.
+                both = np.bitwise_count(r["marks"][p] & r["marks"][q]).sum(axis=1, dtype=np.int64)
+                lone = r["size"] - r["marked"]
+                keep = (np.minimum(lone[p], lone[q]) + both) * (100 + cfg.percent) >= need
+                yield r["class"][p[keep]], r["class"][q[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not len(held):
+                continue
+            r = {c: held[c].combine_chunks() for c in held.column_names}
+            r = {c: x.flatten().to_numpy().view(np.uint64).reshape(len(held), -1) if c in ("sig", "marks") else x.to_numpy(zero_copy_only=False) for c, x in r.items()}
+            new = (np.diff(r["band"]) != 0) | (np.diff(r["low"]) != 0) | (np.diff(r["high"]) != 0)
+            ends = np.flatnonzero(new) + 1
+            if batch is None:
+                ends = np.append(ends, len(held))
+            found = []
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                if hi - lo > 1:
+                    found += [x for x in pairs({c: x[lo:hi] for c, x in r.items()}) if len(x[0])]
+                if found and (hi == ends[-1] or sum(len(a) for a, _ in found) > 1 << 20):
+                    a, b = (np.concatenate(x) for x in zip(*found))
+                    ab = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ab], ["a", "b"])
+                    found = []
+            held = held.slice(ends[-1]) if len(ends) else held
+
+    return run
 
 
 def _stars(labels: DataFrame) -> DataFrame:
@@ -213,7 +273,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     stars = _parted(members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"), "n"), F.col("n"))
     stars = table(spark, _likely(stars, sigs, cfg), "stars")
     linked = F.col("common") * 100 >= F.col("either") * cfg.percent
-    tested = table(spark, _confirm(stars, _needed(spark, docs, classes, stars, cfg), cfg), "tested")
+    sets = _needed(spark, docs, classes, stars, cfg)
+    tested = table(spark, _confirm(stars, sets, cfg), "tested")
+    drop(spark, sets), drop(spark, stars)
     links = tested.filter(linked).select("a", "b")
     labels = table(spark, components(spark, links), "labels")
 
@@ -227,7 +289,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     met = table(spark, _likely(_parted(met, F.lit(cfg.part * cfg.bands)), sigs, cfg), "met")
     if not met.isEmpty():
-        more = table(spark, _confirm(met, _needed(spark, docs, classes, met, cfg), cfg), "tested")
+        sets = _needed(spark, docs, classes, met, cfg)
+        more = table(spark, _confirm(met, sets, cfg), "tested")
+        drop(spark, sets), drop(spark, met)
         tested = tested.unionByName(more)
         labels = table(spark, components(spark, _stars(labels).unionByName(more.filter(linked).select("a", "b"))), "labels")
 
@@ -238,17 +302,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     shared = table(spark, _shared(sets).filter(F.col("shared") * 100 >= F.col("size") * cfg.percent), "shared")
     far = tested.select(F.col("a").alias("leader"), F.col("b").alias("class"), (1 - F.col("common") / F.col("either")).alias("far"))
     rest = rest.join(shared, "class").join(far, ["leader", "class"], "left").join(sigs, "class")
-    rest = table(spark, rest.select("band", "n", "class", "component", "sig", "far", "size", "shared", "marked", *[F.col("marks")[k].alias(f"marks{k}") for k in range(cfg.marks // 64)]), "rest")
     # A crowded bucket is cut in parts, and each pair of parts meets under a key of its own.
-    rest = rest.withColumn("_parts", F.ceil(F.sqrt(F.col("n") / cfg.crowd))).withColumn("_mine", F.pmod(F.xxhash64("class"), F.col("_parts")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
-    p, q = rest.withColumn("_other", every).alias("p"), rest.withColumnRenamed("_mine", "_other").withColumn("_mine", every).alias("q")
-    span = (100 - cfg.percent) / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("p.far") - F.col("q.far")) <= span, F.lit(True))
-    enough = _common_most("p", "q", cfg) * (100 + cfg.percent) >= (F.col("p.size") + F.col("q.size")) * cfg.percent
-    met_at = (F.col("p.band") == F.col("q.band")) & (F.col("p._mine") == F.col("q._mine")) & (F.col("p._other") == F.col("q._other"))
-    cross = p.join(q, met_at & (F.col("p.component") < F.col("q.component")) & near & (estimate(F.col("p.sig"), F.col("q.sig"), cfg) >= cfg.floor) & enough)
-    cross = cross.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
+    rest = rest.withColumn("_parts", F.ceil(F.sqrt(F.col("n") / cfg.crowd))).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("_parts")))
+    rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    rest = rest.select("band", F.least("mine", "_other").alias("low"), F.greatest("mine", "_other").alias("high"), "mine", "class", "component", "sig", "far", F.col("size").cast("long").alias("size"), F.col("shared").cast("long").alias("shared"), F.col("marked").cast("long").alias("marked"), "marks")
+    cross = rest.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_across(cfg), "a long, b long").distinct()
     cross = table(spark, cross.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         more = _confirm(cross.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(cfg.part))), sets, cfg).filter(linked).select("a", "b")
@@ -256,6 +314,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settin
     of_class = classes.select("class", "id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
     names = table(spark, of_class.join(least, "component").select("class", "component_id"), "names")
+    for done in (classes, members, sets, shared, cross):
+        drop(spark, done)
     # Rows with an empty set have no class: they stand alone.
     out = found.select("doc_id", "n_shingles", "class").join(names, "class", "left")
     out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))

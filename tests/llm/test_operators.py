@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geotide.llm import decontam, forest, langid, lm, mixing, neardup, resample, spans, toxicity, urls
+from geotide.llm import components, decontam, forest, langid, lm, mixing, neardup, resample, spans, toxicity, urls
 from geotide.llm.elias_fano import EliasFano
 from geotide.llm.queries import QUERIES, RULES
 from geotide.llm.words import Block, hash_words, mix, shingles
@@ -97,6 +97,50 @@ def test_ambiguous_group_equals_brute_force(spark):
     assert got == brute_near(rows)
 
 
+def test_parts_of_a_crowded_bucket_lose_no_link(spark):
+    """Buckets that still hold many components, whole and cut in parts, in batches that end within a bucket."""
+    rs = random.Random(12)
+    base = words(rs, 60).split()
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rs.randint(1, 3)):
+            w[rs.randrange(len(w))] = words(rs, 1)
+        rows.append((k, " ".join(w)))
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_near(rows)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for crowd in (1024, 6):
+            got = neardup.near_duplicates(spark, docs, neardup.Settings(crowd=crowd)).collect()
+            assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_components(spark, monkeypatch):
+    """A long path and random edges: by one task and by steps; few edges take one written table, however long the path."""
+    rs = random.Random(13)
+    edges = [(k, k + 1) for k in range(3000, 4000)] + [(rs.randrange(600), rs.randrange(600)) for _ in range(400)]
+    rs.shuffle(edges)
+    root = {k: k for e in edges for k in e if e[0] != e[1]}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        if a != b:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+    df, written, plain = spark.createDataFrame(edges, "a long, b long").repartition(5), [], components.table
+    monkeypatch.setattr(components, "table", lambda s, d, what: written.append(what) or plain(s, d, what))
+    assert dict(components.components(spark, df).collect()) == {k: top(k) for k in root} and len(written) == 1
+    assert dict(components.components(spark, df, few=0).collect()) == {k: top(k) for k in root} and len(written) > 2
+    assert components.components(spark, df.limit(0)).count() == 0
+
+
 def test_one_of_each_group_stays(spark, odd, none):
     left = neardup.one_of_each(spark, odd).collect()
     ids = [r["doc_id"] for r in left]

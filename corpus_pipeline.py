@@ -15,7 +15,7 @@ from geotide.llm.runtime import table
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 stay."""
     model = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(spark, docs.withColumn("_gt_text", F.col("text")), model, [*[c for c in docs.columns if c != "text"], "_gt_text"]).filter("_gt_score < 0.5").withColumnRenamed("_gt_text", "text").select(*docs.columns)
+    return toxicity.score(spark, docs, model, docs.columns).filter("_gt_score < 0.5").select(*docs.columns)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

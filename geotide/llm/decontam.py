@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .runtime import new_path, ready, table, uniform
+from .runtime import LITTLE, new_path, ready, table, uniform
 from .store import load, load_object, save, save_object
 from .words import Block, blocks, mix, shingles
 
@@ -280,7 +280,7 @@ def _index(path: str, cfg: Settings):
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``docs`` with ``matches``: items found in the text, by item id. benchmark: (item_id, text)."""
-    ready(spark)
+    ready(spark, LITTLE)
     docs = docs.drop("matches")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0

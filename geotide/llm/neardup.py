@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .components import components
-from .runtime import drop, ready, table
+from .runtime import LITTLE, drop, ready, table
 from .words import blocks, mix, shingles
 
 
@@ -260,7 +260,7 @@ def _stars(labels: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach), kept, for each row of ``docs`` (doc_id, text)."""
-    ready(spark)
+    ready(spark, LITTLE)
     docs = docs.select("doc_id", "text")
     found = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_features(cfg), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, sig array<long>, bands array<long>")
     found = table(spark, found, "features")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .runtime import drop, ready, table
+from .runtime import LITTLE, drop, ready, table
 from .words import Block, blocks, mix
 
 
@@ -184,7 +184,7 @@ def _copies(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``docs`` with ``text`` less repeated sentences, and with n_sentences and n_removed."""
-    ready(spark)
+    ready(spark, LITTLE)
     docs = docs.drop("n_sentences", "n_removed")
     rest = [c for c in docs.columns if c != "text"]
     # Texts are told apart by 64 bits of their hash, within one id.

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .runtime import drop, ready, table, uniform
+from .runtime import LITTLE, drop, ready, table, uniform
 from .words import blocks
 
 
@@ -385,7 +385,7 @@ def _learn(cfg: Settings):
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
-    ready(spark)
+    ready(spark, LITTLE)
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter("label in (0, 1)")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -476,15 +476,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _judge(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            seen = views(texts, model) if model.weights is not None else np.zeros((len(texts), 2))
-            yield pa.RecordBatch.from_arrays([pa.array(model.score(seen), pa.float64()), *batch.columns[1:]], ["_gt_score", *batch.schema.names[1:]])
+            seen = views(batch.column(0).cast(pa.binary()).to_pylist(), model) if model.weights is not None else np.zeros((batch.num_rows, 2))
+            kept = batch.columns[0 if batch.schema.names[0] == "text" else 1 :]
+            yield pa.RecordBatch.from_arrays([pa.array(model.score(seen), pa.float64()), *kept], ["_gt_score", *batch.schema.names[-len(kept) :]] if kept else ["_gt_score"])
 
     return run
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the score of its text as ``_gt_score``."""
-    ready(spark)
-    schema = ", ".join(["_gt_score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return docs.select(F.col("text").cast("binary").alias("_gt_b"), *keep).mapInArrow(_judge(model), schema)
+    """The columns ``keep`` of ``docs`` with the score of its text as ``_gt_score``; a kept text goes to the workers once."""
+    ready(spark, LITTLE)
+    text = F.col("text") if "text" in keep else F.col("text").cast("binary").alias("_gt_b")
+    rest = [c for c in keep if c != "text"]
+    sent = ["text", *rest] if "text" in keep else rest
+    schema = ", ".join(["_gt_score double", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in sent]])
+    return docs.select(text, *rest).mapInArrow(_judge(model), schema).select("_gt_score", *keep)
